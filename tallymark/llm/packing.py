@@ -22,13 +22,13 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 CAPACITY = 4096
 END_ID = 2
-GROUP_PIECES = 2000
+GROUP_PIECES = 1000
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 PACKED = PIECES + ", sequence_id long, offset long"
 
@@ -92,7 +92,7 @@ class Encoder:
     (which would not change them) and are encoded many at a time: each ends at a word-end token.
     """
 
-    LIMIT = 400_000
+    LIMIT = 1_200_000
     TRAIL = ".,!?;:"
 
     def __init__(self, path: str):
@@ -177,21 +177,22 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: in
     end = int(end_id).to_bytes(4, "little")
     step = 4 * capacity
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer)
-        for pdf in batches:
-            for lo in range(0, len(pdf), 200):
-                part = pdf.iloc[lo : lo + 200]
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 200):
+                part = batch.slice(lo, 200)
                 rows = []
-                for doc, raw in zip(part["doc_id"].tolist(), enc.encode(part["text"].tolist())):
+                for i, raw in enumerate(enc.encode(part.column("text").to_pylist())):
                     raw += end
                     view, total = memoryview(raw), len(raw) // 4
                     for at in range(0, len(raw), step):
                         piece = view[at : at + step]
-                        rows.append((doc, at // 4, len(piece) // 4, zlib.crc32(piece), total))
-                yield pd.DataFrame(rows, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens"]).astype({"doc_id": "Int64"})
+                        rows.append((i, at // 4, len(piece) // 4, zlib.crc32(piece), total))
+                at, *numbers = (pa.array(x, pa.int64()) for x in zip(*rows))
+                yield pa.RecordBatch.from_arrays([part.column("doc_id").take(at), *numbers], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).mapInPandas(cut, PIECES)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(cut, PIECES)
 
 
 def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID, group_pieces: int = GROUP_PIECES) -> DataFrame:
@@ -204,21 +205,22 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int
     groups = max(1, round(docs.count() / group_pieces))
     whole_first = 1 << 40
 
-    def balance(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["doc_id", "start", "length", "ids_crc32"], na_position="first", kind="stable").reset_index(drop=True)
-        sizes = pdf["length"].to_numpy(dtype=np.int64)
+    def balance(key: tuple, rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by([(c, "ascending") for c in ("doc_id", "start", "length", "ids_crc32")])
+        sizes = rows.column("length").to_numpy()
         full = sizes >= capacity
-        seq = np.zeros(len(pdf), dtype=np.int64)
+        seq = np.zeros(len(sizes), dtype=np.int64)
         seq[full] = whole_first + np.arange(int(full.sum()))
         seq[~full] = windows(sizes[~full], capacity)
         # Gapless offsets in each sequence, in the order of the rows.
         order = np.argsort(seq, kind="stable")
         run = np.cumsum(sizes[order]) - sizes[order]
         first = np.r_[True, seq[order][1:] != seq[order][:-1]]
-        offset = np.empty(len(pdf), dtype=np.int64)
+        offset = np.empty(len(sizes), dtype=np.int64)
         offset[order] = run - np.maximum.accumulate(np.where(first, run, 0))
-        return pdf.drop(columns="pack_group").assign(sequence_id=seq + int(key[0]) * 2 * whole_first, offset=offset)
+        sequence = seq + key[0].as_py() * 2 * whole_first
+        return rows.drop_columns("pack_group").append_column("sequence_id", pa.array(sequence)).append_column("offset", pa.array(offset))
 
     cut = pieces(docs, tokenizer, capacity, end_id)
     group = F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(groups))
-    return cut.withColumn("pack_group", group).groupBy("pack_group").applyInPandas(balance, PACKED)
+    return cut.withColumn("pack_group", group).groupBy("pack_group").applyInArrow(balance, PACKED)

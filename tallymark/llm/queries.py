@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, packing
+from . import ann, fingerprints, html, langid, mixing, packing, quality, secrets, simhash, warc
+from .scratch import shared_path
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -26,6 +27,56 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_read(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op2_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _read(spark, sf_dir, "embeddings")
+    index = ann.build(vectors, k=10)
+    asked = ann.valid(vectors).where(F.col("vec_id") % 100 == 0).select(F.col("vec_id").alias("query_id"), "embedding")
+    found = ann.search(index, asked)
+    return found.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+
+
+def op3_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract_pages(_read(spark, sf_dir, "pages"))
+
+
+def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.neighbours(_read(spark, sf_dir, "documents"))
+
+
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(_read(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    held = langid.held_out(F.col("doc_id"), 3, 1)
+    model = quality.fit(docs, _read(spark, sf_dir, "labels").where(~held))
+    scored = quality.score(docs, model)
+    return scored.select("doc_id", held.alias("held_out"), F.col("quality_score").alias("score"), (F.col("quality_score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan_documents(_read(spark, sf_dir, "documents"))
+    base = [rule.kind for rule in secrets.RULES]
+    listed = F.concat_ws(",", F.transform("spans", lambda x: x["label"]))
+    return found.select("doc_id", *(f"n_{kind}" for kind in base), F.sha2(listed, 256).alias("base_sha256"), listed.alias("spans"))
+
+
+def op9_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held = langid.held_out(F.col("doc_id"), 4, 2)
+    model = langid.fit(docs.where(~held))
+    return langid.identify(docs.select("doc_id", "text"), model).select("doc_id", held.alias("held_out"), "lang_pred", "score")
+
+
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = shared_path(spark, "warc")
+    warc.write(_read(spark, sf_dir, "pages"), path)
+    back = warc.read(spark, path)
+    return back.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_read(spark, sf_dir, "documents"))
 
@@ -59,7 +110,15 @@ SELECT doc_id, size, source_size, target, (copies * size + greatest(0, least(siz
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
+    "op2_ann": op2_ann,
+    "op3_html": op3_html,
+    "op4_fingerprints": op4_fingerprints,
+    "op5_simhash": op5_simhash,
     "op6_mixing": op6_mixing,
+    "op7_quality": op7_quality,
+    "op8_secrets": op8_secrets,
+    "op9_langid": op9_langid,
+    "op10_warc": op10_warc,
 }
 
 ORACLES: dict[str, str] = {
