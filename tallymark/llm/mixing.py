@@ -99,3 +99,16 @@ def _edge(histogram: DataFrame, budgets: DataFrame | None, bucket: str) -> DataF
     upto = Window.partitionBy("source_key").orderBy(bucket).rowsBetween(Window.unboundedPreceding, 0)
     counts = counts.withColumn("upto", F.sum("size").over(upto)).where(F.col("upto") > F.col("budget"))
     return counts.groupBy("source_key").agg(F.min(F.struct(F.col(bucket), (F.col("budget") - F.col("upto") + F.col("size")).alias("left"))).alias("edge")).select("source_key", f"edge.{bucket}", "edge.left")
+
+
+def resample(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP) -> DataFrame:
+    """``docs`` with each document repeated as often as the mix takes it, in whole documents.
+
+    A document that the mix takes in part counts as whole from one half; rows of equal id (null included) are
+    repeated alike; documents without words hold nothing to take and go.
+    """
+    taken = mix(docs, weights, cap).groupBy("doc_id").agg(F.sum("taken").alias("taken"), F.sum("size").alias("size"))
+    times = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size") + 0.5)).otherwise(F.lit(0)).cast("int")
+    taken = taken.select(F.col("doc_id").alias("taken_id"), times.alias("times")).where("times > 0")
+    joined = docs.join(taken, F.col("doc_id").eqNullSafe(F.col("taken_id")))
+    return joined.withColumn("copy_", F.explode(F.sequence(F.lit(1), F.col("times")))).select(*docs.columns)
