@@ -72,7 +72,7 @@ def kendall(table: DataFrame, item: str, a: str, b: str, group: str) -> DataFram
 
 def merge_portfolio(parts: DataFrame, keys: list[str], value: str, n: str) -> DataFrame:
     """Partial means combined by their counts."""
-    return parts.groupBy(*keys).agg(F.sum(n).alias("n"), tidy(F.sum(F.col(value) * F.col(n)) / F.sum(n), 4).alias("mean_value"))
+    return parts.groupBy(*keys).agg(F.sum(n).alias("n"), tidy(F.try_divide(F.sum(F.col(value) * F.col(n)), F.sum(n)), 4).alias("mean_value"))
 
 
 def failure_taxonomy(table: DataFrame, reason: str) -> DataFrame:

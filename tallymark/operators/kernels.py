@@ -5,6 +5,8 @@ Each kernel is a small numpy function; Spark deals the campaigns out.  Seeds com
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -60,7 +62,7 @@ def suggest_gp(obs: DataFrame, specs: tuple[Spec, ...], n: int = 3, pool: int =
         mean = cross.T @ np.linalg.solve(chol, z)
         sigma = np.sqrt(np.maximum(1 - (cross**2).sum(axis=0), 1e-12))
         u = (mean - z.max()) / sigma
-        cdf = 0.5 * (1 + np.vectorize(__import__("math").erf)(u / np.sqrt(2)))
+        cdf = 0.5 * (1 + np.vectorize(math.erf)(u / np.sqrt(2)))
         gain = (mean - z.max()) * cdf + sigma * np.exp(-u * u / 2) / np.sqrt(2 * np.pi)
         best = np.argsort(-gain, kind="stable")[:n]
         return _frame(key[0], points[best], specs, mean=mean[best] * sd + y.mean(), sigma=sigma[best] * sd, gain=gain[best] * sd)
@@ -99,22 +101,28 @@ def bootstrap_mean(obs: DataFrame, rounds: int = 200, level: float = 0.95) -> Da
 def change_points(obs: DataFrame, hazard: float = 0.01, threshold: float = 0.5, horizon: int = 200) -> DataFrame:
     """Bayesian online change-point detection on each campaign's objective, run lengths beyond ``horizon`` pooled in the last."""
 
+    gamma = np.vectorize(math.lgamma)
+
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("iteration")
         y = pdf["kpi"].to_numpy(dtype=float)
         y = (y - y.mean()) / (y.std() or 1.0)
-        p, n, s = np.ones(1), np.zeros(1), np.zeros(1)
+        # A normal-gamma belief about mean and precision for each run length; its predictive is Student's t.
+        fresh = (0.0, 1.0, 1.0, 0.1)
+        p, belief = np.ones(1), [np.full(1, v) for v in fresh]
         last, found = 0, []
         for t, x in enumerate(y):
-            mean, var = s / (n + 1), 1 + 1 / (n + 1)
-            like = np.exp(-((x - mean) ** 2) / (2 * var)) / np.sqrt(2 * np.pi * var)
-            grown = p * like * (1 - hazard)
-            p = np.r_[(p * like).sum() * hazard, grown]
+            mean, kappa, alpha, beta = belief
+            width = beta * (kappa + 1) / (alpha * kappa)
+            log_like = gamma(alpha + 0.5) - gamma(alpha) - 0.5 * np.log(2 * np.pi * alpha * width) - (alpha + 0.5) * np.log1p((x - mean) ** 2 / (2 * alpha * width))
+            like = p * np.exp(log_like)
+            p = np.r_[like.sum() * hazard, like * (1 - hazard)]
             p /= p.sum() or 1.0
-            n, s = np.r_[0, n + 1], np.r_[0, s + x]
+            grown = ((kappa * mean + x) / (kappa + 1), kappa + 1, alpha + 0.5, beta + kappa * (x - mean) ** 2 / (2 * (kappa + 1)))
+            belief = [np.r_[v, g] for v, g in zip(fresh, grown)]
             if len(p) > horizon:
                 p[-2] += p[-1]
-                p, n, s = p[:-1], n[:-1], s[:-1]
+                p, belief = p[:-1], [v[:-1] for v in belief]
             top = int(p.argmax())
             if (last >= 3 and top <= 1) or (t >= 3 and p[:2].sum() > threshold):
                 found.append((key[0], int(pdf["iteration"].iloc[t]), float(p[:2].sum())))

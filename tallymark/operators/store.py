@@ -95,7 +95,7 @@ def iqr_anomalies(obs: DataFrame, name: str = "kpi", factor: float = 1.5) -> Dat
 def missing_report(table: DataFrame, names: list[str]) -> DataFrame:
     """Nulls and their share by column."""
     agg = table.agg(*(F.count_if(F.col(c).isNull()).alias(c) for c in names), F.count("*").alias("n_rows"))
-    return agg.unpivot(["n_rows"], names, "name", "n_missing").select("name", "n_missing", tidy(F.col("n_missing") / F.col("n_rows")).alias("share"))
+    return agg.unpivot(["n_rows"], names, "name", "n_missing").select("name", "n_missing", tidy(F.try_divide("n_missing", "n_rows")).alias("share"))
 
 
 def top_k(table: DataFrame, value: str, ties: list[str], k: int, by: list[str] | None = None, descending: bool = True) -> DataFrame:
