@@ -1,6 +1,6 @@
 """Document fingerprints by consistent weighted sampling.
 
-A document is its multiset of five-word shingles; a shingle's weight is how often it occurs.  For each of
+A document is its multiset of five-word shingles; a shingle's weight is how often it occurs (a million at most).  For each of
 ``SAMPLES`` samples every term draws r and c from Gamma(2, 1) and b from the uniform distribution, all from hashes of the term and
 the sample's number, and is given the value ln c - r * (floor(ln(weight) / r + b) + 1 - b); the least value of the
 document is its sample.  Two documents have the same sample with a probability equal to their generalised
@@ -16,38 +16,42 @@ texts; a single document is its own next; an empty table gives an empty result;
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SHINGLE = 5
 SAMPLES = 32
 RANGE_ROWS = 1000
+WEIGHT_BITS = 20
 SPACE = r"[\x20\x09-\x0D]+"
 _LEAST_ID = -(1 << 63)
 
 
-def shingles(text: Column, size: int = SHINGLE) -> Column:
-    """The hashes of all runs of ``size`` words, repeats included."""
+def weighted(text: Column, size: int = SHINGLE) -> Column:
+    """The text's distinct shingles of ``size`` words, each one long: 44 bits of its hash, then 20 of its weight."""
     words = F.transform(F.filter(F.split(text, SPACE), lambda w: w != ""), lambda w: F.xxhash64(w))
+    code = lambda term, weight: F.shiftleft(term, WEIGHT_BITS).bitwiseOR(weight)
 
     def runs(hashes: Column) -> Column:
         last = F.greatest(F.size(hashes) - size, F.lit(0))
-        return F.when(F.size(hashes) > 0, F.transform(F.sequence(F.lit(0), last), lambda i: F.xxhash64(F.slice(hashes, i + 1, F.lit(size)))))
-
-    # An array of one binds the word hashes, so that they are computed once and not once per shingle.
-    return F.coalesce(F.element_at(F.transform(F.array(words), runs), 1), F.array().cast("array<bigint>"))
+        one = F.lit(1).cast("long")
+        return F.when(F.size(hashes) > 0, F.transform(F.sequence(F.lit(0), last), lambda i: code(F.xxhash64(F.slice(hashes, i + 1, F.lit(size))), one)))
 
+    def counted(ordered: Column) -> Column:
+        firsts = F.filter(F.sequence(F.lit(0), F.size(ordered) - 1), lambda i: (i == 0) | (F.get(ordered, i) != F.get(ordered, i - 1)))
+        times = lambda at: F.transform(at, lambda i, n: F.get(ordered, i) - 1 + F.least(F.coalesce(F.get(at, n + 1), F.size(ordered)) - i, F.lit((1 << WEIGHT_BITS) - 1)))
+        return _bind(firsts, times)
 
-def weighted(terms: Column) -> Column:
-    """(term, weight) of each distinct term."""
+    # Texts without a repeated shingle, most of them, need no counting.
+    every = F.coalesce(_bind(words, runs), F.array().cast("array<bigint>"))
+    return _bind(every, lambda x: F.when(F.size(F.array_distinct(x)) == F.size(x), x).otherwise(_bind(F.sort_array(x), counted)))
 
-    def runs(ordered: Column) -> Column:
-        ones = F.transform(ordered, lambda t: F.struct(t.alias("term"), F.lit(1).alias("weight")))
-        firsts = F.filter(F.sequence(F.lit(0), F.size(ordered) - 1), lambda i: (i == 0) | (F.get(ordered, i) != F.get(ordered, i - 1)))
-        many = F.element_at(F.transform(F.array(firsts), lambda at: F.transform(at, lambda i, n: F.struct(F.get(ordered, i).alias("term"), (F.coalesce(F.get(at, n + 1), F.size(ordered)) - i).alias("weight")))), 1)
-        return F.when(F.size(F.array_distinct(ordered)) == F.size(ordered), ones).otherwise(many)
 
-    return F.element_at(F.transform(F.array(F.sort_array(terms)), runs), 1)
+def _bind(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once, however often ``use`` names it."""
+    return F.element_at(F.transform(F.array(value), use), 1)
 
 
 def sample(k: int) -> Column:
@@ -103,21 +107,23 @@ def neighbours(docs: DataFrame, samples: int = SAMPLES, range_rows: int = RANGE_
     edited = F.concat(F.substring("text", F.lit(1), F.length("text") - cut), F.substring(F.coalesce("next_text", F.lit("")), F.lit(1), cut))
     rows = rows.withColumn("edited", edited)
 
-    kinds = F.array(F.struct(F.lit(0).alias("kind"), F.col("text").alias("of")), F.struct(F.lit(1).alias("kind"), F.col("edited").alias("of")))
-    facts = [F.first(c).alias(c) for c in ("doc_id", "n_chars", "edited_sha256")]
-    each = rows.select("part", "place", "guard", "doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), F.explode(kinds).alias("x"))
-    each = each.where("guard = 0 OR x.kind = 0")
-    keys = ["part", "place", "kind"]
-    head = each.select("part", "place", "guard", "doc_id", "n_chars", "edited_sha256", F.col("x.kind").alias("kind"), weighted(shingles(F.col("x.of"))).alias("terms"))
-    terms = head.select("part", "place", "guard", "kind", "doc_id", "n_chars", "edited_sha256", F.explode_outer("terms").alias("t"))
-    terms = terms.select("part", "place", "guard", "kind", "doc_id", "n_chars", "edited_sha256", "t.term", "t.weight")
-    least = terms.groupBy("part", "place", "kind", "guard", "doc_id", "n_chars", "edited_sha256").agg(*(F.min(sample(k)).alias(f"m{k}") for k in range(samples)))
-    code = lambda k: F.lpad(F.hex(F.coalesce(F.xxhash64(f"m{k}").bitwiseAND(F.lit(0xFFFF)), F.lit(0))), 4, "0")
-    prints = least.select("part", "place", "kind", "guard", "doc_id", "n_chars", "edited_sha256", F.lower(F.concat(*map(code, range(samples)))).alias("print"))
-
-    both = Window.partitionBy("part").orderBy("place", "kind")
-    edit = F.lead("print").over(both)
-    after = F.lead(F.when(F.col("kind") == 0, F.col("print")), 2).over(both)
-    out = prints.select("*", edit.alias("edited_print"), after.alias("next_print")).where("kind = 0 AND guard = 0")
+    # Terms that the text and its edited form have alike are drawn once.  Everything from here on stays within a range.
+    own = rows.select("part", "place", "guard", "doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), weighted(F.col("text")).alias("a"), F.when(F.col("guard") == 0, weighted(F.col("edited"))).alias("b"))
+    none, start = F.array().cast("array<bigint>"), F.array(F.lit(None).cast("bigint"))
+    b = F.coalesce("b", none)
+    side = lambda of, terms, info=None: F.struct(F.lit(of).alias("side"), terms.alias("terms"), (F.lit(None) if info is None else info).cast("string").alias("info"))
+    sides = F.array(side(0, start, F.col("edited_sha256")), side(1, F.array_except("a", b)), side(2, F.array_except(b, "a")), side(3, F.array_intersect("a", b)))
+    keys = ["part", "place", "guard", "doc_id", "n_chars", "side", "info"]
+    terms = own.select("part", "place", "guard", "doc_id", "n_chars", F.inline(sides)).select(*keys, F.explode("terms").alias("code"))
+    terms = terms.select(*keys, F.shiftright("code", WEIGHT_BITS).alias("term"), F.col("code").bitwiseAND(F.lit((1 << WEIGHT_BITS) - 1)).alias("weight"))
+    least = terms.groupBy(*keys).agg(*(F.min(sample(k)).alias(f"m{k}") for k in range(samples)))
+    of = lambda kind, k: F.min(F.when(F.col("side").bitwiseAND(F.lit(kind)) > 0, F.col(f"m{k}")))
+    docs_ = least.groupBy("part", "place", "guard", "doc_id", "n_chars").agg(F.max("info").alias("edited_sha256"), *(of(kind, k).alias(f"{name}{k}") for kind, name in ((1, "a"), (2, "b")) for k in range(samples)))
+    code = lambda c: F.lpad(F.hex(F.coalesce(F.xxhash64(c).bitwiseAND(F.lit(0xFFFF)), F.lit(0))), 4, "0")
+    text_of = lambda name: F.lower(F.concat(*(F.when(F.col(f"{name}{k}").isNotNull(), code(f"{name}{k}")).otherwise(F.lit("0000")) for k in range(samples))))
+    prints = docs_.select("part", "place", "guard", "doc_id", "n_chars", "edited_sha256", text_of("a").alias("print"), text_of("b").alias("edited_print"))
+
+    after = F.lead("print").over(Window.partitionBy("part").orderBy("place"))
+    out = prints.select("*", after.alias("next_print")).where("guard = 0")
     near = lambda other: F.size(F.filter(F.sequence(F.lit(0), F.lit(samples - 1)), lambda i: F.substring("print", i * 4 + 1, F.lit(4)) == F.substring(other, i * 4 + 1, F.lit(4)))) / F.lit(samples)
     return out.select("doc_id", "n_chars", "edited_sha256", F.col("print").alias("fingerprint"), F.col("edited_print").alias("edited_fingerprint"), near("edited_print").alias("near_edited"), near("next_print").alias("near_next"))
