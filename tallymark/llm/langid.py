@@ -98,7 +98,7 @@ def _sample(docs: DataFrame) -> tuple[np.ndarray, list[str]]:
 
     rows = chosen.mapInArrow(sets, "doc_id long, lang string, bits binary").limit(2 * SAMPLE).collect()
     rows.sort(key=lambda r: (r.doc_id, r.lang, bytes(r.bits)))
-    packed = np.frombuffer(b"".join(bytes(r.bits) for r in rows), dtype=np.uint8).reshape(len(rows), -1)
+    packed = np.frombuffer(b"".join(bytes(r.bits) for r in rows), dtype=np.uint8).reshape(len(rows), (1 << BITS) // 8)
     return np.unpackbits(packed, axis=1).astype(bool), [r.lang for r in rows]
 
 
