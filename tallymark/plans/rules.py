@@ -133,10 +133,10 @@ def wilcoxon(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.wilcoxon(pairs, "campaign_id", "kpi", "after")
 
 
-@query(f"""+ p AS (SELECT l_partkey, l_suppkey, avg(l_extendedprice) AS v FROM lineitem GROUP BY 1, 2)
-SELECT l_partkey, count(v) AS n_models, {_r('avg(v)', 7)} AS mean_value, {_r('1 / (1 + coalesce(stddev_samp(v), 0))', 9)} AS agreement FROM p GROUP BY 1""", CURVES)
+@query(f"""+ p AS (SELECT l_partkey, l_suppkey, round(avg(l_extendedprice), 4) AS v FROM lineitem GROUP BY 1, 2)
+SELECT l_partkey, count(v) AS n_models, {_r('avg(v)', 9)} AS mean_value, {_r('1 / (1 + coalesce(stddev_samp(v), 0))', 9)} AS agreement FROM p GROUP BY 1""", CURVES)
 def ensemble_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    models = read(spark, sf_dir, "lineitem").groupBy("l_partkey", "l_suppkey").agg(F.avg("l_extendedprice").alias("v"))
+    models = read(spark, sf_dir, "lineitem").groupBy("l_partkey", "l_suppkey").agg(F.round(F.avg("l_extendedprice"), 4).alias("v"))
     return stats.ensemble_confidence(models, "l_partkey", "v")
 
 
