@@ -26,7 +26,7 @@ def wilcoxon(pairs: DataFrame, group: str, x: str, y: str) -> DataFrame:
 def ensemble_confidence(predictions: DataFrame, item: str, value: str) -> DataFrame:
     """Per item the mean and sample deviation over models, and their agreement 1 / (1 + deviation)."""
     sd = F.coalesce(F.stddev_samp(value), F.lit(0.0))
-    return predictions.groupBy(item).agg(F.count(value).alias("n_models"), tidy(F.avg(value), 9).alias("mean_value"), tidy(1 / (1 + sd), 9).alias("agreement"))
+    return predictions.groupBy(item).agg(F.count(value).alias("n_models"), F.avg(value).alias("mean_value"), tidy(1 / (1 + sd), 9).alias("agreement"))
 
 
 def correlation_matrix(table: DataFrame, names: list[str]) -> DataFrame:
