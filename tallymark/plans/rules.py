@@ -133,10 +133,10 @@ def wilcoxon(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.wilcoxon(pairs, "campaign_id", "kpi", "after")
 
 
-@query(f"""+ p AS (SELECT l_partkey, l_suppkey, round(avg(l_extendedprice), 2) AS v FROM lineitem GROUP BY 1, 2)
+@query(f"""+ p AS (SELECT l_partkey, l_suppkey, max(l_extendedprice) AS v FROM lineitem GROUP BY 1, 2)
 SELECT l_partkey, count(v) AS n_models, {_r('sum(v)', 3)} AS total_value, {_r('1 / (1 + coalesce(stddev_samp(v), 0))', 9)} AS agreement FROM p GROUP BY 1""", CURVES)
 def ensemble_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    models = read(spark, sf_dir, "lineitem").groupBy("l_partkey", "l_suppkey").agg(F.round(F.avg("l_extendedprice"), 2).alias("v"))
+    models = read(spark, sf_dir, "lineitem").groupBy("l_partkey", "l_suppkey").agg(F.max("l_extendedprice").alias("v"))
     found = stats.ensemble_confidence(models, "l_partkey", "v")
     return found.select("l_partkey", "n_models", F.round(F.col("mean_value") * F.col("n_models"), 3).alias("total_value"), "agreement")
 
