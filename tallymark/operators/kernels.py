@@ -43,6 +43,61 @@ def latin_hypercube(obs: DataFrame, specs: tuple[Spec, ...], n: int, seed: int =
     return obs.select("campaign_id").distinct().groupBy("campaign_id").applyInPandas(run, _schema(specs))
 
 
+def random_points(obs: DataFrame, specs: tuple[Spec, ...], n: int, seed: int = 42) -> DataFrame:
+    """``n`` uniform points for every campaign, drawn by hashing, so without leaving the JVM."""
+    rows = obs.select("campaign_id").distinct().withColumn("place", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).withColumn("place", F.col("place").cast("long"))
+    unit = lambda i: (F.pmod(F.xxhash64("campaign_id", "place", F.lit(seed), F.lit(i)), F.lit(1 << 40)) + 0.5) / float(1 << 40)
+    return rows.select("campaign_id", "place", *((F.lit(s.lower) + unit(i) * (s.upper - s.lower)).alias(s.name) for i, s in enumerate(specs)))
+
+
+def halton(obs: DataFrame, specs: tuple[Spec, ...], n: int, skip: int = 42) -> DataFrame:
+    """A low-discrepancy sequence for every campaign: the radical inverse of a point's number in one prime base per parameter."""
+    bases = [p for p in range(2, 200) if all(p % q for q in range(2, int(p**0.5) + 1))]
+
+    def inverse(number, base: int):
+        digits = F.sequence(F.lit(1), F.lit(32))
+        digit = lambda k: F.pmod(F.floor(number / F.pow(F.lit(float(base)), k - 1)), F.lit(base)) / F.pow(F.lit(float(base)), k)
+        return F.aggregate(digits, F.lit(0.0), lambda acc, k: acc + digit(k))
+
+    rows = obs.select("campaign_id").distinct().withColumn("place", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).withColumn("place", F.col("place").cast("long"))
+    return rows.select("campaign_id", "place", *((F.lit(s.lower) + inverse(F.col("place") + skip + 1, bases[i]) * (s.upper - s.lower)).alias(s.name) for i, s in enumerate(specs)))
+
+
+def suggest_evolution(obs: DataFrame, specs: tuple[Spec, ...], n: int = 3, factor: float = 0.8, cross: float = 0.9, most: int = 50, seed: int = 42) -> DataFrame:
+    """Differential evolution (rand/1/bin) from each campaign's ``most`` best successes."""
+
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        rng = np.random.default_rng([seed, key[0]])
+        x = _unit(pdf.sort_values(["kpi", "iteration"], ascending=[False, True]).head(most), specs)
+        if len(x) < 4:
+            return _frame(key[0], rng.random((n, len(specs))), specs)
+        out = []
+        for _ in range(n):
+            i, a, b, c = rng.choice(len(x), 4, replace=False)
+            swap = rng.random(len(specs)) < cross
+            swap[rng.integers(len(specs))] = True
+            out.append(np.clip(np.where(swap, x[a] + factor * (x[b] - x[c]), x[i]), 0, 1))
+        return _frame(key[0], np.array(out), specs)
+
+    return obs.where("NOT is_failure AND kpi IS NOT NULL").groupBy("campaign_id").applyInPandas(run, _schema(specs))
+
+
+def suggest_covariance(obs: DataFrame, specs: tuple[Spec, ...], n: int = 3, most: int = 200, seed: int = 42) -> DataFrame:
+    """One step of covariance-matrix adaptation: draws about the weighted mean of the better half, with its covariance."""
+
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        rng = np.random.default_rng([seed, key[0]])
+        x = _unit(pdf.sort_values(["kpi", "iteration"], ascending=[False, True]).head(most), specs)
+        top = x[: max(1, len(x) // 2)]
+        w = np.log(len(top) + 0.5) - np.log(np.arange(1, len(top) + 1))
+        w /= w.sum()
+        mean = w @ top
+        spread = (top - mean).T @ ((top - mean) * w[:, None]) + 1e-6 * np.eye(len(specs))
+        return _frame(key[0], np.clip(rng.multivariate_normal(mean, spread, n), 0, 1), specs)
+
+    return obs.where("NOT is_failure AND kpi IS NOT NULL").groupBy("campaign_id").applyInPandas(run, _schema(specs))
+
+
 def suggest_gp(obs: DataFrame, specs: tuple[Spec, ...], n: int = 3, pool: int = 256, most: int = 200, noise: float = 1e-3, seed: int = 42) -> DataFrame:
     """Per campaign the ``n`` candidates of highest expected improvement (maximising) under a Gaussian process.
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..model import EVENT_SQL, LINE_SPECS, LINE_SQL, event_observations, line_observations, read
-from ..operators import decide, diagnostics, signals, stats
+from ..operators import decide, design, diagnostics, kernels, pareto, signals, stats
 from .catalogue import ORACLES, PARAMS, _corr, _r, query
 
 
@@ -160,3 +160,37 @@ b AS (SELECT campaign_id, model, {_r('n * ln(rss / n) + 2 * ln(n)', 4)} AS bic F
 SELECT campaign_id, model, bic, row_number() OVER (PARTITION BY campaign_id ORDER BY bic, model)::INT AS rank, {_r('least(exp((bic - min(bic) OVER (PARTITION BY campaign_id)) / 2), 1e6)', 3)} AS evidence_against FROM b""", LINE_SQL)
 def model_bic(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.compare_models(line_observations(spark, sf_dir), "campaign_id", "kpi", PARAMS)
+
+
+@query(f"SELECT campaign_id, count(DISTINCT [least(49, greatest(0, floor((p_quantity - 1) / 49.0 * 50))), least(49, greatest(0, floor(p_discount / 0.1 * 50))), least(49, greatest(0, floor(p_tax / 0.08 * 50)))]) AS n_cells, {_r('count(DISTINCT [least(49, greatest(0, floor((p_quantity - 1) / 49.0 * 50))), least(49, greatest(0, floor(p_discount / 0.1 * 50))), least(49, greatest(0, floor(p_tax / 0.08 * 50)))]) / 125000.0::DOUBLE', 9)} AS share FROM obs GROUP BY 1", LINE_SQL)
+def design_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return design.coverage(line_observations(spark, sf_dir), LINE_SPECS)
+
+
+@query(f"""+ q AS (SELECT p_brand, p_partkey, p_retailprice AS price, -p_size AS neg_size FROM part),
+f AS (SELECT * FROM q WHERE NOT EXISTS (SELECT 1 FROM q r WHERE r.p_brand = q.p_brand AND r.price <= q.price AND r.neg_size <= q.neg_size AND (r.price < q.price OR r.neg_size < q.neg_size))),
+d AS (SELECT f.p_brand, f.p_partkey, min((f.price - q.price) ** 2 + (f.neg_size - q.neg_size) ** 2) AS gap FROM f JOIN q ON q.p_brand = f.p_brand AND q.p_partkey % 2 = 0 GROUP BY 1, 2)
+SELECT p_brand, count(*) AS n_points, {_r('avg(sqrt(gap))', 5)} AS distance FROM d GROUP BY 1""", CURVES)
+def front_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = read(spark, sf_dir, "part").select("p_brand", "p_partkey", F.col("p_retailprice").alias("price"), (-F.col("p_size")).alias("neg_size"))
+    return design.generational_distance(parts.where("p_partkey % 2 = 0"), pareto.front_2d(parts, "price", "neg_size", ["p_brand"]), ["price", "neg_size"], "p_brand")
+
+
+@query()
+def random_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kernels.random_points(line_observations(spark, sf_dir), LINE_SPECS, 16)
+
+
+@query()
+def halton_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kernels.halton(line_observations(spark, sf_dir), LINE_SPECS, 16)
+
+
+@query()
+def evolution_suggest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kernels.suggest_evolution(line_observations(spark, sf_dir), LINE_SPECS)
+
+
+@query()
+def covariance_suggest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kernels.suggest_covariance(line_observations(spark, sf_dir), LINE_SPECS)

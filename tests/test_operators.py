@@ -112,7 +112,7 @@ def test_acquisitions(spark):
 
 def test_kernels_keep_bounds(spark):
     obs = catalogue.line_observations(spark, SF)
-    for f in (kernels.suggest_gp, kernels.suggest_tpe):
+    for f in (kernels.suggest_gp, kernels.suggest_tpe, kernels.suggest_evolution, kernels.suggest_covariance, lambda o, s: kernels.random_points(o, s, 4), lambda o, s: kernels.halton(o, s, 4)):
         rows = f(obs, catalogue.LINE_SPECS).collect()
         assert rows and all(s.lower <= r[s.name] <= s.upper for r in rows for s in catalogue.LINE_SPECS)
     points = kernels.latin_hypercube(obs, catalogue.LINE_SPECS, 8)
