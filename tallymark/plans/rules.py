@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..model import EVENT_SQL, LINE_SPECS, LINE_SQL, event_observations, line_observations, read
-from ..operators import decide, design, diagnostics, kernels, pareto, signals, stats
+from ..operators import decide, design, diagnostics, kernels, manage, pareto, signals, stats
 from .catalogue import ORACLES, PARAMS, _corr, _r, query
 
 
@@ -194,3 +194,62 @@ def evolution_suggest(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def covariance_suggest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kernels.suggest_covariance(line_observations(spark, sf_dir), LINE_SPECS)
+
+
+KINDS = ["click", "error", "purchase", "signup", "view"]
+
+
+@query(f"""+ w AS (SELECT campaign_id, {', '.join(f"max(kpi) FILTER (WHERE event_type = '{k}') AS {k}" for k in KINDS)} FROM obs GROUP BY 1)
+SELECT *, row_number() OVER (ORDER BY greatest({', '.join(KINDS)}) DESC NULLS LAST, campaign_id)::INT AS place FROM w""", EVENT_SQL)
+def campaign_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manage.compare_campaigns(event_observations(spark, sf_dir), "event_type", KINDS)
+
+
+@query(f"""SELECT campaign_id, count(*) AS total, {', '.join(f"count(*) FILTER (WHERE event_type = '{k}') AS n_{k}" for k in KINDS)} FROM obs GROUP BY 1""", EVENT_SQL)
+def status_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manage.status_counts(event_observations(spark, sf_dir), "campaign_id", "event_type", KINDS)
+
+
+@query(f"""+ p AS (SELECT p_brand, p_partkey, p_size::DOUBLE AS d, (row_number() OVER (PARTITION BY p_brand ORDER BY p_size DESC, p_partkey) - 1) // 4 AS batch FROM part),
+b AS (SELECT p_brand, batch, max(d) AS m FROM p GROUP BY 1, 2),
+s AS (SELECT p_brand, batch, {_r('coalesce(sum(m) OVER (PARTITION BY p_brand ORDER BY batch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)', 2)} AS starts FROM b)
+SELECT p_brand, p_partkey, batch, starts FROM p JOIN s USING (p_brand, batch)""", CURVES)
+def batch_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manage.schedule(read(spark, sf_dir, "part").withColumn("d", F.col("p_size").cast("double")), "p_brand", "p_partkey", "d", 4)
+
+
+@query("""+ b AS (SELECT campaign_id, iteration, max(CASE WHEN NOT is_failure THEN kpi END) OVER (PARTITION BY campaign_id ORDER BY iteration) AS best FROM obs),
+l AS (SELECT *, best - lag(best, 15) OVER (PARTITION BY campaign_id ORDER BY iteration) AS gain FROM b),
+w AS (SELECT campaign_id, iteration, CASE WHEN iteration + 1 >= 60 THEN 'trials' WHEN gain < 0.5 THEN 'stagnation' END AS why FROM l)
+SELECT campaign_id, iteration, why FROM (SELECT *, row_number() OVER (PARTITION BY campaign_id ORDER BY iteration) AS k FROM w WHERE why IS NOT NULL) WHERE k = 1""", EVENT_SQL)
+def stopping_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manage.stop_at(event_observations(spark, sf_dir), 15, 0.5, 60)
+
+
+@query(f"""+ d AS (SELECT campaign_id, iteration, kpi - avg(kpi) OVER (PARTITION BY campaign_id) AS d FROM obs), l AS (SELECT *, lag(d) OVER (PARTITION BY campaign_id ORDER BY iteration) AS b FROM d)
+SELECT campaign_id, {_r('coalesce(CASE WHEN sum(d * d) > 0 THEN sum(d * b) / sum(d * d) END, 0)')} AS r1 FROM l GROUP BY 1""", EVENT_SQL)
+def lag1_autocorrelation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manage.lag1_autocorrelation(event_observations(spark, sf_dir))
+
+
+@query(f"""+ n AS (SELECT campaign_id, iteration, kpi, count(*) OVER (PARTITION BY campaign_id) AS n FROM obs)
+SELECT campaign_id, {_r('sum(kpi * 0.8::DOUBLE ** (n - 1 - iteration) * CASE WHEN iteration = 0 THEN 1.0::DOUBLE ELSE 0.2::DOUBLE END)')} AS ema FROM n GROUP BY 1""", EVENT_SQL)
+def ema(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manage.smoothed(event_observations(spark, sf_dir), 0.2)
+
+
+@query("SELECT doc_id, n_chars FROM documents WHERE contains(lower(text), 'token') OR contains(lower(text), 'secret') ORDER BY n_chars DESC, doc_id LIMIT 20")
+def record_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manage.search_records(read(spark, sf_dir, "documents"), "doc_id", "text", "n_chars", ["token", "secret"], 20)
+
+
+@query(f"""+ s AS (SELECT l_returnflag, l_suppkey, count(*) AS n, {_r("avg((l_discount > 0.05)::INT) * least(1.0, count(*) / 5) - avg((l_tax > 0.06)::INT)")} AS score FROM lineitem GROUP BY 1, 2)
+SELECT *, row_number() OVER (PARTITION BY l_returnflag ORDER BY score DESC, l_suppkey)::INT AS rank FROM s""", CURVES)
+def rank_backends(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manage.rank_backends(read(spark, sf_dir, "lineitem"), "l_returnflag", "l_suppkey", F.col("l_discount") > 0.05, F.col("l_tax") > 0.06)
+
+
+@query(f"""+ m AS (SELECT c_nationkey, row_number() OVER o AS rank, c_acctbal - lead(c_acctbal) OVER o AS margin, max(c_acctbal) OVER e - min(c_acctbal) OVER e AS span FROM customer WINDOW o AS (PARTITION BY c_nationkey ORDER BY c_acctbal DESC, c_custkey), e AS (PARTITION BY c_nationkey))
+SELECT c_nationkey, count(*) AS n_margins, count(*) FILTER (WHERE margin < 0.01 * span) AS n_unstable, {_r('max(margin) FILTER (WHERE rank = 1)', 4)} AS top_margin FROM m WHERE margin IS NOT NULL GROUP BY 1""", CURVES)
+def decision_stability(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manage.decision_stability(read(spark, sf_dir, "customer"), "c_nationkey", "c_custkey", "c_acctbal", 0.01)
