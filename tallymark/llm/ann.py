@@ -33,9 +33,9 @@ DEGREE = 24
 REVERSE = 24
 PER_JOIN = 6
 ITERATIONS = 4
-BEAM = 96
-EXPAND = 16
-ROUNDS = 8
+BEAM = 512
+EXPAND = 64
+ROUNDS = 14
 ENTRIES = 64
 SEED = 11
 
