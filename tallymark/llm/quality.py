@@ -4,7 +4,8 @@ A document is a bag of passages of 64 words.  Every passage is encoded by a lear
 (square roots of byte frequencies and of the shares of repeated byte triples and of word lengths); gated attention,
 learned from document labels alone, weighs the encoded passages, and the weighted sum is scored by a logistic layer.
 
-Only a bounded sample of labelled documents is learned from: ``SAMPLE`` of each class at most, the first in the
+Only a bounded sample of labelled documents is learned from: ``SAMPLE`` of each class at most (few enough for Spark to
+limit each class before the shuffle), the first in the
 order of a hash of their id.  The fit is plain numpy with a fixed seed, so reruns agree.
 
 Edge cases: a null or empty text is one empty passage and gets a score like any other; labels that are null teach
@@ -23,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 PASSAGE = 64
-SAMPLE = 1200
+SAMPLE = 1000
 TRIPLES = 64
 LENGTHS = 16
 WIDTH = 256 + TRIPLES + LENGTHS + 1
