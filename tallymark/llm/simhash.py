@@ -6,9 +6,13 @@ exclusive-or and bit counts.  For a small radius a tile has one count for each 1
 radius differ in no more bits than the radius in all quarters together, so no pair is missed and few tiles are paired.
 A tile pair reports a spanning forest of its links, never all pairs of a group.
 
-Fingerprints have 64 bits or a multiple; the further words are mixed from the same shingle hashes.  The wide form parts
-near copies from the rest by many standard deviations: five-word shingles at a similarity of 0.8 differ in about
-39 of 256 bits, unrelated texts in 128.
+Fingerprints have 64 bits or a multiple; the further words are mixed from the same shingle hashes.
+
+``keep_one`` decides by the sets of distinct five-word shingles: two texts are linked if the sets share NEAR_SHARE or more of
+their union.  Wide fingerprints of the sets only find candidates: at a similarity of 0.8 they differ in about 39 of 256 bits
+(sets of 4 and 5 shingles, the worst case, in 48), unrelated texts in 128, so a radius of 80 is five or more standard deviations
+from what must be linked.  The sets of each candidate component are then compared whole, in pairs of blocks of bounded size.
+Sets of under four shingles reach 0.8 only if they are equal; equal sets are one node and need no comparison.
 
 Edge cases: null, empty and word-less texts have fingerprint zero and are linked like any other; equal texts
 have equal fingerprints; a null id belongs to its component but never names it; an empty table gives an empty
@@ -17,7 +21,7 @@ result; columns beside doc_id and text are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import product
 
 import numpy as np
@@ -35,7 +39,10 @@ TILE = 4096
 QUARTERED = 3
 NEAR_SHINGLE = 5
 NEAR_WORDS = 4
-NEAR_RADIUS = 44
+NEAR_RADIUS = 80
+NEAR_SHARE = (4, 5)
+BLOCK = 1 << 17
+PLACES = 1 << 23
 _ODD = 0x9E3779B97F4A7C15
 
 
@@ -122,11 +129,37 @@ def _forest(a: np.ndarray, b: np.ndarray, radius: int, same: bool, step: int = 6
     return out
 
 
+def _compared(words: int, radius: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Pairs of tiles -> links, of which each batch reports a spanning forest."""
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            over: dict[int, int] = {}
+            kept = []
+            for at in range(batch.num_rows):
+                a, b = (batch.column(c)[at].values.to_numpy().reshape(-1, words + 1) for c in ("a", "b"))
+                for pair in _forest(a, b, radius, batch.column("same")[at].as_py()):
+                    u, v = pair
+                    while u in over:
+                        over[u] = u = over.get(over[u], over[u])
+                    while v in over:
+                        over[v] = v = over.get(over[v], over[v])
+                    if u != v:
+                        over[max(u, v)] = min(u, v)
+                        kept.append((max(u, v), min(u, v)))
+            yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in kept], pa.int64()) for i in (0, 1)], names=["a", "b"])
+
+    return compare
+
+
 def links(distinct: DataFrame, words: int = 1, radius: int = RADIUS) -> DataFrame:
     """Distinct (node, fp0, ...) -> (a, b): links that connect every two fingerprints of at most ``radius`` differing bits."""
     names = _names(words)
     parts = 4 if words == 1 and radius <= QUARTERED else 1
-    if parts == 4:
+    if words > 1:
+        # At a wide radius counts part nothing: all fingerprints have one key and tiles are only their parts.
+        ones = [F.lit(0)]
+    elif parts == 4:
         ones = [F.bit_count(F.shiftrightunsigned("fp0", low).bitwiseAND(F.lit(0xFFFF))) for low in (48, 32, 16, 0)]
     else:
         ones = [sum((F.bit_count(n) for n in names), F.lit(0))]
@@ -140,6 +173,14 @@ def links(distinct: DataFrame, words: int = 1, radius: int = RADIUS) -> DataFram
     row = F.array("node", *names)
     tiles = table(split.groupBy("tile", "part").agg(F.flatten(F.sort_array(F.collect_list(row))).alias("rows")), "simhash-tiles")
 
+    if words > 1:
+        dealt = tiles.crossJoin(F.broadcast(counts.select(F.col("parts").alias("all")))).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("all") - 1)))
+        dealt = dealt.select(F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), F.struct("part", "rows").alias("side"))
+        pairs = dealt.groupBy("low", "high").agg(F.sort_array(F.collect_list("side")).alias("sides"))
+        pairs = pairs.where((F.col("low") == F.col("high")) | (F.size("sides") == 2))
+        pairs = pairs.select(F.element_at("sides", 1)["rows"].alias("a"), F.element_at("sides", -1)["rows"].alias("b"), (F.col("low") == F.col("high")).alias("same"))
+        return pairs.mapInArrow(_compared(words, radius), "a long, b long")
+
     step = F.explode(F.array(*(F.lit(x).cast("long") for x in _neighbours(radius, parts))))
     left = tiles.select(F.col("tile").alias("own"), F.col("part").alias("own_part"), F.col("rows").alias("a"), step.alias("step"))
     left = left.withColumn("tile", F.col("own") + F.col("step"))
@@ -150,14 +191,7 @@ def links(distinct: DataFrame, words: int = 1, radius: int = RADIUS) -> DataFram
         # Few pairs of large tiles: deal them out one by one.
         pairs = pairs.repartition(F.xxhash64(F.get("a", F.lit(0)), F.get("b", F.lit(0))))
 
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(batch.num_rows):
-                a, b = (batch.column(c)[at].values.to_numpy().reshape(-1, words + 1) for c in ("a", "b"))
-                found = _forest(a, b, radius, batch.column("same")[at].as_py())
-                yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in found], pa.int64()) for i in (0, 1)], names=["a", "b"])
-
-    return pairs.mapInArrow(compare, "a long, b long")
+    return pairs.mapInArrow(_compared(words, radius), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, words: int = 1, radius: int = RADIUS) -> DataFrame:
@@ -172,8 +206,123 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, words: int = 1, rad
     return own.join(group, "node").select("doc_id", *_names(words), "component_id")
 
 
-def keep_one(docs: DataFrame, shingle: int = NEAR_SHINGLE, words: int = NEAR_WORDS, radius: int = NEAR_RADIUS) -> DataFrame:
-    """``docs`` with one row of each component: a row of its least id.  Rows without an id stay."""
-    kept = near_duplicates(docs, shingle, words, radius).select(F.col("component_id").alias("kept_id")).where("kept_id IS NOT NULL").distinct()
-    named = docs.where(F.col("doc_id").isNotNull()).join(kept, F.col("doc_id") == F.col("kept_id"), "left_semi")
-    return named.dropDuplicates(["doc_id"]).unionByName(docs.where(F.col("doc_id").isNull()))
+def shingle_set(text: str | None, shingle: int = NEAR_SHINGLE) -> np.ndarray:
+    """The distinct XXH64 of the text's shingles, ascending."""
+    import xxhash
+
+    tokens = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    line = b" ".join(tokens)
+    ends = np.cumsum([len(w) + 1 for w in tokens]) - 1
+    starts = (ends - [len(w) for w in tokens]).astype(int).tolist()
+    last = ends[min(shingle, len(tokens)) - 1 :].astype(int).tolist() if tokens else []
+    digest = xxhash.xxh64_digest
+    return np.unique(np.frombuffer(b"".join([digest(line[s:e], SEED) for s, e in zip(starts, last)]), dtype=">u8").astype(np.uint64))
+
+
+def _set_prints(docs: DataFrame, shingle: int, words: int) -> DataFrame:
+    """doc_id, text_key, the shingle set's node and size, and its fingerprint's words."""
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
+        for batch in batches:
+            nodes, sizes, fps = [], [], []
+            for text in batch.column("text").to_pylist():
+                own = shingle_set(text, shingle)
+                counts = np.zeros(64 * words, dtype=np.int64)
+                for at in range(0, len(own), 1 << 14):
+                    bits = np.unpackbits(_mixed(own[at : at + (1 << 14)], words).astype(">u8").view(np.uint8)).reshape(-1, 64 * words)
+                    counts += np.add.reduce(bits, axis=0, dtype=np.uint32)
+                nodes.append(xxhash.xxh64_intdigest(own.tobytes(), SEED))
+                sizes.append(len(own))
+                fps.append(np.packbits(counts * 2 > len(own)).view(">u8"))
+            fps = np.array(fps, dtype=np.uint64).reshape(-1, words).view(np.int64)
+            columns = [pa.array(np.array(nodes, dtype=np.uint64).view(np.int64)), pa.array(sizes, pa.int64()), *(pa.array(fps[:, i]) for i in range(words))]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_key"), *columns], names=["doc_id", "text_key", "node", "size", *_names(words)])
+
+    schema = ", ".join(["doc_id long, text_key long, node long, size long", *(f"{n} long" for n in _names(words))])
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), "text").mapInArrow(hashed, schema)
+
+
+def _sets_of(docs: DataFrame, members: DataFrame, shingle: int) -> DataFrame:
+    """``members`` (doc_id, text_key, ...) with their shingle sets.  A bitmap of fixed size spares most other texts the join."""
+    place = F.pmod(F.xxhash64("doc_id", "text_key"), F.lit(PLACES))
+    one = F.expr("shiftleft(1L, cast(place % 64 AS int))")
+    found = members.select(place.alias("place")).groupBy(F.floor(F.col("place") / 64).alias("word")).agg(F.bit_or(one).alias("bits")).collect()
+    bitmap = np.zeros(PLACES // 64, dtype=np.int64)
+    bitmap[[r.word for r in found]] = [r.bits for r in found]
+
+    def pull(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch.column("place").to_numpy()
+            own = batch.filter(pa.array((bitmap[at >> 6] >> (at & 63) & 1).astype(bool)))
+            sets = [shingle_set(t, shingle).tobytes() for t in own.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([own.column("doc_id"), own.column("text_key"), pa.array(sets, pa.binary())], names=["own_id", "own_key", "shingles"])
+
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), "text").select("doc_id", "text_key", place.alias("place"), "text")
+    pulled = keyed.mapInArrow(pull, "own_id long, own_key long, shingles binary")
+    return pulled.join(members, F.col("own_id").eqNullSafe(F.col("doc_id")) & (F.col("own_key") == F.col("text_key")))
+
+
+def _set_forest(nodes: list[int], sets: list[np.ndarray], parts: np.ndarray, across: bool, share: tuple[int, int]) -> list[tuple[int, int]]:
+    """A spanning forest of the links between sets that share at least ``share`` of their union, or only those of two parts."""
+    num, den = share
+    sizes = np.array([len(s) for s in sets], dtype=np.int64)
+    tree = np.arange(len(sets))
+    out = []
+    for i, own in enumerate(sets):
+        at = i + 1 + np.flatnonzero(tree[i + 1 :] != tree[i])
+        at = at[(sizes[at] * den >= sizes[i] * num) & (sizes[i] * den >= sizes[at] * num)]
+        if across:
+            at = at[parts[at] != parts[i]]
+        if not len(at):
+            continue
+        others = np.concatenate([sets[j] for j in at])
+        hits = own[np.minimum(np.searchsorted(own, others), len(own) - 1)] == others
+        both = np.add.reduceat(hits, np.cumsum(sizes[at]) - sizes[at], dtype=np.int64)
+        for j in at[both * den >= (sizes[i] + sizes[at] - both) * num].tolist():
+            if tree[j] != tree[i]:
+                tree[tree == tree[j]] = tree[i]
+                out.append((nodes[i], nodes[j]))
+    return out
+
+
+def set_links(docs: DataFrame, distinct: DataFrame, shingle: int, words: int, radius: int, share: tuple[int, int]) -> DataFrame:
+    """(a, b): links that connect every two candidates of ``distinct`` whose shingle sets share at least ``share`` of their union."""
+    num, den = share
+    large = distinct.where(F.col("size") * (den - num) >= num)
+    members = components(links(large, words, radius)).join(distinct.select("node", "size", "any.doc_id", "any.text_key"), "node")
+    members = table(members, "simhash-candidates")
+    parts = members.groupBy("root").agg(F.ceil(F.sum("size") / BLOCK).cast("int").alias("parts"))
+    members = members.join(parts, "root").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    members = table(members, "simhash-members")
+    item = F.struct("node", "part", "shingles")
+    blocks = _sets_of(docs, members, shingle).groupBy("root", "part", "parts").agg(F.collect_list(item).alias("rows"))
+    dealt = blocks.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    dealt = dealt.select("root", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), "rows")
+    pairs = dealt.groupBy("root", "low", "high").agg(F.flatten(F.collect_list("rows")).alias("rows"))
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(batch.num_rows):
+                rows = batch.column("rows")[at].values
+                sets = [np.frombuffer(s, dtype=np.uint64) for s in rows.field("shingles").to_pylist()]
+                found = _set_forest(rows.field("node").to_pylist(), sets, rows.field("part").to_numpy(), batch.column("across")[at].as_py(), share)
+                yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in found], pa.int64()) for i in (0, 1)], names=["a", "b"])
+
+    return pairs.select((F.col("low") != F.col("high")).alias("across"), "rows").mapInArrow(compare, "a long, b long")
+
+
+def keep_one(docs: DataFrame, shingle: int = NEAR_SHINGLE, words: int = NEAR_WORDS, radius: int = NEAR_RADIUS, share: tuple[int, int] = NEAR_SHARE) -> DataFrame:
+    """``docs`` with one row of each component of near copies: a row of its least id.  Rows without an id stay."""
+    own = table(_set_prints(docs, shingle, words), "simhash")
+    row = F.struct("doc_id", "text_key")
+    named = F.min(F.when(F.col("doc_id").isNotNull(), row)).alias("first")
+    distinct = table(own.groupBy("node", "size", *_names(words)).agg(F.min(row).alias("any"), named), "simhash-distinct")
+    linked = components(set_links(docs, distinct, shingle, words, radius, share))
+    least = distinct.select("node", "first").join(linked, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("first").alias("first"))
+    kept = least.where("first IS NOT NULL").select(F.col("first.doc_id").alias("kept_id"), F.col("first.text_key").alias("kept_key"))
+    # Rows may share an id and differ in text, so the text's key belongs to the name of what is kept.
+    keyed = docs.where(F.col("doc_id").isNotNull()).withColumn("_text_key", F.xxhash64("text"))
+    kept_rows = keyed.join(kept, (F.col("doc_id") == F.col("kept_id")) & (F.col("_text_key") == F.col("kept_key")), "left_semi")
+    return kept_rows.dropDuplicates(["doc_id", "_text_key"]).drop("_text_key").unionByName(docs.where(F.col("doc_id").isNull()))

@@ -107,6 +107,42 @@ def test_wide_simhash_parts_copies(spark):
     assert kept == {*range(30), None}
 
 
+def test_near_copies_are_decided_by_shingle_sets(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    monkeypatch.setattr(simhash, "BLOCK", 2000)
+    texts, kept = [], set()
+    for case in range(60):
+        # A head of fresh words put before n five-word shingles: n of n + extra are shared.
+        n = int(rng.integers(8, 400))
+        extra = n // 4 if case % 2 else n // 4 + 1
+        base = [f"c{case}w{x}" for x in range(n + 4)]
+        kept.add(len(texts))
+        if not case % 2:
+            kept.add(len(texts) + 1)
+        texts += [" ".join(base), " ".join([f"c{case}h{x}" for x in range(extra)] + base)]
+    # One group of many blocks, and texts that say the same line again and again.
+    base = [f"g{x}" for x in range(100)]
+    kept.add(len(texts))
+    texts += [" ".join(base[:i] + [f"new{i}"] + base[i:]) for i in range(8, 90)]
+    kept.add(len(texts))
+    texts += ["a line that is said again and again", " ".join(["a line that is said again and again"] * 2), " ".join(["a line that is said again and again"] * 40)]
+    texts.append(texts[-1] + " a line")
+    rows = [(i, t) for i, t in enumerate(texts)] + [(0, "one more text under an id that is in use"), (0, texts[0])]
+    assert simhash.shingle_set(None).size == 0
+    found = [tuple(r) for r in simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    sets = {t: set(simhash.shingle_set(t).tolist()) for _, t in rows}
+    alike = lambda a, b: 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])
+    root = {r: r for r in rows}
+    for _ in rows:
+        before = dict(root)
+        for a in rows:
+            root[a] = min(root[b] for b in rows if alike(a[1], b[1]))
+        if before == root:
+            break
+    assert sorted(found) == sorted(set(root.values()))
+    assert {i for i, _ in found} >= {i for i in kept if i < 120} and (0, rows[-2][1]) in found
+
+
 RULE = {"assign": (secrets.RULES[0].pattern.removeprefix("(?i)"), re.I | re.A, 2, 6), "access": (r"AKIA[A-Z0-9]+", 0, 0, 20), "hex": (r"[0-9a-f]+", 0, 0, 24)}
 SECRET_TEXTS = [None, "", "é token = abcdef12 and PASSWORD:'x' secret=token:abcdefgh", "AKIA" + "A1" * 9 + " AKIAAKIA short", "🙂 " + "0af" * 9 + " beef", "api_key=deadbeefdeadbeefdeadbeef01 apikey: short", "key token==a", "passwd : \"q1w2e3r4\"" * 40]
 
