@@ -6,6 +6,7 @@ Each kernel is a small numpy function; Spark deals the campaigns out.  Seeds com
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -15,6 +16,10 @@ from pyspark.sql import functions as F
 from ..model import Spec
 
 
+# Trials of one campaign summed in one task.
+BLOCK = 1 << 14
+
+
 def _unit(pdf: pd.DataFrame, specs: tuple[Spec, ...]) -> np.ndarray:
     return np.column_stack([(pdf[s.name].to_numpy(dtype=float) - s.lower) / (s.upper - s.lower) for s in specs])
 
@@ -98,31 +103,86 @@ def suggest_covariance(obs: DataFrame, specs: tuple[Spec, ...], n: int = 3, most
     return obs.where("NOT is_failure AND kpi IS NOT NULL").groupBy("campaign_id").applyInPandas(run, _schema(specs))
 
 
-def suggest_gp(obs: DataFrame, specs: tuple[Spec, ...], n: int = 3, pool: int = 256, most: int = 200, noise: float = 1e-3, seed: int = 42) -> DataFrame:
+def suggest_gp(obs: DataFrame, specs: tuple[Spec, ...], n: int = 3, pool: int = 256, most: int = 1000, noise: float = 1e-3, seed: int = 42, inducing: int = 128) -> DataFrame:
     """Per campaign the ``n`` candidates of highest expected improvement (maximising) under a Gaussian process.
 
-    The process is fitted to the campaign's latest ``most`` successes, a stated model parameter that bounds its cubic cost.
+    Every success counts.  Up to ``most`` of them make an exact process; a larger campaign has one over ``inducing`` points, whose sums
+    over all successes are made block by block, so no group of trials ever meets in a task.  Mean, deviation and incumbent are of all.
     """
+    kernel = lambda a, b: np.exp(-((a[:, None] - b[None]) ** 2).sum(axis=2) / (2 * 0.3**2))
+
+    def choose(campaign: int, points: np.ndarray, mean: np.ndarray, sigma: np.ndarray, top: float, centre: float, sd: float) -> pd.DataFrame:
+        u = (mean - top) / sigma
+        cdf = 0.5 * (1 + np.vectorize(math.erf)(u / np.sqrt(2)))
+        gain = (mean - top) * cdf + sigma * np.exp(-u * u / 2) / np.sqrt(2 * np.pi)
+        best = np.argsort(-gain, kind="stable")[:n]
+        return _frame(campaign, points[best], specs, mean=mean[best] * sd + centre, sigma=sigma[best] * sd, gain=gain[best] * sd)
+
+    def knots(campaign: int) -> np.ndarray:
+        # A little beyond the bounds, so that corners are held too.
+        return 1.2 * _latin(np.random.default_rng([seed, campaign, inducing]), inducing, len(specs)) - 0.1
+
+    upper = np.triu_indices(inducing)
+
+    def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        campaign, block, held = None, None, []
+
+        def out() -> pd.DataFrame:
+            return pd.DataFrame([(campaign, block, centre, sd, top, np.concatenate([squares[upper], sums]))], columns=["campaign_id", "block", "centre", "sd", "top", "sums"])
+
+        for batch in batches:
+            for key, pdf in batch.groupby(["campaign_id", "block"], sort=False):
+                if (campaign, block) != key:
+                    if campaign is not None:
+                        yield out()
+                    campaign, block = key
+                    centre, sd, top = (float(pdf[c].iloc[0]) for c in ("centre", "sd", "top"))
+                    at, squares, sums = knots(int(campaign)), np.zeros((inducing, inducing)), np.zeros(inducing)
+                cross = kernel(at, _unit(pdf, specs))
+                squares += cross @ cross.T
+                sums += cross @ ((pdf["kpi"].to_numpy(dtype=float) - centre) / sd)
+        if campaign is not None:
+            yield out()
+
+    def solve(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        centre, sd, top = (float(pdf[c].iloc[0]) for c in ("centre", "sd", "top"))
+        total = np.sum(pdf.sort_values("block")["sums"].tolist(), axis=0)
+        squares = np.zeros((inducing, inducing))
+        squares[upper] = total[: len(upper[0])]
+        squares = squares + np.triu(squares, 1).T
+        at, points = knots(key[0]), _latin(np.random.default_rng([seed, key[0]]), pool, len(specs))
+        low = np.linalg.cholesky(kernel(at, at) + 1e-6 * np.eye(inducing))
+        inner = np.linalg.solve(low, np.linalg.solve(low, squares).T) / noise + np.eye(inducing)
+        chol = np.linalg.cholesky(inner)
+        cross = np.linalg.solve(low, kernel(at, points))
+        wide = np.linalg.solve(chol, cross)
+        mean = wide.T @ np.linalg.solve(chol, np.linalg.solve(low, total[len(upper[0]) :])) / noise
+        sigma = np.sqrt(np.maximum(1 - (cross**2).sum(axis=0) + (wide**2).sum(axis=0), 1e-12))
+        return choose(key[0], points, mean, sigma, (top - centre) / sd, centre, sd)
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         rng = np.random.default_rng([seed, key[0]])
-        pdf = pdf.sort_values("iteration").tail(most)
+        pdf = pdf.sort_values("iteration")
         x, y = _unit(pdf, specs), pdf["kpi"].to_numpy(dtype=float)
         sd = y.std() or 1.0
         z = (y - y.mean()) / sd
         points = _latin(rng, pool, len(specs))
-        kernel = lambda a, b: np.exp(-((a[:, None] - b[None]) ** 2).sum(axis=2) / (2 * 0.3**2))
         chol = np.linalg.cholesky(kernel(x, x) + noise * np.eye(len(x)))
         cross = np.linalg.solve(chol, kernel(x, points))
         mean = cross.T @ np.linalg.solve(chol, z)
         sigma = np.sqrt(np.maximum(1 - (cross**2).sum(axis=0), 1e-12))
-        u = (mean - z.max()) / sigma
-        cdf = 0.5 * (1 + np.vectorize(math.erf)(u / np.sqrt(2)))
-        gain = (mean - z.max()) * cdf + sigma * np.exp(-u * u / 2) / np.sqrt(2 * np.pi)
-        best = np.argsort(-gain, kind="stable")[:n]
-        return _frame(key[0], points[best], specs, mean=mean[best] * sd + y.mean(), sigma=sigma[best] * sd, gain=gain[best] * sd)
-
-    return obs.where("NOT is_failure AND kpi IS NOT NULL").groupBy("campaign_id").applyInPandas(run, _schema(specs, "mean double", "sigma double", "gain double"))
+        return choose(key[0], points, mean, sigma, z.max(), y.mean(), sd)
+
+    schema = _schema(specs, "mean double", "sigma double", "gain double")
+    good = obs.where("NOT is_failure AND kpi IS NOT NULL").select("campaign_id", "iteration", "kpi", *(s.name for s in specs))
+    facts = good.groupBy("campaign_id").agg(F.count("*").alias("n"), F.avg("kpi").alias("centre"), F.stddev_pop("kpi").alias("sd"), F.max("kpi").alias("top"))
+    facts = facts.withColumn("sd", F.when(F.col("sd") > 0, F.col("sd")).otherwise(1.0))
+    small = good.join(facts.where(F.col("n") <= most).select("campaign_id"), "campaign_id", "left_semi").groupBy("campaign_id").applyInPandas(run, schema)
+    blocks = F.pmod(F.xxhash64("iteration"), F.ceil(F.col("n") / BLOCK)).alias("block")
+    large = good.join(facts.where(F.col("n") > most), "campaign_id").select("campaign_id", blocks, "centre", "sd", "top", "kpi", *(s.name for s in specs))
+    large = large.repartition("campaign_id", "block").sortWithinPartitions("campaign_id", "block")
+    sums = large.mapInPandas(add, "campaign_id long, block long, centre double, sd double, top double, sums array<double>")
+    return small.unionByName(sums.groupBy("campaign_id").applyInPandas(solve, schema))
 
 
 def suggest_tpe(obs: DataFrame, specs: tuple[Spec, ...], n: int = 3, share: float = 0.25, width: float = 0.1, seed: int = 42) -> DataFrame:
