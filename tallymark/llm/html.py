@@ -7,16 +7,21 @@ weaken with their distance in the DOM.  A maximum flow separates content from bo
 A block whose own preference outweighs all its edges has that label in every minimum cut, so such blocks are
 settled first and only what is left goes through augmenting paths.
 
+Tags are read by the grammar of HTML: a quote opens a value only directly after an equals sign, so an apostrophe elsewhere
+in a tag or in prose hides nothing.  An inline element that its attributes hide or mark as an advert is a piece of its
+own inside its block; the pieces of a block that stay are put together without a space.
+
 Edge cases: a null or empty page gives an empty text; text outside any tag is a block like any other; unclosed
-and stray tags are tolerated; character references are decoded; scripts, styles, templates and comments never
-make blocks; repeated rows and null ids pass through; an empty table gives an empty result.  Pages are independent,
-so one task holds one batch of pages.
+and stray tags are tolerated, and a "<" that opens no complete tag is text; character references are decoded; scripts, styles,
+titles, templates and comments never make blocks; repeated rows and null ids pass through; other columns are ignored; an empty
+table gives an empty result.  Parsing takes time in proportion to a page, however deep or broken its nesting.  Pages
+are independent, so one task holds one batch of pages.
 """
 
 from __future__ import annotations
 
 import re
-from collections import deque
+from collections import Counter, deque
 from collections.abc import Iterator
 from html import unescape
 
@@ -24,111 +29,220 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 # Tags by their part in a page, and words of class, id and role attributes.
-RAW = "script style noscript template svg iframe"
-BLOCK = "address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html label legend li main menu nav ol option p pre section select summary table tbody td textarea tfoot th thead title tr ul"
+RAW = "script style noscript iframe noembed noframes title textarea"
+UNSEEN = "template svg"
+BLOCK = "address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html label legend li main menu nav ol option p pre section select summary svg table tbody td template tfoot th thead tr ul"
 VOID = "area base br col embed hr img input link meta param source track wbr"
-TAG_COST = {"nav": -9, "menu": -9, "footer": -9, "aside": -9, "form": -9, "button": -9, "select": -9, "textarea": -9, "option": -9, "dialog": -9, "fieldset": -6, "label": -6, "header": -6, "article": 5, "main": 4, "p": 1, "h1": 1.5, "h2": 1, "h3": 1, "blockquote": 1, "pre": 1, "figcaption": 0.5, "li": -0.3, "title": -9}
+SELF_ENDING = "li option dt dd tr td th"
+TAG_COST = {"nav": -9, "menu": -9, "footer": -9, "aside": -9, "form": -9, "button": -9, "select": -9, "option": -9, "dialog": -9, "template": -99, "svg": -99, "fieldset": -6, "label": -6, "header": -6, "article": 5, "main": 4, "p": 1, "h1": 1.5, "h2": 1, "h3": 1, "blockquote": 1, "pre": 1, "figcaption": 0.5, "li": -0.3}
 BAD_WORDS = "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert newsletter subscribe subscription signup login sidebar side aside menu nav navbar navigation breadcrumb breadcrumbs footer header masthead topbar comment comments commentlist reply replies respond disqus share sharing social related recommended recommendations widget widgets popup modal overlay toolbar pagination pager search form copyright legal disclaimer tags toc skip hidden"
 GOOD_WORDS = "article content post story entry body text main prose"
 
-_RAW, _BLOCK, _VOID = set(RAW.split()), set(BLOCK.split()), set(VOID.split())
+_RAW, _BLOCK, _VOID, _UNSEEN, _SELF_ENDING = (set(x.split()) for x in (RAW, BLOCK, VOID, UNSEEN, SELF_ENDING))
 _BAD, _GOOD = set(BAD_WORDS.split()), set(GOOD_WORDS.split())
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|iframe)\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][\w:-]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>|<[!?/][^>]*>", re.S | re.I)
-_NAMED = re.compile(r"(?:^|\s)(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
-_HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
+_COMMENT = re.compile(r"<!--(?:-?>|.*?(?:--!?>|\Z))", re.S)
+_BOGUS = re.compile(r"<[!?/][^>]*>")
+_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)((?>(?:[^>=]|=\s*+(?:\"[^\"]*\"|'[^']*'|[^\s\"'>][^\s>]*)?+)*+))>")
+_PLAIN_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/<>]*)([^<>]*)>")
+_ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>][^\s>]*)))?")
+_END = {tag: re.compile(rf"</{tag}(?=[\s/>])[^>]*>", re.I) for tag in _RAW}
+_UNDRAWN = re.compile(r"(?:display\s*:\s*none|visibility\s*:\s*hidden)\b", re.I)
 _PARTS = re.compile(r"[a-z]+")
 
 
 class Block:
-    __slots__ = ("text", "linked", "parent", "path", "cost")
+    """A piece of text: its block's number, the parent whose children lie side by side, its distance in the DOM from the piece before."""
 
-    def __init__(self, text: str, linked: int, parent: int, path: tuple[int, ...], cost: float):
-        self.text, self.linked, self.parent, self.path, self.cost = text, linked, parent, path, cost
+    __slots__ = ("text", "length", "linked", "number", "holder", "element", "gap", "cost")
 
+    def __init__(self, text: str, length: int, linked: int, number: int, holder: int, element: int, gap: int, cost: float):
+        self.text, self.length, self.linked, self.number, self.holder, self.element, self.gap, self.cost = text, length, linked, number, holder, element, gap, cost
 
-def _element_cost(tag: str, attributes: str, outer: float, inside: bool) -> float:
-    """What an element adds to the content preference of all blocks in it."""
-    cost = TAG_COST.get(tag, 0)
-    if tag == "header" and inside:
-        cost = -1
-    if attributes and tag not in ("html", "body", "main"):
-        for found in _NAMED.findall(attributes):
-            words = set(_PARTS.findall("".join(found).lower()))
+
+def _attribute_cost(tag: str, attributes: str, inside: bool) -> float:
+    cost = 0.0
+    for name, *values in _ATTRIBUTE.findall(attributes):
+        name, value = name.lower(), "".join(values)
+        if name in ("class", "id", "role"):
+            words = set(_PARTS.findall(value.lower()))
             if words & _BAD and not (inside and tag in ("h1", "h2", "p")):
                 cost -= 8
             elif words & _GOOD:
                 cost += 2
-        if _HIDDEN.search(attributes):
+        elif name == "hidden" or (name == "aria-hidden" and value.strip().lower() == "true") or (name == "style" and _UNDRAWN.search(value)):
             cost -= 9
+    return cost
+
+
+def _element_cost(tag: str, attributes: str, outer: float, inside: bool) -> float:
+    """What an element adds to the content preference of all blocks in it."""
+    cost = -1 if tag == "header" and inside else TAG_COST.get(tag, 0)
+    if attributes and tag not in ("html", "body", "main"):
+        cost += _attribute_cost(tag, attributes, inside)
     # Inside boilerplate nothing speaks for content any more.
     return outer + min(cost, 0) if outer < -4 else outer + cost
 
 
 def blocks(html: str) -> list[Block]:
-    """The text blocks of a page in order, with the classifier's evidence from their elements."""
+    """The pieces of a page's text blocks in order, with the classifier's evidence from their elements."""
     out: list[Block] = []
+    # Open elements: tag, number, cost of all that is in it, whether in an article.
     stack: list[tuple[str, int, float, bool]] = [("", 0, 0.0, False)]
-    ids, links, text, linked = 1, 0, [], 0
-    pos = 0
+    opened: Counter[str] = Counter()
+    elements, number, links, text, linked = 1, 0, 0, [], 0
+    lowest = before = 1  # the least depth since the last piece, and that piece's depth
 
-    def flush() -> None:
-        nonlocal linked
+    def flush(ends: bool = True) -> None:
+        nonlocal linked, number, lowest, before
         if text:
-            words = unescape("".join(text)).split()
-            if words:
-                top = stack[-1]
-                out.append(Block(" ".join(words), linked, top[1], tuple(x[1] for x in stack), top[2]))
+            piece = "".join(map(unescape, text))
+            length = len(" ".join(piece.split()))
+            if length:
+                gap = len(stack) + before - 2 * lowest
+                out.append(Block(piece, length, linked, number, stack[-2][1] if len(stack) > 1 else 0, stack[-1][1], gap, stack[-1][2]))
+                lowest = before = len(stack)
+            elif out and out[-1].number == number:
+                out[-1].text += piece
             text.clear()
         linked = 0
+        number += ends
+
+    def close(depth: int) -> None:
+        nonlocal lowest
+        for tag, *_ in stack[depth:]:
+            opened[tag] -= 1
+        del stack[depth:]
+        lowest = min(lowest, len(stack))
+
+    def say(piece: str) -> None:
+        nonlocal linked
+        text.append(piece)
+        if links:
+            linked += len(piece)
 
-    for m in _TOKEN.finditer(html):
-        if m.start() > pos:
-            piece = html[pos : m.start()]
-            text.append(piece)
-            if links:
-                linked += len(piece)
+    pos, last, grammar = 0, html.rfind(">"), _TAG
+    while 0 <= (at := html.find("<", pos)) < last:
+        after = html[at + 1 : at + 2]
+        if html.startswith("<!--", at):
+            m = _COMMENT.match(html, at)
+        elif after.isascii() and after.isalpha() or after == "/" and html[at + 2 : at + 3].isalpha():
+            m = grammar.match(html, at)
+            if not m and grammar is _TAG:
+                # A value's quote is never closed; from here on a tag ends at the first ">".
+                grammar = _PLAIN_TAG
+                m = grammar.match(html, at)
+        else:
+            m = _BOGUS.match(html, at) if after in ("!", "?", "/") else None
+        if not m:
+            say(html[pos : at + 1])
+            pos = at + 1
+            continue
+        if at > pos:
+            say(html[pos:at])
         pos = m.end()
-        tag = (m[3] or "").lower()
-        if not tag:
-            if m[1]:
-                flush()
+        if m.re not in (_TAG, _PLAIN_TAG):
             continue
+        ending, tag, attributes = m[1], m[2].lower(), m[3]
         if tag in _RAW:
-            flush()
+            flush(tag not in ("script", "style", "noscript"))
+            if not ending and (end := _END[tag].search(html, pos)):
+                pos = end.end()
+            elif not ending and not attributes.endswith("/"):
+                pos = len(html)
             continue
         if tag not in _BLOCK:
             if tag == "br":
-                text.append(" ")
-            elif tag == "a":
-                links = 0 if m[2] else 1
+                say(" ")
+            elif ending and opened[tag]:
+                flush(False)
+                depth = len(stack) - 1
+                while stack[depth][0] != tag:
+                    depth -= 1
+                close(depth)
+            elif not ending and tag not in _VOID and attributes and (cost := _attribute_cost(tag, attributes, stack[-1][3])) < 0:
+                flush(False)
+                stack.append((tag, elements, stack[-1][2] + cost, stack[-1][3]))
+                opened[tag] += 1
+                elements += 1
+            if tag == "a":
+                links = 0 if ending else 1
             continue
         flush()
         links = 0
-        if m[2]:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i][0] == tag:
-                    del stack[i:]
-                    break
-        elif tag not in _VOID and not m[4].endswith("/"):
-            # Elements that their next sibling closes.
-            if tag in ("p", "li", "option", "dt", "dd", "tr", "td", "th") or tag in _BLOCK:
-                while stack[-1][0] == "p" or (stack[-1][0] == tag and tag in ("li", "option", "dt", "dd", "tr", "td", "th")):
-                    stack.pop()
+        if ending:
+            if opened[tag]:
+                depth = len(stack) - 1
+                while stack[depth][0] != tag:
+                    depth -= 1
+                close(depth)
+            continue
+        # Elements that their next sibling closes, together with inline elements left open in them.
+        while opened["p"] or (tag in _SELF_ENDING and opened[tag]):
+            depth = len(stack) - 1
+            while depth and stack[depth][0] not in _BLOCK:
+                depth -= 1
+            if stack[depth][0] != "p" and not (stack[depth][0] == tag and tag in _SELF_ENDING):
+                break
+            close(depth)
+        if tag not in _VOID and not (tag in _UNSEEN and attributes.endswith("/")):
             inside = stack[-1][3] or tag in ("article", "main")
-            stack.append((tag, ids, _element_cost(tag, m[4], stack[-1][2], stack[-1][3]), inside))
-            ids += 1
+            stack.append((tag, elements, _element_cost(tag, attributes, stack[-1][2], stack[-1][3]), inside))
+            opened[tag] += 1
+            elements += 1
     if pos < len(html):
-        text.append(html[pos:])
+        say(html[pos:])
     flush()
     return out
 
 
-def _preference(block: Block) -> float:
-    """The classifier's margin: above 0 for content."""
-    n = len(block.text)
-    density = min(1.0, block.linked / n) if n else 1.0
-    length = min(n, 400) / 400
-    return block.cost + 3.0 * length - 0.6 - 4.0 * density * (1 - length / 2)
+def _preferences(found: list[Block]) -> list[float]:
+    """The classifier's margins: above 0 for content.  The pieces that one element has in a block are judged together."""
+    length: Counter[tuple[int, int]] = Counter()
+    linked: Counter[tuple[int, int]] = Counter()
+    for b in found:
+        length[b.number, b.element] += b.length
+        linked[b.number, b.element] += b.linked
+    out = []
+    for b in found:
+        n = length[b.number, b.element]
+        density, size = min(1.0, linked[b.number, b.element] / n), min(n, 400) / 400
+        out.append(b.cost + 3.0 * size - 0.6 - 4.0 * density * (1 - size / 2))
+    return out
+
+
+def _flow(room: dict[int, dict[int, float]], source: int, sink: int) -> set[int]:
+    """Saturate the graph by blocking flows (room is what is left); returns the source side of a minimum cut."""
+    while True:
+        level, line = {source: 0}, deque([source])
+        while line:
+            u = line.popleft()
+            for v, c in room[u].items():
+                if c > 1e-9 and v not in level:
+                    level[v] = level[u] + 1
+                    line.append(v)
+        if sink not in level:
+            return set(level)
+        ways = {u: iter(list(room[u])) for u in level}
+        path = [source]
+        while path:
+            u = path[-1]
+            if u == sink:
+                push = min(room[a][b] for a, b in zip(path, path[1:]))
+                full = len(path)
+                for i, (a, b) in enumerate(zip(path, path[1:])):
+                    room[a][b] -= push
+                    room[b][a] = room[b].get(a, 0.0) + push
+                    if room[a][b] <= 1e-9:
+                        full = min(full, i + 1)
+                del path[full:]
+                continue
+            for v in ways[u]:
+                if room[u][v] > 1e-9 and level.get(v) == level[u] + 1:
+                    path.append(v)
+                    break
+            else:
+                path.pop()
+                level[u] = -1
 
 
 def _cut(prefer: list[float], edges: dict[tuple[int, int], float]) -> list[bool]:
@@ -160,38 +274,12 @@ def _cut(prefer: list[float], edges: dict[tuple[int, int], float]) -> list[bool]
                 room[source][i] = prefer[i]
             else:
                 room[i][sink] = -prefer[i]
-        while True:
-            came, line = {source: source}, deque([source])
-            while line and sink not in came:
-                u = line.popleft()
-                for v, c in room[u].items():
-                    if c > 1e-9 and v not in came:
-                        came[v] = u
-                        line.append(v)
-            if sink not in came:
-                break
-            path, v = [], sink
-            while v != source:
-                path.append((came[v], v))
-                v = came[v]
-            push = min(room[u][v] for u, v in path)
-            for u, v in path:
-                room[u][v] -= push
-                room[v][u] = room[v].get(u, 0.0) + push
+        content = _flow(room, source, sink)
         for i in rest:
-            label[i] = i in came
+            label[i] = i in content
     return [bool(x) for x in label]
 
 
-def _distance(a: tuple[int, ...], b: tuple[int, ...]) -> int:
-    same = 0
-    for x, y in zip(a, b):
-        if x != y:
-            break
-        same += 1
-    return len(a) + len(b) - 2 * same
-
-
 def extract(html: str | None) -> str:
     """The main text of one page."""
     found = blocks(html or "")
@@ -199,14 +287,16 @@ def extract(html: str | None) -> str:
     last: dict[int, int] = {}
     for i, block in enumerate(found):
         if i:
-            edges[i - 1, i] = 1.6 / (1 + _distance(found[i - 1].path, block.path))
-        holder = block.path[-2] if len(block.path) > 1 else 0
-        if holder in last:
-            at = (last[holder], i)
+            edges[i - 1, i] = 1.6 / (1 + block.gap)
+        if block.holder in last:
+            at = (last[block.holder], i)
             edges[at] = edges.get(at, 0) + 0.8
-        last[holder] = i
-    keep = _cut([_preference(b) for b in found], edges)
-    return " ".join(b.text for b, k in zip(found, keep) if k)
+        last[block.holder] = i
+    texts: dict[int, list[str]] = {}
+    for block, kept in zip(found, _cut(_preferences(found), edges)):
+        if kept:
+            texts.setdefault(block.number, []).append(block.text)
+    return " ".join(" ".join("".join(pieces).split()) for pieces in texts.values())
 
 
 def extract_pages(pages: DataFrame) -> DataFrame:

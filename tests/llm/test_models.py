@@ -63,6 +63,40 @@ def test_extracts_article():
     assert html.extract("<p>" + "plain words without any frame " * 10) == ("plain words without any frame " * 10).strip()
 
 
+def test_quotes_and_hidden_pieces():
+    assert html.extract("<article><p title=it's>Hello dear reader.</p><p>Second it's a paragraph.</p></article>") == "Hello dear reader. Second it's a paragraph."
+    assert html.extract('<article><p data-x="a>b" c=\'d>e\'>One two three.</p><p>Less < more, 1<2 and "so" on.</p></article>') == 'One two three. Less < more, 1<2 and "so" on.'
+    assert html.extract("<article><p>Some <span style='display:none'>HIDDEN</span>text <b hidden>no</b>and <span class='ad'>BUY</span>foo<span class=x>bar</span>baz.</p></article>") == "Some text and foobarbaz."
+    assert html.extract("<article><p title='a hidden gem'>Gem words.</p><script>if (a<b) '</p>'</script><p>More words.</p></article>") == "Gem words. More words."
+    assert html.extract('<article><p>Broken <a href="x>link</a> text goes on here.</p></article>').startswith("Broken")
+
+
+@pytest.mark.parametrize("unit", ["<div>x", "<p>it's ", "<a ", '<a b="', "<span class=ad>x", "<ul><li>a <a>b</a>", "<!", "<div><p>abc</p>", "</div>", "<svg>"])
+def test_broken_pages_end(unit):
+    import time
+
+    begin = time.time()
+    html.extract(unit * 10_000 + "".join(f"</{t}>" for t in ("span", "div", "p")) * 10_000)
+    assert time.time() - begin < 10
+    page = "<nav>" + unit + "</nav><article><p>" + "many words of prose " * 60_000 + "</p></article>"
+    if not unit.startswith(("<a", "<!", "<svg")):
+        assert html.extract(page).endswith("prose")
+
+
+def test_generated_pages_give_their_article():
+    rng = np.random.default_rng(8)
+    words = lambda n: " ".join(rng.choice(["stone", "river", "it's", "a&b", "x<y", "née", "light"], n))
+    import html as entities
+
+    noise = ["<nav><ul><li><a href='/a'>Go {}</a></li></ul></nav>", "<div class=ad><p>{}</p></div>", "<aside>{}</aside>", "<form action=/s><label>{}</label><input name=q></form>", "<div class='cookie-notice'>{}</div>", "<section id=comments><p>{}</p></section>", "<footer>{}</footer>", "<script>var t = '</p>{}';</script>", "<!-- <p>{}</p> -->", "<style>.x{{}}</style>"]
+    for _ in range(60):
+        parts = [words(int(rng.integers(1, 60))) for _ in range(int(rng.integers(1, 9)))]
+        body = "<h1>" + entities.escape(parts[0]) + "</h1>" + "".join(f"<p title=it's>{entities.escape(x)}" + ("</p>" if rng.random() < 0.5 else "") for x in parts[1:])
+        around = [noise[i].format(words(int(rng.integers(1, 40))).replace("<", "").replace("&", "")) for i in rng.integers(0, len(noise), 6)]
+        page = "<html><head><title>t</title></head><body>" + "".join(around[:3]) + "<article>" + body + around[3] + "</article>" + "".join(around[4:]) + "</body></html>"
+        assert html.extract(page) == " ".join(" ".join(parts).split())
+
+
 def test_cut_is_least():
     rng = np.random.default_rng(0)
     for _ in range(60):
