@@ -130,7 +130,37 @@ SELECT page_id, n AS payload_bytes, sha1(h) AS payload_digest,
 FROM k
 """
 
+def _op8_sql() -> str:
+    """The base rules with each letter of the first in either case; a match's place is the length of the gaps and matches before it."""
+    either = "(" + "|".join("".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in w) for w in ("password", "passwd", "secret", "token", "api_?key")) + ")"
+    kinds = (
+        ("assign", either + r"""[""']?\x20*[:=]\x20*[""']?([A-Za-z0-9+/_.=-]+)""".replace('""', '"').replace("'", "''"), 2, 6),
+        ("access", "AKIA[A-Z0-9]+", 0, 20),
+        ("hex", "[0-9a-f]+", 0, 24),
+    )
+    parts = [
+        f"""SELECT doc, {i} AS place, '{kind}' AS kind, unnest(regexp_extract_all(t, '{pattern}')) AS m, unnest(regexp_extract_all(t, '{pattern}', {group})) AS held,
+       unnest(string_split_regex(t, '{pattern}')) AS gap, unnest(range(1, len(string_split_regex(t, '{pattern}')) + 1)) AS i, {least} AS least FROM texts"""
+        for i, (kind, pattern, group, least) in enumerate(kinds)
+    ]
+    return f"""
+WITH texts AS (SELECT row_number() OVER () AS doc, doc_id, coalesce(text, '') AS t FROM documents),
+matches AS ({' UNION ALL '.join(parts)}),
+spans AS (
+  SELECT doc, place, kind, length(held) >= least AS kept,
+         sum(length(gap) + coalesce(length(m), 0)) OVER (PARTITION BY doc, place ORDER BY i) AS stop, length(m) AS n
+  FROM matches),
+found AS (
+  SELECT doc, count(*) FILTER (WHERE place = 0) AS a, count(*) FILTER (WHERE place = 1) AS b, count(*) FILTER (WHERE place = 2) AS c,
+         string_agg(kind || ':' || (stop - n)::BIGINT || ':' || stop::BIGINT, ',' ORDER BY stop - n, place) AS s
+  FROM spans WHERE n IS NOT NULL AND kept GROUP BY doc)
+SELECT doc_id, coalesce(a, 0)::BIGINT AS n_assign, coalesce(b, 0)::BIGINT AS n_access, coalesce(c, 0)::BIGINT AS n_hex,
+       sha256(coalesce(s, '')) AS base_sha256, coalesce(s, '') AS spans
+FROM texts LEFT JOIN found USING (doc)"""
+
+
 ORACLES: dict[str, str] = {
+    "op8_secrets": _op8_sql(),
     "op10_warc": OP10_SQL,
     "op6_mixing": OP6_SQL,
 }

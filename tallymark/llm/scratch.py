@@ -10,8 +10,13 @@ LOCAL = "/tmp/checkpoints"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that ``spark.checkpoint.dir`` names; a local one only where that is unset, as in tests."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or LOCAL).rstrip("/")
+    """The folder that ``spark.checkpoint.dir`` names; a local one only where that is unset and the master is this machine, as in tests."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named.rstrip("/")
+    if spark.sparkContext.master.split("[")[0] != "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that the whole cluster shares")
+    return LOCAL
 
 
 def shared_path(spark: SparkSession, what: str) -> str:

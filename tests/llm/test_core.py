@@ -169,13 +169,32 @@ def test_secret_places(spark):
 
 def test_ledger_scans_only_what_is_new(spark):
     first = spark.createDataFrame([("a", "token=abcdefgh"), ("b", "token=abcdefgh"), ("c", "nothing")], "path string, text string")
-    found, ledger = secrets.scan_versions(first, "path")
-    assert found.count() == 2
-    ledger = spark.createDataFrame(ledger.collect(), ledger.schema)
-    second = first.unionByName(spark.createDataFrame([("d", "secret=12345678"), ("e", "nothing")], "path string, text string"))
-    again, appended = secrets.scan_versions(second, "path", ledger)
-    assert {r.blob for r in appended.collect()} == {hashlib.sha256(b"secret=12345678").hexdigest()}
-    assert sorted(r.path for r in again.collect()) == ["a", "b", "d"]
+    ledger = secrets.Ledger(spark)
+    assert secrets.unseen(first, ledger).count() == 2
+    found = secrets.findings(first, "path", ledger).collect()
+    assert sorted((r.path, r.kind, r.start, r.end) for r in found) == [("a", "assign", 0, 14), ("b", "assign", 0, 14)]
+    rows = ledger.read(secrets.RULES).count()
+    # A second run scans nothing and finds the same.
+    assert secrets.unseen(first, ledger).count() == 0
+    assert sorted(secrets.findings(first, "path", ledger).collect()) == sorted(found) and ledger.read(secrets.RULES).count() == rows
+    # A further version of a path is one blob more; a new version of one rule is due for every blob, alone.
+    second = first.unionByName(spark.createDataFrame([("a", "secret=12345678"), ("e", "nothing")], "path string, text string"))
+    assert [r.blob for r in secrets.unseen(second, ledger).collect()] == [hashlib.sha256(b"secret=12345678").hexdigest()]
+    assert sorted(r.path for r in secrets.findings(second, "path", ledger).collect()) == ["a", "a", "b"]
+    newer = (secrets.Rule("assign", secrets.RULES[0].pattern, 2, 9, version=2), *secrets.RULES[1:])
+    due = secrets.unseen(second, ledger, newer)
+    assert due.count() == 3 and {(r.kind, r.version) for r in secrets.scan(due, newer).collect()} == {("assign", 2)}
+    assert secrets.findings(second, "path", ledger, newer).count() == 0
+
+
+def test_redact_keeps_clashing_columns(spark):
+    docs = spark.createDataFrame([(1, "x token=abcdefgh y", "s", "b", 7, 18), (1, None, "s", "b", 7, None), (None, "plain", None, "b", 7, 5)], "doc_id long, text string, spans_ string, blob string, spans int, n_chars long")
+    rows = sorted(secrets.redact(docs).collect(), key=str)
+    assert rows[0].asDict() == {"doc_id": 1, "text": "x [SECRET] y", "spans_": "s", "blob": "b", "spans": 7, "n_chars": 12}
+    assert (rows[1].text, rows[1].n_chars, rows[2].text, rows[2].n_chars) == (None, None, "plain", 5)
+    assert secrets.redact(docs.limit(0)).count() == 0 and secrets.scan_documents(docs.limit(0)).count() == 0
+    long = spark.createDataFrame([(1, "word " * 400_000 + "AKIA" + "B" * 20)], "doc_id long, text string")
+    assert [s.label for s in secrets.scan_documents(long).first().spans] == ["access:2000000:2000024"]
 
 
 PAGES = [(1, "http://a", "x" * 1200), (2, "http://b\r\nc", "x" * 1200), (3, None, "short"), (4, "http://d", "short"), (5, "u", None), (None, "n", "é\r\n\r\nWARC/1.1\r\n" * 90), (7, "u", "é\r\n\r\nWARC/1.1\r\n" * 90)]
