@@ -7,7 +7,7 @@ own sub-buckets and then row by row; every other row is decided by comparing its
 
 Edge cases: a null text has size 0 and takes 0 words; null sources form one source, ordered last; a null
 id hashes like an empty one; repeated rows are taken one by one; an empty table gives an empty result; an
-all-empty table has targets of 0.  Further columns of the input are ignored.
+all-empty table has targets of 0.  Further columns of the input are ignored by ``mix`` and kept by ``resample``, whatever their names.
 """
 
 from __future__ import annotations
@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .scratch import table
+from .skew import join_skewed
 
 WORD = r"[^\x20\x09-\x0D]+"
 CAP = 3
@@ -33,27 +34,36 @@ def hash60(key: Column) -> Column:
     return F.conv(F.substring(F.md5(F.coalesce(key.cast("string"), F.lit("")).cast("binary")), 1, 15), 16, 10).cast("long")
 
 
+def _numbered(sizes: DataFrame) -> DataFrame:
+    """``sizes`` with place, its position from 0 in the order of source_key: ranges are numbered by themselves and moved up."""
+    ranged = table(sizes.repartitionByRange("source_key").withColumn("range_no", F.spark_partition_id()), "mix-ranges")
+    counts = dict(ranged.groupBy("range_no").count().collect())  # one row per shuffle partition
+    before = [sum(n for other, n in counts.items() if other < i) for i in range(max(counts, default=0) + 1)]
+    inside = F.row_number().over(Window.partitionBy("range_no").orderBy("source_key"))
+    place = F.element_at(F.array(*(F.lit(n).cast("long") for n in before)), F.col("range_no") + 1) + inside - 1
+    return ranged.withColumn("place", place).drop("range_no")
+
+
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP) -> DataFrame:
     """source_key, source_size -> also weight, target: all sizes shared by weight, none above cap times its source.
 
-    Giving a capped source's excess to the others until none is above its cap ends where every uncapped
-    source has the same target per weight; that level is found by going through the sources in the order
-    in which they reach their caps.
+    Uncapped sources have the same target per weight.  That level rises as the excess of capped sources is shared
+    again, each time by one aggregation over the sources, until no further source is above its cap.
     """
-    by_name = Window.orderBy("source_key")
-    w = F.element_at(F.array(*map(F.lit, weights)), (F.pmod(F.row_number().over(by_name) - 1, F.lit(len(weights))) + 1).cast("int")).cast("long")
+    w = F.element_at(F.array(*(F.lit(x).cast("long") for x in weights)), (F.col("place") % len(weights) + 1).cast("int"))
     limit = F.lit(cap) * F.col("source_size")
-    reached = Window.orderBy((limit / F.col("weight")).asc(), "source_key")
-    before, after = reached.rowsBetween(Window.unboundedPreceding, -1), reached.rowsBetween(0, Window.unboundedFollowing)
-    everything = Window.partitionBy()
-    left = F.sum("source_size").over(everything) - F.coalesce(F.sum(limit).over(before), F.lit(0))
-    steps = sizes.withColumn("weight", w).withColumn("left", left).withColumn("open", F.sum("weight").over(after))
-    # The first source that its share no longer fills up to the cap sets the level for itself and all later ones.
-    below = F.col("left") * F.col("weight") <= limit * F.col("open")
-    steps = steps.withColumn("place", F.row_number().over(reached)).withColumn("below", below)
-    level = F.min(F.when(F.col("below"), F.struct("place", "left", "open"))).over(everything)
-    share = F.when(level.isNull() | (F.col("place") < level["place"]), limit.cast("double")).otherwise(level["left"] * F.col("weight") / level["open"])
-    return steps.select("source_key", "source_size", "weight", share.alias("target"))
+    steps = table(_numbered(sizes).withColumn("weight", w), "mix-weights")
+    total, left, open_, capped = None, 0, 0, -1
+    while True:
+        # Products of word counts and weights outgrow a long.
+        full = F.lit(left).cast("decimal(20,0)") * F.col("weight").cast("decimal(18,0)") > limit.cast("decimal(20,0)") * F.lit(open_).cast("decimal(18,0)") if capped >= 0 else F.lit(False)
+        row = steps.agg(F.sum("source_size"), F.sum(F.when(full, limit)), F.sum(F.when(~full, F.col("weight"))), F.count_if(full)).first()
+        total = row[0] or 0
+        left, open_, before, capped = total - (row[1] or 0), row[2] or 0, capped, row[3]
+        if capped == before or not open_:
+            break
+    share = F.lit(left) * F.col("weight") / F.lit(open_) if open_ else limit.cast("double")
+    return steps.withColumn("target", F.when(full, limit.cast("double")).otherwise(share)).drop("place")
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP) -> DataFrame:
@@ -65,7 +75,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP) ->
     key = F.when(F.col("source").isNull(), F.lit("1")).otherwise(F.concat(F.lit("0"), "source"))
     sized = docs.select("doc_id", key.alias("source_key"), words(F.col("text")).alias("size"), hash60(F.col("doc_id")).alias("hash"))
     sized = table(sized, "mix-sizes")
-    by_source = sized.groupBy("source_key").agg(F.sum("size").alias("source_size"))
+    by_source = sized.groupBy("source_key").agg(F.sum("size").alias("source_size"), F.count("*").alias("n_rows"))
     goal = targets(by_source, weights, cap)
     full = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
     goal = goal.withColumn("copies", full)
@@ -79,8 +89,8 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP) ->
     near = rows.join(edge.select("source_key", "bucket", "left"), ["source_key", "bucket"])
     fine = _edge(near.groupBy("source_key", "part").agg(F.sum("size").alias("size"), F.first("left").alias("budget")), None, "part")
     plan = goal.join(edge.select("source_key", F.col("bucket").alias("edge")), "source_key", "left")
-    plan = plan.join(fine.select("source_key", F.col("part").alias("fine"), "left"), "source_key", "left")
-    decided = rows.join(plan, "source_key")
+    plan = table(plan.join(fine.select("source_key", F.col("part").alias("fine"), "left"), "source_key", "left"), "mix-plan")
+    decided = join_skewed(rows, plan, "source_key", "n_rows")
     # Inside the one boundary sub-bucket rows are few; they are taken in hash order until the budget is used.
     inside = decided.where(F.col("part") == F.col("fine"))
     order = Window.partitionBy("source_key").orderBy("hash", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
@@ -107,8 +117,10 @@ def resample(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP
     A document that the mix takes in part counts as whole from one half; rows of equal id (null included) are
     repeated alike; documents without words hold nothing to take and go.
     """
-    taken = mix(docs, weights, cap).groupBy("doc_id").agg(F.sum("taken").alias("taken"), F.sum("size").alias("size"))
+    name = F.when(F.col("doc_id").isNull(), F.lit("")).otherwise(F.concat(F.lit("="), F.col("doc_id").cast("string")))
+    taken = mix(docs, weights, cap).groupBy(name.alias("name")).agg(F.sum("taken").alias("taken"), F.sum("size").alias("size"), F.count("*").alias("n_rows"))
     times = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size") + 0.5)).otherwise(F.lit(0)).cast("int")
-    taken = taken.select(F.col("doc_id").alias("taken_id"), times.alias("times")).where("times > 0")
-    joined = docs.join(taken, F.col("doc_id").eqNullSafe(F.col("taken_id")))
-    return joined.withColumn("copy_", F.explode(F.sequence(F.lit(1), F.col("times")))).select(*docs.columns)
+    taken = table(taken.select("name", "n_rows", times.alias("times")), "mix-times")
+    # The row travels as one value, so no column of it can clash with what is joined.
+    rows = join_skewed(docs.select(name.alias("name"), F.struct("*").alias("row")), taken, "name", "n_rows").where("times > 0")
+    return rows.select("row", F.explode(F.sequence(F.lit(1), F.col("times")))).select(*(F.col("row").getField(c).alias(c) for c in docs.columns))

@@ -16,7 +16,7 @@ Sets of under four shingles reach 0.8 only if they are equal; equal sets are one
 
 Edge cases: null, empty and word-less texts have fingerprint zero and are linked like any other; equal texts
 have equal fingerprints; a null id belongs to its component but never names it; an empty table gives an empty
-result; columns beside doc_id and text are ignored.
+result; columns beside doc_id and text are ignored, and kept by ``keep_one`` whatever their names.
 """
 
 from __future__ import annotations
@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .scratch import table
+from .skew import join_skewed
 
 SHINGLE = 3
 RADIUS = 2
@@ -41,6 +42,8 @@ NEAR_SHINGLE = 5
 NEAR_WORDS = 4
 NEAR_RADIUS = 80
 NEAR_SHARE = (4, 5)
+WIDE_TILES = 64
+WIDE_MOST = 1 << 18
 BLOCK = 1 << 17
 PLACES = 1 << 23
 _ODD = 0x9E3779B97F4A7C15
@@ -152,35 +155,23 @@ def _compared(words: int, radius: int) -> Callable[[Iterator[pa.RecordBatch]], I
     return compare
 
 
-def links(distinct: DataFrame, words: int = 1, radius: int = RADIUS) -> DataFrame:
-    """Distinct (node, fp0, ...) -> (a, b): links that connect every two fingerprints of at most ``radius`` differing bits."""
-    names = _names(words)
-    parts = 4 if words == 1 and radius <= QUARTERED else 1
+def links(distinct: DataFrame, words: int = 1, radius: int = RADIUS, share: tuple[int, int] | None = None) -> DataFrame:
+    """Distinct (node, fp0, ...) -> (a, b): links that connect every two fingerprints of at most ``radius`` differing bits.
+
+    share: tiles are also skipped if their ``size`` columns (of shingle sets) differ by more than this share allows.
+    """
     if words > 1:
-        # At a wide radius counts part nothing: all fingerprints have one key and tiles are only their parts.
-        ones = [F.lit(0)]
-    elif parts == 4:
-        ones = [F.bit_count(F.shiftrightunsigned("fp0", low).bitwiseAND(F.lit(0xFFFF))) for low in (48, 32, 16, 0)]
-    else:
-        ones = [sum((F.bit_count(n) for n in names), F.lit(0))]
+        return _wide_links(distinct, words, radius, share)
+    parts = 4 if radius <= QUARTERED else 1
+    ones = [F.bit_count(F.shiftrightunsigned("fp0", low).bitwiseAND(F.lit(0xFFFF))) for low in (48, 32, 16, 0)] if parts == 4 else [F.bit_count("fp0")]
     key = F.lit(0).cast("long")
     for i, count in enumerate(reversed(ones)):
         key = key + F.shiftleft((count + F.lit(radius)).cast("long"), 10 * i)
-    keyed = distinct.select("node", *names, key.alias("tile"))
-    # There are at most 17^4 tile keys (257 of the wide form), so their counts are small enough to send to every executor.
+    keyed = distinct.select("node", "fp0", key.alias("tile"))
+    # There are at most 17^4 tile keys, so their counts are small enough to send to every executor.
     counts = keyed.groupBy("tile").agg(F.ceil(F.count("*") / TILE).cast("int").alias("parts"))
     split = keyed.join(F.broadcast(counts), "tile").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
-    row = F.array("node", *names)
-    tiles = table(split.groupBy("tile", "part").agg(F.flatten(F.sort_array(F.collect_list(row))).alias("rows")), "simhash-tiles")
-
-    if words > 1:
-        dealt = tiles.crossJoin(F.broadcast(counts.select(F.col("parts").alias("all")))).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("all") - 1)))
-        dealt = dealt.select(F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), F.struct("part", "rows").alias("side"))
-        pairs = dealt.groupBy("low", "high").agg(F.sort_array(F.collect_list("side")).alias("sides"))
-        pairs = pairs.where((F.col("low") == F.col("high")) | (F.size("sides") == 2))
-        pairs = pairs.select(F.element_at("sides", 1)["rows"].alias("a"), F.element_at("sides", -1)["rows"].alias("b"), (F.col("low") == F.col("high")).alias("same"))
-        return pairs.mapInArrow(_compared(words, radius), "a long, b long")
-
+    tiles = table(split.groupBy("tile", "part").agg(F.flatten(F.sort_array(F.collect_list(F.array("node", "fp0")))).alias("rows")), "simhash-tiles")
     step = F.explode(F.array(*(F.lit(x).cast("long") for x in _neighbours(radius, parts))))
     left = tiles.select(F.col("tile").alias("own"), F.col("part").alias("own_part"), F.col("rows").alias("a"), step.alias("step"))
     left = left.withColumn("tile", F.col("own") + F.col("step"))
@@ -190,20 +181,54 @@ def links(distinct: DataFrame, words: int = 1, radius: int = RADIUS) -> DataFram
     if parts == 1:
         # Few pairs of large tiles: deal them out one by one.
         pairs = pairs.repartition(F.xxhash64(F.get("a", F.lit(0)), F.get("b", F.lit(0))))
+    return pairs.mapInArrow(_compared(words, radius), "a long, b long")
+
 
+def _wide_links(distinct: DataFrame, words: int, radius: int, share: tuple[int, int] | None) -> DataFrame:
+    """Links at a radius where population counts part nothing.  Tiles go by the order of set sizes, if a share is given.
+
+    There are about WIDE_TILES tiles, more only where one would pass WIDE_MOST rows, so what is shuffled (each tile once for each
+    tile it is compared with) grows with the table, not with its square; the comparisons themselves grow with the square.
+    """
+    names = _names(words)
+    sized = distinct.select("node", *names, (F.col("size") if share else F.lit(0)).cast("long").alias("size"))
+    total = sized.count()
+    most = min(max(TILE, -(-total // WIDE_TILES)), WIDE_MOST)
+    cuts = -(-total // most)
+    bounds = sorted(set(sized.approxQuantile("size", [i / cuts for i in range(1, cuts)], 1 / (4 * cuts)))) if share and cuts > 1 else []
+    bucket = sum(((F.col("size") >= F.lit(int(b))).cast("int") for b in bounds), F.lit(0)) if len(bounds) < 100 else F.size(F.filter(F.array(*(F.lit(int(b)) for b in bounds)), lambda x: x <= F.col("size")))
+    sized = sized.withColumn("bucket", bucket)
+    # One row per bucket, and one per tile: as many as the table has times WIDE_MOST rows, WIDE_TILES at least.
+    spans = sorted(tuple(r) for r in sized.groupBy("bucket").agg(F.min("size"), F.max("size"), F.count("*")).collect())
+    num, den = share or (0, 1)
+    parts = [-(-n // most) for *_, n in spans]
+    base = [sum(parts[:i]) for i in range(len(parts))]
+    rows = []
+    for i, (b, low, high, _) in enumerate(spans):
+        near = [j for j, (_, low2, high2, _) in enumerate(spans) if min(high, high2) * den >= max(low, low2) * num]
+        rows.append((b, base[i], parts[i], base[near[0]], base[near[-1]] + parts[near[-1]] - 1))
+    plan = F.broadcast(distinct.sparkSession.createDataFrame(rows, "bucket int, base int, parts int, first int, last int"))
+    tile = (F.col("base") + F.pmod(F.xxhash64("node"), F.col("parts"))).cast("int").alias("tile")
+    split = sized.join(plan, "bucket").select(tile, "first", "last", F.array("node", *names).alias("row"))
+    tiles = table(split.groupBy("tile", "first", "last").agg(F.flatten(F.sort_array(F.collect_list("row"))).alias("rows")), "simhash-tiles")
+    dealt = tiles.select("tile", "rows", F.explode(F.sequence("first", "last")).alias("other"))
+    dealt = dealt.select(F.least("tile", "other").alias("low"), F.greatest("tile", "other").alias("high"), F.struct("tile", "rows").alias("side"))
+    pairs = dealt.groupBy("low", "high").agg(F.sort_array(F.collect_list("side")).alias("sides"))
+    pairs = pairs.where((F.col("low") == F.col("high")) | (F.size("sides") == 2))
+    pairs = pairs.select(F.element_at("sides", 1)["rows"].alias("a"), F.element_at("sides", -1)["rows"].alias("b"), (F.col("low") == F.col("high")).alias("same"))
     return pairs.mapInArrow(_compared(words, radius), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, words: int = 1, radius: int = RADIUS) -> DataFrame:
     """doc_id, the fingerprint's words, and component_id: the least doc_id reachable over links of at most ``radius`` bits."""
     own = table(fingerprints(docs, shingle, words), "simhash")
-    distinct = table(own.groupBy("node", *_names(words)).agg(F.min("doc_id").alias("first_id")), "simhash-distinct")
+    distinct = table(own.groupBy("node", *_names(words)).agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n_rows")), "simhash-distinct")
     linked = components(links(distinct, words, radius))
     named = linked.join(distinct.select("node", "first_id"), "node")
     least = named.groupBy("root").agg(F.min("first_id").alias("linked_id"))
-    group = distinct.select("node", "first_id").join(named.join(least, "root").select("node", "linked_id"), "node", "left")
-    group = group.select("node", F.coalesce("linked_id", "first_id").alias("component_id"))
-    return own.join(group, "node").select("doc_id", *_names(words), "component_id")
+    group = distinct.select("node", "first_id", "n_rows").join(named.join(least, "root").select("node", "linked_id"), "node", "left")
+    group = table(group.select("node", "n_rows", F.coalesce("linked_id", "first_id").alias("component_id")), "simhash-groups")
+    return join_skewed(own, group, "node", "n_rows").select("doc_id", *_names(words), "component_id")
 
 
 def shingle_set(text: str | None, shingle: int = NEAR_SHINGLE) -> np.ndarray:
@@ -291,7 +316,7 @@ def set_links(docs: DataFrame, distinct: DataFrame, shingle: int, words: int, ra
     """(a, b): links that connect every two candidates of ``distinct`` whose shingle sets share at least ``share`` of their union."""
     num, den = share
     large = distinct.where(F.col("size") * (den - num) >= num)
-    members = components(links(large, words, radius)).join(distinct.select("node", "size", "any.doc_id", "any.text_key"), "node")
+    members = components(links(large, words, radius, share)).join(distinct.select("node", "size", "any.doc_id", "any.text_key"), "node")
     members = table(members, "simhash-candidates")
     parts = members.groupBy("root").agg(F.ceil(F.sum("size") / BLOCK).cast("int").alias("parts"))
     members = members.join(parts, "root").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
@@ -322,7 +347,9 @@ def keep_one(docs: DataFrame, shingle: int = NEAR_SHINGLE, words: int = NEAR_WOR
     linked = components(set_links(docs, distinct, shingle, words, radius, share))
     least = distinct.select("node", "first").join(linked, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("first").alias("first"))
     kept = least.where("first IS NOT NULL").select(F.col("first.doc_id").alias("kept_id"), F.col("first.text_key").alias("kept_key"))
-    # Rows may share an id and differ in text, so the text's key belongs to the name of what is kept.
-    keyed = docs.where(F.col("doc_id").isNotNull()).withColumn("_text_key", F.xxhash64("text"))
-    kept_rows = keyed.join(kept, (F.col("doc_id") == F.col("kept_id")) & (F.col("_text_key") == F.col("kept_key")), "left_semi")
-    return kept_rows.dropDuplicates(["doc_id", "_text_key"]).drop("_text_key").unionByName(docs.where(F.col("doc_id").isNull()))
+    # Rows may share an id and differ in text, so the text's key belongs to the name of what is kept.  The row travels as one value:
+    # no column of it can clash with what is joined.
+    keyed = docs.select("doc_id", F.xxhash64("text").alias("text_key"), F.struct("*").alias("row")).where("doc_id IS NOT NULL")
+    kept_rows = keyed.join(kept, (F.col("doc_id") == F.col("kept_id")) & (F.col("text_key") == F.col("kept_key")), "left_semi")
+    first = kept_rows.dropDuplicates(["doc_id", "text_key"]).select(*(F.col("row").getField(c).alias(c) for c in docs.columns))
+    return first.unionByName(docs.where(F.col("doc_id").isNull()))

@@ -217,3 +217,40 @@ def test_warc_round_trip(spark):
     empty = shared_path(spark, "warc-empty")
     warc.write(spark.createDataFrame([], "page_id long, url string, html string"), empty)
     assert warc.read(spark, empty).count() == 0
+
+
+def test_clashing_columns_survive(spark):
+    names = "doc_id long, text string, source string, times int, kept_id int, text_key int, row string, n_rows int, name string, size int, node int, taken int"
+    docs = spark.createDataFrame([(i, f"some words of row {i // 2} " * 5, "s", 1, 2, 3, "r", 4, "n", 5, 6, 7) for i in range(6)] + [(None, None, None, 1, 2, 3, "r", 4, "n", 5, 6, 7)], names)
+    for out in (mixing.resample(docs), simhash.keep_one(docs)):
+        rows = out.collect()
+        assert out.columns == docs.columns and {(r.times, r.row, r.taken) for r in rows} == {(1, "r", 7)}
+    assert {r.doc_id for r in rows} == {0, 2, 4, None}
+    assert mixing.mix(docs).count() == 7 and simhash.near_duplicates(docs).count() == 7
+
+
+def test_targets_by_brute_force(spark):
+    rng = np.random.default_rng(12)
+    for n in (1, 2, 7, 40):
+        sizes = [int(x) for x in rng.pareto(0.6, n) * 50]
+        rows = mixing.targets(spark.createDataFrame([(f"0s{i:03d}", s) for i, s in enumerate(sizes)], "source_key string, source_size long")).collect()
+        weights = [i % 3 + 1 for i in range(n)]
+        capped: set[int] = set()
+        while True:
+            left, open_ = sum(sizes) - sum(3 * sizes[i] for i in capped), sum(w for i, w in enumerate(weights) if i not in capped)
+            over = {i for i in range(n) if i not in capped and left * weights[i] > 3 * sizes[i] * open_}
+            if not over:
+                break
+            capped |= over
+        want = {f"0s{i:03d}": float(3 * sizes[i]) if i in capped else left * weights[i] / open_ for i in range(n)}
+        assert {r.source_key: r.target for r in rows} == want
+
+
+def test_skewed_join_equals_join(spark):
+    from tallymark.llm.skew import join_skewed
+
+    left = spark.range(5000).select(F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id")).alias("k"), "id")
+    right = left.groupBy("k").agg(F.count("*").alias("n")).where("k != 1").withColumn("v", F.col("k") * 2)
+    for how, rows in (("inner", 4999), ("left", 5000)):
+        got = join_skewed(left, right, "k", "n", how)
+        assert got.count() == rows and got.where("v != k * 2").count() == 0
