@@ -1,36 +1,39 @@
 """Language identification with string kernels.
 
-Method: blended-spectrum presence kernels.  A text is the set of its character n-grams of 1 to 3 code points
-(lower case, hashed); the kernel of two texts is the number of n-grams both hold, over the geometric mean of
-their counts.  Nyström landmarks turn the kernel into features, one-versus-rest kernel ridge regression learns a
-score for each language, and texts are scored in batches by two matrix products.
+Method: blended-spectrum presence kernels.  A text is the set of its character n-grams of 1 to 3 code points (lower case);
+an n-gram is one whole number made of its code points, so no two are ever taken for each other.  The kernel of two texts
+is the number of n-grams both hold, over the geometric mean of their counts.  Nyström landmarks turn the kernel into
+features, one-versus-rest kernel ridge regression learns a score for each language, and texts are scored in batches by two
+matrix products.
 
-Only a bounded sample of labelled rows is learned from: ``PER_LANGUAGE`` rows of each language, ``SAMPLE`` in all,
-the first in the order of a hash of their id; their n-gram sets are collected, never their texts.
+Only a bounded sample of labelled rows is learned from: ``PER_LANGUAGE`` rows of each language, ``SAMPLE`` in all, those of at
+most ``LEARN_CHARS`` code points first, then in the order of a hash of their id.  Of ``LANDMARKS`` of them the n-gram sets are
+collected, of the others only their kernel values.
 
 Edge cases: a null text or one without a letter is "und" with score 0; rows with a null language teach nothing;
 a row with a null id is scored but not learned from and not held out; without any labelled row every text is
-"und"; repeated rows are scored alike; an empty table gives an empty result; further columns are ignored.
+"und"; repeated rows are scored alike and teach once; an empty table gives an empty result; further columns are ignored.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BITS = 14
 ORDER = 3
 LANDMARKS = 96
 PER_LANGUAGE = 300
 SAMPLE = 3000
+LEARN_CHARS = 50_000
 RIDGE = 1e-2
-BATCH = 128
-_LETTER = re.compile(r"[^\W\d_]")
+BATCH = 64
+CHUNK = 1 << 20
+_LETTER = regex.compile(r"\p{L}")
 
 
 def held_out(doc_id: Column, parts: int, left: int) -> Column:
@@ -38,74 +41,98 @@ def held_out(doc_id: Column, parts: int, left: int) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % parts == left, F.lit(False))
 
 
-def presence(text: str) -> np.ndarray:
-    """The hashed set of the text's n-grams of 1 to ORDER code points."""
-    codes = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-    out = np.zeros(1 << BITS, dtype=bool)
-    gram = np.zeros(len(codes), dtype=np.uint32)
-    for n in range(ORDER):
-        if len(codes) <= n:
-            break
-        gram = gram[: len(codes) - n] * np.uint32(0x01000193) + codes[n:] + np.uint32(n + 1)
-        out[(gram * np.uint32(0x9E3779B1)) >> np.uint32(32 - BITS)] = True
-    return out
+def _distinct(keys: np.ndarray) -> np.ndarray:
+    keys.sort()
+    return keys[np.r_[True, keys[1:] != keys[:-1]]] if len(keys) else keys
+
+
+def grams(text: str) -> np.ndarray:
+    """The distinct n-grams of 1 to ORDER code points of a whole text, ascending; a code point takes 21 bits."""
+    parts = []
+    low = text.lower()
+    for at in range(0, max(len(low), 1), CHUNK):
+        codes = np.frombuffer(low[at : at + CHUNK + ORDER - 1].encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.int64) + 1
+        gram, every = codes, [codes]
+        for n in range(1, min(ORDER, len(codes))):
+            gram = (gram[:-1] << 21) | codes[n:]
+            every.append(gram)
+        parts.append(_distinct(np.concatenate(every)))
+    return parts[0] if len(parts) == 1 else _distinct(np.concatenate(parts))
+
+
+class Landmarks:
+    """The n-gram sets of the landmarks, as a matrix with a row for each n-gram that any of them holds."""
+
+    def __init__(self, sets: list[np.ndarray]):
+        self.vocabulary = _distinct(np.concatenate(sets))
+        self.sets = np.zeros((len(self.vocabulary), len(sets)), dtype=np.float32)
+        for i, own in enumerate(sets):
+            self.sets[np.searchsorted(self.vocabulary, own), i] = 1
+        self.sizes = np.sqrt(self.sets.sum(axis=0))
+
+    def kernel(self, texts: list[str]) -> np.ndarray:
+        held = np.zeros((len(texts), len(self.vocabulary)), dtype=np.float32)
+        own = np.empty((len(texts), 1), dtype=np.float32)
+        for i, text in enumerate(texts):
+            keys = grams(text)
+            at = np.minimum(np.searchsorted(self.vocabulary, keys), len(self.vocabulary) - 1)
+            held[i, at[self.vocabulary[at] == keys]] = 1
+            own[i] = np.sqrt(len(keys))
+        return (held @ self.sets) / np.maximum(own * self.sizes, 1e-9)
 
 
 class Model:
-    """Landmark sets as a (1 << BITS) x m matrix, and the map from kernel values to a score per language."""
+    """The map from a text's kernel values with the landmarks to a score per language."""
 
-    def __init__(self, sets: np.ndarray, languages: list[str]):
-        self.names = sorted(set(languages))
+    def __init__(self, landmarks: Landmarks, marks: np.ndarray, kernel: np.ndarray, languages: list[str]):
+        """kernel: the values of the sampled texts, of which ``marks`` are the landmarks."""
+        self.landmarks, self.names = landmarks, sorted(set(languages))
         y = np.array([self.names.index(x) for x in languages])
-        # Landmarks in turn from each language.
-        turn = np.zeros(len(y), dtype=np.int64)
-        for c in range(len(self.names)):
-            turn[y == c] = np.arange(int((y == c).sum()))
-        marks = np.lexsort((y, turn))[:LANDMARKS]
-        self.sets = np.ascontiguousarray(sets[marks].T.astype(np.float32))
-        self.sizes = np.sqrt(self.sets.sum(axis=0))
-        values, vectors = np.linalg.eigh(self.kernel(sets[marks]).astype(np.float64))
+        values, vectors = np.linalg.eigh(kernel[marks].astype(np.float64))
         good = values > 1e-6 * values.max(initial=1)
         root = vectors[:, good] / np.sqrt(values[good])
-        features = self.kernel(sets).astype(np.float64) @ root
+        features = kernel.astype(np.float64) @ root
         goal = np.where(y[:, None] == np.arange(len(self.names)), 1.0, -1.0)
         weight = np.sqrt(len(y) / (len(self.names) * np.bincount(y, minlength=len(self.names))[y]))[:, None]
         left = features * weight
         ridge = left.T @ left + RIDGE * len(y) * np.eye(left.shape[1]) / len(self.names)
         self.map = (root @ np.linalg.solve(ridge, left.T @ (goal * weight))).astype(np.float32)
 
-    def kernel(self, sets: np.ndarray) -> np.ndarray:
-        x = sets.astype(np.float32)
-        own = np.sqrt(x.sum(axis=1, keepdims=True))
-        return (x @ self.sets) / np.maximum(own * self.sizes, 1e-9)
-
-    def score(self, sets: np.ndarray) -> np.ndarray:
-        return self.kernel(sets) @ self.map
-
-
-def _sample(docs: DataFrame) -> tuple[np.ndarray, list[str]]:
-    """n-gram sets and languages of the bounded sample."""
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    named = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull())
-    ids = named.select("lang", "doc_id").withColumn("rank", rank).where(F.col("rank") <= PER_LANGUAGE)
-    ids = ids.orderBy("rank", "lang").limit(SAMPLE).select("doc_id", "lang").distinct()
-    chosen = named.join(F.broadcast(ids), ["doc_id", "lang"], "left_semi").select("doc_id", "lang", "text")  # at most SAMPLE ids
-
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            bits = [np.packbits(presence(t)).tobytes() for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("lang"), pa.array(bits, pa.binary())], names=["doc_id", "lang", "bits"])
-
-    rows = chosen.mapInArrow(sets, "doc_id long, lang string, bits binary").limit(2 * SAMPLE).collect()
-    rows.sort(key=lambda r: (r.doc_id, r.lang, bytes(r.bits)))
-    packed = np.frombuffer(b"".join(bytes(r.bits) for r in rows), dtype=np.uint8).reshape(len(rows), (1 << BITS) // 8)
-    return np.unpackbits(packed, axis=1).astype(bool), [r.lang for r in rows]
+    def score(self, texts: list[str]) -> np.ndarray:
+        return self.landmarks.kernel(texts) @ self.map
 
 
 def fit(docs: DataFrame) -> Model | None:
     """Learn from ``docs`` (doc_id, text, lang); None without a labelled row."""
-    sets, languages = _sample(docs)
-    return Model(sets, languages) if languages else None
+    spark = docs.sparkSession
+    named = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull())
+    named = named.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", F.xxhash64("text").alias("text_key"), (F.length("text") > LEARN_CHARS).alias("long"), "text")
+    turn = Window.partitionBy("lang").orderBy("long", F.xxhash64("doc_id"), "doc_id", "text_key")
+    ids = named.drop("text").withColumn("turn", F.row_number().over(turn)).where(F.col("turn") <= PER_LANGUAGE)
+    ids = ids.drop("turn").distinct().withColumn("turn", F.row_number().over(turn)).orderBy("turn", "lang").limit(SAMPLE)
+    key = ["doc_id", "lang", "text_key"]
+    picked = [tuple(r[c] for c in key) for r in ids.orderBy("turn", "lang").collect()]  # at most SAMPLE rows
+    if not picked:
+        return None
+
+    def of(some: list[tuple], make, kind: str) -> dict[tuple, object]:
+        """What ``make`` gives for the texts of some sampled rows."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                texts = batch.column("text").to_pylist()
+                made = [x for lo in range(0, len(texts), BATCH) for x in make(texts[lo : lo + BATCH])]
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in key), pa.array(made, pa.binary())], names=[*key, "made"])
+
+        chosen = F.broadcast(spark.createDataFrame(some, "doc_id long, lang string, text_key long"))
+        rows = named.select(*key, "text").join(chosen, key, "left_semi").mapInArrow(run, "doc_id long, lang string, text_key long, made binary")
+        return {tuple(r[:3]): np.frombuffer(bytes(r.made), dtype=kind) for r in rows.groupBy(*key).agg(F.first("made").alias("made")).collect()}
+
+    marks = picked[:LANDMARKS]
+    sets = of(marks, lambda texts: [grams(t).tobytes() for t in texts], "<i8")
+    landmarks = Landmarks([sets[m] for m in marks])
+    values = of(picked, lambda texts: [row.tobytes() for row in landmarks.kernel(texts)], "<f4")
+    return Model(landmarks, np.arange(len(marks)), np.stack([values[p] for p in picked]), [p[1] for p in picked])
 
 
 def identify(docs: DataFrame, model: Model | None) -> DataFrame:
@@ -121,7 +148,7 @@ def identify(docs: DataFrame, model: Model | None) -> DataFrame:
                 names, scores = ["und"] * len(texts), np.zeros(len(texts))
                 at = [i for i, t in enumerate(texts) if known and t and _LETTER.search(t)]
                 if at:
-                    out = known.score(np.stack([presence(texts[i]) for i in at]))
+                    out = known.score([texts[i] for i in at])
                     best = out.argmax(axis=1)
                     for i, b in zip(at, best):
                         names[i] = known.names[b]

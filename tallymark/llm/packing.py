@@ -23,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -122,44 +123,51 @@ class Encoder:
         for word, found in zip(words, self.whole.encode_batch_fast(words, add_special_tokens=False)):
             self.words[word] = np.array(found.ids, dtype="<u4").tobytes()
 
-    def _learn(self, missing: set[str]) -> None:
-        parts = {}
-        for word in missing:
-            stem = word.rstrip(self.TRAIL)
-            low = stem.lower()
-            if stem.isalpha() and (stem.isascii() or low == stem):
-                parts[word] = (low, word[len(stem) :])
+    def _learn(self, missing: list[str]) -> None:
+        stems = [word.rstrip(self.TRAIL) for word in missing]
+        lows = [stem.lower() for stem in stems]
+        known, split, whole = self.words, [], []
+        for word, stem, low in zip(missing, stems, lows):
+            if stem.isalpha() and (low == stem or stem.isascii()):
+                split.append((word, low, word[len(stem) :]))
             else:
-                parts[word] = (word, "")
-        need = {p for both in parts.values() for p in both if p and p not in self.words}
-        letters = [p for p in need if p.isalpha() and p == p.lower()]
-        others = list(need.difference(letters))
-        if letters:
-            self._letters(letters)
-        if others:
-            self._any(others)
-        for word, (stem, trail) in parts.items():
-            if stem != word or trail:
-                self.words[word] = self.words.get(stem, b"") + self.words.get(trail, b"")
-
-    def encode(self, texts: list[str]) -> list[bytes]:
+                whole.append(word)
+        if need := [low for low in {low for _, low, _ in split} if low not in known]:
+            self._letters(need)
+        if need := list({trail for _, _, trail in split if trail and trail not in known}.union(whole)):
+            self._any(need)
+        for word, low, trail in split:
+            if trail:
+                known[word] = known[low] + known[trail]
+            elif word is not low:
+                known[word] = known[low]
+
+    def encode(self, texts: list[str]) -> list[memoryview]:
         if len(self.words) > self.LIMIT:
             self.words = {}
         odd = {i for i, t in enumerate(texts) if not t.isprintable() and any(c in t for c in "\x1c\x1d\x1e\x1f")}
         split = [() if i in odd else t.split() for i, t in enumerate(texts)]
-        every = [w for words in split for w in words]
-        get = self.words.get
-        found = list(map(get, every))
+        cuts = np.cumsum([0, *map(len, split)])
+        # Each distinct word of the batch is looked up once; the ids of all words are then gathered at once.
+        words = [w for some in split for w in some]
+        at = pa.array(words, pa.string()).dictionary_encode().indices.to_numpy()
+        new = np.diff(np.maximum.accumulate(at), prepend=-1) > 0  # codes are given in the order of first appearance
+        distinct = [words[i] for i in np.flatnonzero(new).tolist()]
+        found = list(map(self.words.get, distinct))
         if None in found:
-            self._learn({w for w, x in zip(every, found) if x is None})
-            get = self.words.get
-            found = list(map(get, every))
-        out, at = [], 0
-        for words in split:
-            out.append(b"".join(found[at : at + len(words)]))
-            at += len(words)
+            self._learn([w for w, x in zip(distinct, found) if x is None])
+            found = list(map(self.words.get, distinct))
+        ids = np.frombuffer(b"".join(found), dtype="<u4")
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        counts = sizes[at] if len(at) else np.empty(0, np.int64)
+        ends = np.cumsum(counts)
+        first = (np.cumsum(sizes) - sizes)[at] if len(at) else counts
+        every = ids[np.repeat(first - (ends - counts), counts) + np.arange(int(counts.sum()))]
+        stops = np.r_[0, ends][cuts].tolist()
+        raw = memoryview(every.tobytes())
+        out = [raw[4 * lo : 4 * hi] for lo, hi in zip(stops, stops[1:])]
         for i in odd:
-            out[i] = np.array(self.whole.encode(texts[i], add_special_tokens=False).ids, dtype="<u4").tobytes()
+            out[i] = memoryview(np.array(self.whole.encode(texts[i], add_special_tokens=False).ids, dtype="<u4").tobytes())
         return out
 
 
@@ -172,55 +180,77 @@ def encoder(path: str) -> Encoder:
     return _ENCODERS[path]
 
 
+def _slices(batch: pa.RecordBatch, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """The batch in slices of about ``most`` bytes of text."""
+    upto = np.cumsum(pc.binary_length(batch.column("text")).to_numpy(zero_copy_only=False))
+    lo = 0
+    while lo < batch.num_rows:
+        hi = max(lo + 1, int(np.searchsorted(upto, (upto[lo - 1] if lo else 0) + most, side="right")))
+        yield batch.slice(lo, hi - lo)
+        lo = hi
+
+
 def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
-    """Each document's ids cut at multiples of ``capacity``: one row per piece."""
+    """Each document's ids cut at multiples of ``capacity``: one row per piece, and how many equal pieces its task cut before."""
     end = int(end_id).to_bytes(4, "little")
     step = 4 * capacity
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer)
+        seen: dict[int, int] = {}
         for batch in batches:
-            for lo in range(0, batch.num_rows, 200):
-                part = batch.slice(lo, 200)
+            for part in _slices(batch):
                 rows = []
-                for i, raw in enumerate(enc.encode(part.column("text").to_pylist())):
-                    raw += end
-                    view, total = memoryview(raw), len(raw) // 4
-                    for at in range(0, len(raw), step):
-                        piece = view[at : at + step]
-                        rows.append((i, at // 4, len(piece) // 4, zlib.crc32(piece), total))
+                for i, (name, raw) in enumerate(zip(part.column("doc_id").to_pylist(), enc.encode(part.column("text").to_pylist()))):
+                    total = len(raw) // 4 + 1
+                    for at in range(0, 4 * total, step):
+                        piece = raw[at : at + step]
+                        crc = zlib.crc32(piece)
+                        length = len(piece) // 4
+                        if length < capacity and at + step >= 4 * total:
+                            crc, length = zlib.crc32(end, crc), length + 1
+                        # Equal rows are alike, so their order in the task does not matter for a repeated task.
+                        same = hash((name, at, crc))
+                        seen[same] = copy = seen.get(same, -1) + 1
+                        rows.append((i, at // 4, length, crc, total, copy))
                 at, *numbers = (pa.array(x, pa.int64()) for x in zip(*rows))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id").take(at), *numbers], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id").take(at), *numbers], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "copy"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(cut, PIECES)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(cut, PIECES + ", copy long")
 
 
 def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID, group_pieces: int = GROUP_PIECES) -> DataFrame:
     """Pack ``docs`` (doc_id, text) into sequences of at most ``capacity`` tokens.
 
     tokenizer: path of a tokenizers file, readable on every executor.  Returns one row per piece with
-    its place in its sequence.  ``group_pieces`` bounds (in the mean) the pieces one task balances at
-    once; a document leaves at most one piece to balance, so the group count follows from the row count.
+    its place in its sequence.  ``group_pieces`` bounds the pieces that are balanced at once: groups hold as many in the mean,
+    and one that got more is parted.  A document leaves at most one piece to balance, so the group count follows from the row count.
     """
     groups = max(1, round(docs.count() / group_pieces))
-    whole_first = 1 << 40
+    stride = 1 << 40
 
     def balance(key: tuple, rows: pa.Table) -> pa.Table:
         rows = rows.sort_by([(c, "ascending") for c in ("doc_id", "start", "length", "ids_crc32")])
         sizes = rows.column("length").to_numpy()
-        full = sizes >= capacity
+        full = np.flatnonzero(sizes >= capacity)
+        rest = np.flatnonzero(sizes < capacity)
         seq = np.zeros(len(sizes), dtype=np.int64)
-        seq[full] = whole_first + np.arange(int(full.sum()))
-        seq[~full] = windows(sizes[~full], capacity)
+        seq[full] = np.arange(len(full))
+        used = len(full)
+        shares = np.array_split(rest, max(1, round(len(rest) / group_pieces))) if len(rest) else []
+        for share in shares:
+            seq[share] = used + windows(sizes[share], capacity)
+            used = int(seq[share].max()) + 1
         # Gapless offsets in each sequence, in the order of the rows.
         order = np.argsort(seq, kind="stable")
         run = np.cumsum(sizes[order]) - sizes[order]
         first = np.r_[True, seq[order][1:] != seq[order][:-1]]
         offset = np.empty(len(sizes), dtype=np.int64)
         offset[order] = run - np.maximum.accumulate(np.where(first, run, 0))
-        sequence = seq + key[0].as_py() * 2 * whole_first
-        return rows.drop_columns("pack_group").append_column("sequence_id", pa.array(sequence)).append_column("offset", pa.array(offset))
+        sequence = seq + key[0].as_py() * stride
+        return rows.drop_columns(["pack_group", "copy"]).append_column("sequence_id", pa.array(sequence)).append_column("offset", pa.array(offset))
 
     cut = pieces(docs, tokenizer, capacity, end_id)
-    group = F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(groups))
+    # Copies of a row are dealt to all groups.
+    group = F.pmod(F.xxhash64("doc_id", "start", "ids_crc32", "copy"), F.lit(groups))
     return cut.withColumn("pack_group", group).groupBy("pack_group").applyInArrow(balance, PACKED)

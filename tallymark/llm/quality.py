@@ -4,14 +4,15 @@ A document is a bag of passages of 64 words.  Every passage is encoded by a lear
 (square roots of byte frequencies and of the shares of repeated byte triples and of word lengths); gated attention,
 learned from document labels alone, weighs the encoded passages, and the weighted sum is scored by a logistic layer.
 
-Only a bounded sample of labelled documents is learned from: ``SAMPLE`` of each class at most (few enough for Spark to
-limit each class before the shuffle), the first in the
-order of a hash of their id.  The fit is plain numpy with a fixed seed, so reruns agree.
+Only a bounded sample of labelled documents is learned from: of each class ``SAMPLE`` at most (few enough for Spark to
+limit each class before the shuffle) with ``SAMPLE_BYTES`` of text in all, the first in the order of a hash of their id; a
+text that would pass the bound is left for later ones that fit.  The fit is plain numpy with a fixed seed, so reruns agree.
 
 Edge cases: a null or empty text is one empty passage and gets a score like any other; labels that are null teach
 nothing; a row with a null id is scored, not learned from and not held out; with labels of one class only every
-score is that class; without labels every score is 0.5; repeated rows score alike; an empty table gives an empty
-result; further columns are ignored.
+score is that class; without labels every score is 0.5; repeated rows score alike and teach once; of rows that share an id
+the one of the shortest text teaches; an empty table gives an empty result; further columns are kept, and one that has
+the score's name gives way to the score.
 """
 
 from __future__ import annotations
@@ -22,9 +23,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 PASSAGE = 64
 SAMPLE = 1000
+SAMPLE_BYTES = 16 << 20
 TRIPLES = 64
 LENGTHS = 16
 WIDTH = 256 + TRIPLES + LENGTHS + 1
@@ -134,35 +137,56 @@ class Constant:
 
 def fit(docs: DataFrame, labels: DataFrame) -> Attention | Constant:
     """Learn from the texts of ``docs`` (doc_id, text) that ``labels`` (doc_id, quality 0 or 1) marks."""
+    spark = docs.sparkSession
     marked = labels.select("doc_id", F.col("quality").cast("int").alias("quality")).where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull())
     rank = F.row_number().over(Window.partitionBy("quality").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    ids = marked.withColumn("rank", rank).where(F.col("rank") <= SAMPLE).select("doc_id", "quality")
-    chosen = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("doc_id", "quality", "text")  # at most 2 * SAMPLE ids
+    ids = marked.withColumn("rank", rank).where(F.col("rank") <= SAMPLE).select(F.col("doc_id").cast("long").alias("doc_id"), "quality").distinct()
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("size"), "text")
+    chosen = own.join(F.broadcast(ids), "doc_id")  # at most 2 * SAMPLE ids
+    sizes = chosen.groupBy("doc_id", "quality").agg(F.min(F.struct("size", "text_key")).alias("least")).select("doc_id", "quality", "least.size", "least.text_key", F.xxhash64("doc_id").alias("turn"))
+    picks, used = [], {0: 0, 1: 0}
+    for r in sorted(sizes.collect(), key=lambda r: (r.turn, r.doc_id, r.quality)):
+        if used[r.quality] + r.size <= SAMPLE_BYTES:
+            used[r.quality] += r.size
+            picks.append((r.doc_id, r.quality, r.text_key))
+    if not picks:
+        return Constant(0.5)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             bags = [passages(t).astype(np.float16).tobytes() for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), batch.column("quality"), pa.array(bags, pa.binary())], names=["doc_id", "quality", "bag"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("quality"), pa.array(bags, pa.binary())], names=["doc_id", "quality", "bag"])
 
-    rows = chosen.mapInArrow(encode, "doc_id long, quality int, bag binary").limit(4 * SAMPLE).collect()
-    rows.sort(key=lambda r: (r.doc_id, r.quality, bytes(r.bag)))
+    some = F.broadcast(spark.createDataFrame(picks, "doc_id long, quality int, pick_key long"))
+    texts = own.join(some, "doc_id").where(F.col("text_key").eqNullSafe(F.col("pick_key"))).select("doc_id", "quality", "text")
+    # A word takes two bytes at least, so the bags hold some five times SAMPLE_BYTES for each class at most.
+    rows = texts.mapInArrow(encode, "doc_id long, quality int, bag binary").groupBy("doc_id", "quality").agg(F.first("bag").alias("bag")).collect()
+    rows.sort(key=lambda r: (r.doc_id, r.quality))
     y = np.array([r.quality for r in rows], dtype=np.float32)
     if len(set(y.tolist())) < 2:
-        return Constant(float(y[0]) if len(y) else 0.5)
+        return Constant(float(y[0]))
     return Attention([np.frombuffer(bytes(r.bag), dtype=np.float16).reshape(-1, WIDTH).astype(np.float32) for r in rows], y)
 
 
-def score(docs: DataFrame, model: Attention | Constant) -> DataFrame:
-    """``docs`` with a column quality_score: 0 to 1, higher for better texts."""
+def score(docs: DataFrame, model: Attention | Constant, column: str = "quality_score") -> DataFrame:
+    """``docs`` with a further column: 0 to 1, higher for better texts."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    columns = docs.columns
+    kept = [c for c in docs.columns if c.lower() != column.lower()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo in range(0, batch.num_rows, 100):
                 part = batch.slice(lo, 100)
                 scores = shared.value.score([passages(t) for t in part.column("text").to_pylist()])
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(scores)], names=[*columns, "quality_score"])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(scores)], names=[*kept, column])
 
-    schema = docs.schema.simpleString()[len("struct<") : -1]
-    return docs.mapInArrow(run, f"{schema}, quality_score: double" if columns else "quality_score: double")
+    rows = docs.select(*(F.col(f"`{c}`") for c in kept))
+    return rows.mapInArrow(run, StructType([*rows.schema.fields, StructField(column, DoubleType())]))
+
+
+def keep(docs: DataFrame, model: Attention | Constant, least: float) -> DataFrame:
+    """The rows of ``docs`` that score ``least`` or more, with all their columns."""
+    column = "quality_score"
+    while column in {c.lower() for c in docs.columns}:
+        column += "_"
+    return score(docs, model, column).where(F.col(column) >= least).drop(column)

@@ -45,6 +45,15 @@ def test_pack_holds_every_id_once(spark):
         assert at <= 512
 
 
+def test_pack_many_equal_rows(spark):
+    docs = spark.range(50_000).select(F.lit(7).cast("long").alias("doc_id"), F.lit("the same few words again " * 20).alias("text"), F.lit(1).alias("copy"))
+    rows = packing.pack(docs.unionByName(docs.limit(0)), tokenizer_path(), group_pieces=500)
+    loads = rows.groupBy("sequence_id").agg(F.sum("length").alias("n"), F.max(F.col("offset") + F.col("length")).alias("stop"), F.count_distinct("offset").alias("k"), F.count("*").alias("c"))
+    got = loads.agg(F.sum("c"), F.max("n"), F.min(F.expr("n = stop AND k = c")), F.avg("n")).first()
+    assert got[0] == 50_000 and got[1] <= 4096 and got[2] and got[3] > 0.9 * 4096
+    assert packing.pack(docs.limit(0), tokenizer_path()).count() == 0
+
+
 def test_differencing_balances():
     rng = np.random.default_rng(3)
     sizes = rng.integers(1, 4000, 1500)

@@ -152,13 +152,41 @@ def test_languages_held_out(spark):
     model = langid.fit(docs.where(~held))
     rows = langid.identify(docs, model).join(docs.select("doc_id", "lang"), "doc_id").where(held).collect()
     assert np.mean([r.lang == r.lang_pred for r in rows]) > 0.95
-    odd = spark.createDataFrame([(1, None), (2, "123 !!"), (None, "the thing"), (4, "")], "doc_id long, text string")
+    odd = spark.createDataFrame([(1, None, "x"), (2, "123 !! ½ ² _", "x"), (None, "the thing", "x"), (4, "", "x"), (5, "the " * 1_500_000, "x")], "doc_id long, text string, score string")
     got = {r.doc_id: r for r in langid.identify(odd, model).collect()}
-    assert [got[i].lang_pred for i in (1, 2, 4)] == ["und"] * 3 and got[None].lang_pred in model.names
+    assert [got[i].lang_pred for i in (1, 2, 4)] == ["und"] * 3 and {got[None].lang_pred, got[5].lang_pred} <= set(model.names)
+    assert langid.identify(odd.limit(0), model).count() == 0
     assert langid.fit(docs.limit(0)) is None
     assert {r.lang_pred for r in langid.identify(odd, None).collect()} == {"und"}
 
 
+def test_string_kernel_by_brute_force(monkeypatch):
+    monkeypatch.setattr(langid, "CHUNK", 7)
+    texts = ["The cat sat on the mat.", "Über den Dächern 🙂 von Paris", "a", "abcabcabcabcabcabc" * 3]
+    brute = [{t[i : i + n] for n in (1, 2, 3) for i in range(len(t) - n + 1)} for t in map(str.lower, texts)]
+    sets = [langid.grams(t) for t in texts]
+    assert [len(s) for s in sets] == [len(b) for b in brute]
+    got = langid.Landmarks(sets[:3]).kernel(texts)
+    want = [[len(a & b) / (len(a) * len(b)) ** 0.5 for b in brute[:3]] for a in brute]
+    assert np.allclose(got, want, atol=1e-6)
+
+
+def test_repeated_rows_teach_once(spark):
+    docs = spark.createDataFrame([(i, f"{'good plain words here' if i % 2 else '### $$$ %%%'} {i}", "en" if i % 2 else "xx") for i in range(40)], "doc_id long, text string, lang string")
+    more = docs.unionByName(docs.where("doc_id < 9")).unionByName(docs.where("doc_id = 3"))
+    assert np.array_equal(langid.fit(docs).map, langid.fit(more).map)
+    labels = docs.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("quality"))
+    one, two = quality.fit(docs, labels), quality.fit(more, labels.unionByName(labels))
+    assert all(np.array_equal(one.p[k], two.p[k]) for k in one.p)
+
+
+def test_scores_keep_clashing_columns(spark):
+    docs = spark.createDataFrame([(1, "good words", 3.5, "x")], "doc_id long, text string, quality_score double, Score string")
+    assert quality.keep(docs, quality.Constant(1.0), 0.5).first().asDict() == docs.first().asDict()
+    assert quality.score(docs, quality.Constant(1.0)).first().quality_score == 1.0
+    assert quality.keep(docs, quality.Constant(0.0), 0.5).count() == 0
+
+
 def test_quality_held_out(spark):
     docs = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text")
     labels = spark.read.parquet(f"{DATA}/labels.parquet")
