@@ -1,13 +1,14 @@
 """Document fingerprints by consistent weighted sampling.
 
-A document is its multiset of five-word shingles; a shingle's weight is how often it occurs (a million at most).  For each of
+A document is its multiset of five-word shingles; a shingle's weight is how often it occurs.  For each of
 ``SAMPLES`` samples every term draws r and c from Gamma(2, 1) and b from the uniform distribution, all from hashes of the term and
 the sample's number, and is given the value ln c - r * (floor(ln(weight) / r + b) + 1 - b); the least value of the
 document is its sample.  Two documents have the same sample with a probability equal to their generalised
 Jaccard similarity, so the share of equal samples estimates it.  Everything is DataFrame functions.
 
 Documents are dealt into ranges of their ids once; everything else, the next document's text included, happens
-within a range, whose end holds a copy of the first document of the next.
+within a range, whose end holds a copy of the first document of the next.  There are at most MOST_RANGES ranges, so the plan that
+holds their bounds does not grow with the table; a larger range is sorted on disk where memory does not hold it.
 
 Edge cases: a null text is empty; a text of fewer than five words has one shingle, its whole sequence; texts without
 words have equal fingerprints; a null id comes first in the order; rows of equal id come in the order of their
@@ -24,13 +25,15 @@ from pyspark.sql import functions as F
 SHINGLE = 5
 SAMPLES = 32
 RANGE_ROWS = 1000
-WEIGHT_BITS = 20
+# A string holds under 2^31 bytes and a word and its space two, so no shingle occurs more often than these bits can say.
+WEIGHT_BITS = 30
+MOST_RANGES = 10_000
 SPACE = r"[\x20\x09-\x0D]+"
 _LEAST_ID = -(1 << 63)
 
 
 def weighted(text: Column, size: int = SHINGLE) -> Column:
-    """The text's distinct shingles of ``size`` words, each one long: 44 bits of its hash, then 20 of its weight."""
+    """The text's distinct shingles of ``size`` words, each one long: 34 bits of its hash, then 30 of its weight."""
     words = F.transform(F.filter(F.split(text, SPACE), lambda w: w != ""), lambda w: F.xxhash64(w))
     code = lambda term, weight: F.shiftleft(term, WEIGHT_BITS).bitwiseOR(weight)
 
@@ -66,11 +69,11 @@ def sample(k: int) -> Column:
 
 
 def _bounds(docs: DataFrame, rows: int) -> list[int]:
-    """Ids that part ``docs`` into ranges of about ``rows`` rows; the first is the least id."""
+    """Ids that part ``docs`` into ranges of about ``rows`` rows, or MOST_RANGES larger ones; the first is the least id."""
     n, least = docs.agg(F.count("*"), F.min("key")).first()
     if not n:
         return [_LEAST_ID]
-    parts = max(1, round(n / rows))
+    parts = min(max(1, round(n / rows)), MOST_RANGES)
     inner = docs.agg(F.percentile_approx("key", [i / parts for i in range(1, parts)], max(10_000, 20 * parts))).first()[0] if parts > 1 else []
     return sorted({least, *inner})
 

@@ -25,6 +25,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual
 
+from .scratch import table
+from .skew import join_skewed
+
 REVISIT_BYTES = 1000
 RECORDS_PER_FILE = 50_000
 DATE = "2000-01-01T00:00:00Z"
@@ -43,8 +46,11 @@ def revisits(pages: DataFrame, least: int = REVISIT_BYTES) -> DataFrame:
     payload = F.coalesce("html", F.lit(""))
     own = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", payload.alias("payload"), F.sha1(payload).alias("payload_digest"), F.octet_length(payload).cast("long").alias("payload_bytes"))
     many = own.where(F.col("payload_bytes") >= least).groupBy("payload_digest", "payload_bytes").agg(F.count("*").alias("n"), F.max("page_id").alias("first"))
-    many = many.where("n > 1").drop("n")
-    joined = own.join(many, ["payload_digest", "payload_bytes"], "left")
+    # Of each repeated payload: the page that keeps it.  The payloads of a much repeated page stay where they are.
+    key = F.concat_ws(":", "payload_digest", "payload_bytes").alias("key")
+    many = table(many.where("n > 1").select(key, "n", "first"), "warc-repeated")
+    keyed = own.select(key, "*")
+    joined = join_skewed(keyed, many, "key", "n", "left").drop("key")
     other = F.col("first").isNotNull() & ~F.coalesce(F.col("page_id") == F.col("first"), F.lit(False))
     return joined.withColumn("refers_to", F.when(other, F.col("first"))).drop("first")
 

@@ -228,6 +228,16 @@ def test_warc_round_trip(spark):
     assert warc.read(spark, empty).count() == 0
 
 
+def test_warc_hot_and_repeated_rows(spark):
+    rows = [(i, "u", "hot payload " * 100) for i in range(3000)] + [(9, "u", "y" * 2000), (9, "v", "y" * 2000)]
+    pages = spark.createDataFrame([(*r, "c", 1) for r in rows], "page_id long, url string, html string, key string, n int")
+    path = shared_path(spark, "warc-hot")
+    warc.write(pages, path)
+    back = warc.read(spark, path)
+    assert back.count() == len(rows) and back.where("refers_to = 2999 AND record_type = 'revisit'").count() == 2999
+    assert back.where("page_id = 9 AND record_type = 'response'").count() == 2
+
+
 def test_clashing_columns_survive(spark):
     names = "doc_id long, text string, source string, times int, kept_id int, text_key int, row string, n_rows int, name string, size int, node int, taken int"
     docs = spark.createDataFrame([(i, f"some words of row {i // 2} " * 5, "s", 1, 2, 3, "r", 4, "n", 5, 6, 7) for i in range(6)] + [(None, None, None, 1, 2, 3, "r", 4, "n", 5, 6, 7)], names)

@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import hashlib
+import math
+import re
+from collections import Counter
 from itertools import product
 
 import numpy as np
@@ -135,6 +138,49 @@ def test_fingerprint_rows(spark):
     assert [r.near_next for r in fingerprints.neighbours(docs.where("doc_id = 9")).collect()] == [1.0]
 
 
+def _java_longs(spark, rows, expression, names):
+    return [r[0] for r in spark.createDataFrame(rows, names).select(F.expr(expression)).collect()]
+
+
+def test_fingerprint_by_brute_force(spark):
+    texts = ["a b c d e f g h", "x y " * 50, "one two", "", "new\tline \x0b sep  a b c d e", "la " * 3000 + "the end of it all here"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.fingerprint for r in fingerprints.neighbours(docs).collect()}
+    for at, text in enumerate(texts):
+        words = re.findall(r"[^\x20\x09-\x0D]+", text)
+        runs = [words[i : i + 5] for i in range(len(words) - 4)] or ([words] if words else [])
+        counts = Counter(map(tuple, runs))
+        terms = list(counts)
+        if not terms:
+            assert set(got[at]) == {"0"}
+            continue
+        hashed = _java_longs(spark, [([*t],) for t in terms], "xxhash64(transform(w, x -> xxhash64(x)))", "w array<string>")
+        codes = [((h << 30) & (2**64 - 1)) >> 30 for h in hashed]
+        codes = [c - (1 << 34) if c >> 33 else c for c in codes]
+        want = ""
+        for k in range(4):
+            draws = spark.createDataFrame([(c,) for c in codes], "term long").selectExpr(f"xxhash64(term, {k}L)", f"xxhash64({k}L, term)").collect()
+            values = []
+            for (first, second), term in zip(draws, terms):
+                unit = lambda h, shift, bits: (((h >> shift) & ((1 << bits) - 1)) + 0.5) / 2**bits
+                c, r, b = -math.log(unit(first, 0, 31) * unit(first, 32, 31)), -math.log(unit(second, 0, 21) * unit(second, 21, 21)), unit(second, 42, 21)
+                values.append(math.log(c) - r * (math.floor(math.log(counts[term]) / r + b) + 1 - b))
+            # Logarithms differ in their last bit between libraries, so the least term's own value is Spark's.
+            at_least = values.index(min(values))
+            least = spark.createDataFrame([(codes[at_least], counts[terms[at_least]])], "term long, weight long").select(fingerprints.sample(k).alias("v")).selectExpr("v", "xxhash64(v)").first()
+            assert least[0] == pytest.approx(min(values), rel=1e-12)
+            want += f"{least[1] & 0xFFFF:04x}"
+        assert got[at][:16] == want
+
+
+def test_fingerprints_of_odd_rows(spark):
+    docs = spark.createDataFrame([(None, "a null id comes first", "c"), (3, "b text", "c"), (3, "a text", "c"), (4, "word " * 200_000, "c")], "doc_id long, text string, part string")
+    rows = fingerprints.neighbours(docs).collect()
+    order = ["a null id comes first", "a text", "b text", "word " * 200_000]
+    want = {hashlib.sha256((t[: len(t) - len(t) // 4] + n[: len(t) // 4]).encode()).hexdigest() for t, n in zip(order, order[1:] + order[:1])}
+    assert {r.edited_sha256 for r in rows} == want and len(rows) == 4
+
+
 def test_sampling_estimates_weighted_likeness(spark):
     left = {t: 1 + t % 4 for t in range(60)}
     right = {t: 1 + t % 3 for t in range(20, 80)}
