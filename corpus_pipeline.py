@@ -21,7 +21,7 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier, learned from the labels it may see, scores at ACCEPT or more."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(~langid.held_out(F.col("doc_id"), 3, 1))
     model = quality.fit(docs, labels)
-    return quality.score(docs, model).where(F.col("quality_score") >= ACCEPT).drop("quality_score")
+    return quality.keep(docs, model, ACCEPT)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
