@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.numeric import tidy
 
@@ -40,18 +45,34 @@ def content_hash(columns: list[str]) -> Column:
 
 
 def chain(log: DataFrame, columns: list[str], by: str = "campaign_id", order: str = "iteration") -> DataFrame:
-    """Each row's link: the hash of its content and of the content before it."""
-    rows = log.withColumn("content_hash", content_hash(columns))
-    before = F.lag("content_hash").over(Window.partitionBy(by).orderBy(order))
-    return rows.withColumn("chain_hash", F.sha2(F.concat(F.coalesce(before, F.lit("")), "content_hash"), 256))
+    """Each row's link: the hash of the link before it in its chain and of its own content, so a link depends on all before it.
+
+    A chain is one fold in its order; whole chains are dealt to tasks, which stream through them and hold one link of each at a time.
+    """
+    rows = log.withColumn("content_hash", content_hash(columns)).withColumn("chain_key", F.col(by).cast("string"))
+    dealt = rows.repartition("chain_key").sortWithinPartitions("chain_key", order)
+    names = [*rows.columns, "chain_hash"]
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, link = object(), ""
+        for batch in batches:
+            links = []
+            for at, content in zip(batch.column("chain_key").to_pylist(), batch.column("content_hash").to_pylist()):
+                if at != key:
+                    key, link = at, ""
+                link = hashlib.sha256((link + content).encode()).hexdigest()
+                links.append(link)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(links, pa.string())], names=names)
+
+    return dealt.mapInArrow(fold, T.StructType([*rows.schema.fields, T.StructField("chain_hash", T.StringType())])).drop("chain_key")
 
 
 def verify_chain(log: DataFrame, columns: list[str], by: str = "campaign_id", order: str = "iteration") -> DataFrame:
-    """Rows of a chained log recomputed: links that hold, and the first broken one of each chain."""
-    stored = log.withColumnRenamed("chain_hash", "stored_hash").drop("content_hash")
-    rows = chain(stored, columns, by, order)
-    bad = F.col("stored_hash") != F.col("chain_hash")
-    return rows.groupBy(by).agg(F.count("*").alias("n_links"), F.count_if(bad).alias("n_broken"), F.min(F.when(bad, F.col(order))).alias("first_broken"))
+    """Every link of a chained log against the stored link before it and its content: how many do not hold, and the first of each chain."""
+    before = F.coalesce(F.lag("chain_hash").over(Window.partitionBy(by).orderBy(order)), F.lit(""))
+    bad = F.coalesce(F.col("chain_hash") != F.sha2(F.concat(before, content_hash(columns)), 256), F.lit(True))
+    rows = log.select(by, order, bad.alias("bad"))
+    return rows.groupBy(by).agg(F.count("*").alias("n_links"), F.count_if("bad").alias("n_broken"), F.min(F.when(F.col("bad"), F.col(order))).alias("first_broken"))
 
 
 def leaderboard(results: DataFrame, scenario: str, player: str, regret: str) -> DataFrame:

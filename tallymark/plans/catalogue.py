@@ -46,9 +46,9 @@ def _corr(x: str, y: str, where: str = "true") -> str:
 # ---------------------------------------------------------------- store
 
 
-@query("SELECT campaign_id, iteration, kpi FROM obs WHERE campaign_id <= 50 AND iteration BETWEEN 10 AND 60 AND NOT is_failure", LINE_SQL)
+@query("SELECT campaign_id, iteration, kpi FROM obs WHERE iteration BETWEEN 10 AND 60 AND NOT is_failure", LINE_SQL)
 def store_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = store.query(line_observations(spark, sf_dir).where("campaign_id <= 50"), iterations=(10, 60), only_successful=True)
+    rows = store.query(line_observations(spark, sf_dir), iterations=(10, 60), only_successful=True)
     return rows.select("campaign_id", "iteration", "kpi")
 
 
@@ -81,10 +81,14 @@ def type_inference(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.infer_types(read(spark, sf_dir, "orders"), ["o_orderkey", "o_orderstatus", "o_totalprice", "o_orderpriority"])
 
 
-@query("""SELECT name, count(x) AS n_values, count(DISTINCT x) AS n_unique, CASE name WHEN 'iteration' THEN 'iteration' WHEN 'campaign_id' THEN 'identifier' WHEN 'kpi' THEN 'kpi' ELSE 'parameter' END AS role FROM (
-SELECT unnest(['campaign_id', 'iteration', 'p_quantity', 'kpi']) AS name, unnest([campaign_id::DOUBLE, iteration::DOUBLE, p_quantity, kpi]) AS x FROM obs) GROUP BY name""", LINE_SQL)
+@query("""+ s AS (SELECT name, count(x) AS n_values, count(DISTINCT x) AS n_unique, lower(name) AS low FROM (
+SELECT unnest(['campaign_id', 'iteration', 'p_quantity', 'kpi', 'm_code', 'flat', 'end_date']) AS name, unnest([campaign_id::DOUBLE, iteration::DOUBLE, p_quantity, kpi, p_tax, 1.0, p_discount]) AS x FROM obs) GROUP BY name)
+SELECT name, n_values, n_unique, CASE WHEN low[1:4] IN ('iter', 'step') OR low[1:5] = 'trial' THEN 'iteration' WHEN contains(low, 'time') OR contains(low, 'date') OR low = 'ts' THEN 'timestamp'
+WHEN low[1:3] IN ('kpi', 'obj') OR suffix(low, 'yield') OR suffix(low, 'price') OR suffix(low, 'score') THEN 'kpi' WHEN suffix(low, '_id') OR suffix(low, 'key') OR low = 'id' THEN 'identifier'
+WHEN low[1:2] = 'm_' THEN 'metadata' WHEN low[1:2] = 'p_' OR n_unique > 1 THEN 'parameter' ELSE 'unknown' END AS role FROM s""", LINE_SQL)
 def role_inference(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return store.infer_roles(line_observations(spark, sf_dir), ["campaign_id", "iteration", "p_quantity", "kpi"])
+    rows = line_observations(spark, sf_dir).withColumns({"m_code": F.col("p_tax"), "flat": F.lit(1.0), "end_date": F.col("p_discount")})
+    return store.infer_roles(rows, ["campaign_id", "iteration", "p_quantity", "kpi", "m_code", "flat", "end_date"])
 
 
 @query(f"""+ q AS (SELECT campaign_id, quantile_cont(kpi, 0.25) AS q1, quantile_cont(kpi, 0.75) AS q3 FROM obs GROUP BY 1)
@@ -413,7 +417,7 @@ def dominance_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---------------------------------------------------------------- comparisons
 
 
-HALVES_SQL = """h AS (SELECT o_custkey AS campaign_id, year(o_orderdate) < 1995 AS early, row_number() OVER (PARTITION BY o_custkey, year(o_orderdate) < 1995 ORDER BY o_orderdate, o_orderkey) - 1 AS iteration, o_orderstatus, o_orderpriority FROM orders),
+HALVES_SQL = """h AS (SELECT o_custkey AS campaign_id, o_orderkey % 2 = 0 AS early, row_number() OVER (PARTITION BY o_custkey, o_orderkey % 2 = 0 ORDER BY o_orderdate, o_orderkey) - 1 AS iteration, o_orderstatus, o_orderpriority FROM orders),
 c AS (SELECT a.campaign_id, a.iteration, a.o_orderstatus = b.o_orderstatus AS same_o_orderstatus, a.o_orderpriority = b.o_orderpriority AS same_o_orderpriority, a.o_orderstatus = b.o_orderstatus AND a.o_orderpriority = b.o_orderpriority AS same
 FROM h a JOIN h b USING (campaign_id, iteration) WHERE a.early AND NOT b.early)"""
 
@@ -421,7 +425,7 @@ FROM h a JOIN h b USING (campaign_id, iteration) WHERE a.early AND NOT b.early)"
 def _halves(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     from pyspark.sql import Window
 
-    early = F.year("o_orderdate") < 1995
+    early = F.col("o_orderkey") % 2 == 0
     line = Window.partitionBy("o_custkey", early).orderBy("o_orderdate", "o_orderkey")
     rows = read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("campaign_id"), early.alias("early"), (F.row_number().over(line) - 1).cast("long").alias("iteration"), "o_orderstatus", "o_orderpriority")
     return rows.where("early"), rows.where("NOT early")
@@ -449,13 +453,21 @@ def rule_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compare.rule_diff(sides.where("early"), sides.where("NOT early"), "l_partkey", ["flag", "status"])
 
 
-@query("""+ k AS (SELECT campaign_id, iteration, sha256(concat_ws('|', campaign_id::VARCHAR, iteration::VARCHAR, event_id::VARCHAR, event_type)) AS content_hash FROM obs)
-SELECT campaign_id, iteration, sha256(coalesce(lag(content_hash) OVER (PARTITION BY campaign_id ORDER BY iteration), '') || content_hash) AS chain_hash FROM k""", EVENT_SQL)
+# The chain as a recursion over the rows of each campaign.
+CHAIN_SQL = EVENT_SQL.replace("obs AS", "RECURSIVE obs AS", 1) + """,
+c AS (SELECT campaign_id, iteration, sha256(campaign_id || '|' || iteration || '|' || event_id || '|' || event_type) AS content FROM obs),
+k AS (SELECT campaign_id, iteration, sha256(content) AS chain_hash FROM c WHERE iteration = 0
+      UNION ALL SELECT c.campaign_id, c.iteration, sha256(k.chain_hash || c.content) FROM k JOIN c ON c.campaign_id = k.campaign_id AND c.iteration = k.iteration + 1)"""
+
+
+@query("SELECT campaign_id, iteration, chain_hash FROM k", CHAIN_SQL)
 def audit_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compare.chain(event_observations(spark, sf_dir), ["campaign_id", "iteration", "event_id", "event_type"]).select("campaign_id", "iteration", "chain_hash")
 
 
-@query("SELECT campaign_id, count(*) AS n_links, count(*) FILTER (WHERE event_id % 97 = 0) AS n_broken, min(iteration) FILTER (WHERE event_id % 97 = 0) AS first_broken FROM obs GROUP BY 1", EVENT_SQL)
+# A link that was overwritten breaks itself and the one after it.
+@query("""+ b AS (SELECT *, event_id % 97 = 0 OR coalesce(lag(event_id) OVER (PARTITION BY campaign_id ORDER BY iteration) % 97 = 0, false) AS bad FROM obs)
+SELECT campaign_id, count(*) AS n_links, count(*) FILTER (WHERE bad) AS n_broken, min(iteration) FILTER (WHERE bad) AS first_broken FROM b GROUP BY 1""", EVENT_SQL)
 def audit_chain_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
     fields = ["campaign_id", "iteration", "event_id", "event_type"]
     log = compare.chain(event_observations(spark, sf_dir), fields)

@@ -149,9 +149,19 @@ def correlation_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.correlation_matrix(read(spark, sf_dir, "lineitem"), NAMES)
 
 
-@query()
+CHAINED = {"quantity": "l_quantity", "price": "l_extendedprice", "net": "l_extendedprice * (1 - l_discount)", "charge": "l_extendedprice * (1 - l_discount) * (1 + l_tax)", "discount": "l_discount", "tax": "l_tax"}
+CHAINED_SQL = f"""d AS (SELECT {', '.join(f'{x} AS {n}' for n, x in CHAINED.items())} FROM lineitem),
+c AS ({' UNION ALL '.join(f"SELECT '{a}' AS a, '{b}' AS b, {_r(_corr(a, b), 6)} AS r, count(*) AS n FROM d" for a in CHAINED for b in CHAINED if a != b)})"""
+
+
+# Reaching |z| of 1.96 is having a p of 0.05 at most.
+@query("""+ t AS (SELECT p.a, p.b, p.r, p.n, CASE WHEN (1 - q.r * q.r) * (1 - s.r * s.r) > 1e-12 THEN (p.r - q.r * s.r) / sqrt((1 - q.r * q.r) * (1 - s.r * s.r)) ELSE 0 END AS pr
+FROM c p JOIN c q ON q.a = p.a AND q.b <> p.b JOIN c s ON s.a = p.b AND s.b = q.b WHERE list_position(['quantity', 'price', 'net', 'charge', 'discount', 'tax'], p.a) < list_position(['quantity', 'price', 'net', 'charge', 'discount', 'tax'], p.b)),
+z AS (SELECT *, atanh(least(greatest(r, -0.999999), 0.999999)) * sqrt(n - 3) AS z0, atanh(least(greatest(pr, -0.999999), 0.999999)) * sqrt(n - 4) AS z1 FROM t)
+SELECT a, b, any_value(r) AS r FROM z GROUP BY 1, 2 HAVING min(least(abs(z0), abs(z1))) >= 1.959964""", CHAINED_SQL)
 def pc_skeleton(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stats.skeleton(read(spark, sf_dir, "lineitem"), NAMES)
+    rows = read(spark, sf_dir, "lineitem").selectExpr(*(f"{x} AS {n}" for n, x in CHAINED.items()))
+    return stats.skeleton(rows, list(CHAINED))
 
 
 @query(f"""+ w AS (SELECT campaign_id, kpi AS y, unnest(['p_quantity', 'p_discount', 'p_tax']) AS model, unnest([p_quantity, p_discount, p_tax]) AS x FROM obs),
