@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import safe_corr, tidy
+from ..sources.tables import keep
 
 
 def scalarized(objectives: dict[str, str], weights: dict[str, float], method: str = "weighted_sum") -> Column:
@@ -186,18 +187,18 @@ def subgroup_effects(obs: DataFrame, treatment: str, by: str) -> DataFrame:
 def levels(edges: DataFrame, parent: str, child: str) -> DataFrame:
     """Topological levels of a directed graph without cycles: 0 without parents, else one more than the highest parent.
 
-    One aggregation per level; a vertex is reached again only when its level rises.  Nodes on a cycle have no level.
+    Each level takes away the edges of the vertices that no edge enters any more; what is left is written once per level.  Vertices on
+    a cycle, and those behind it, have no level.
     """
-    links = edges.select(F.col(parent).alias("p"), F.col(child).alias("c")).distinct().cache()
-    nodes = links.select(F.col("p").alias("node")).union(links.select("c")).distinct()
-    found, level = None, 0
-    left = nodes.cache()
+    left = keep(edges.select(F.col(parent).alias("p"), F.col(child).alias("c")).where("p IS NOT NULL AND c IS NOT NULL").distinct(), "levels")
+    found, level = left.select(F.col("p").alias("node"), F.lit(0).alias("level")).limit(0), 0
     while True:
-        held = links.join(left.select(F.col("node").alias("p")), "p", "left_semi").select(F.col("c").alias("node")).distinct()
-        ready = left.join(held, "node", "left_anti").withColumn("level", F.lit(level)).cache()
+        ready = keep(left.select("p").join(left.select(F.col("c").alias("p")), "p", "left_anti").distinct(), "levels")
         if ready.isEmpty():
-            break
-        found = ready if found is None else found.union(ready)
-        left = left.join(ready, "node", "left_anti").cache()
+            return found
+        gone = left.join(ready, "p", "left_semi").select("c").distinct()
+        left = keep(left.join(ready, "p", "left_anti"), "levels")
+        # Vertices without edges of their own are done with their last parent.
+        ends = gone.join(left.select("c"), "c", "left_anti").join(edges.select(F.col(parent).alias("c")).distinct(), "c", "left_anti")
+        found = found.union(ready.select("p", F.lit(level))).union(keep(ends, "levels").select("c", F.lit(level + 1)))
         level += 1
-    return found if found is not None else nodes.withColumn("level", F.lit(0)).limit(0)

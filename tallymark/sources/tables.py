@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -64,3 +66,39 @@ def canonical_json(table: DataFrame, columns: list[str]) -> DataFrame:
     """Each row with its sorted-key JSON and the first 16 digits of that JSON's SHA-256."""
     text = F.to_json(F.struct(*sorted(columns)))
     return table.withColumn("canonical", text).withColumn("row_hash", F.substring(F.sha2(text, 256), 1, 16))
+
+
+def json_text(table: DataFrame, column: str, schema: str) -> DataFrame:
+    """The rows of JSON lists that a column holds as text, beside the other columns; a malformed or empty text gives no row."""
+    kept = [c for c in table.columns if c != column]
+    return table.select(*kept, F.inline(F.from_json(column, f"array<struct<{', '.join(f'`{f.name}`: {f.dataType.simpleString()}' for f in T.StructType.fromDDL(schema))}>>")))
+
+
+def csv_text(table: DataFrame, column: str, schema: str) -> DataFrame:
+    """The rows of CSV texts with a header line that a column holds, beside the other columns that do not clash; blank lines are skipped."""
+    fields = T.StructType.fromDDL(schema)
+    kept = [c for c in table.columns if c != column and c not in fields.names]
+    lines = F.filter(F.slice(F.split(column, r"\r?\n"), 2, F.size(F.split(column, r"\r?\n"))), lambda x: F.trim(x) != "")
+    return table.select(*kept, F.explode(lines).alias("line_")).select(*kept, F.from_csv("line_", schema).alias("row_")).select(*kept, "row_.*")
+
+
+def detect_bounds(obs: DataFrame, params: list[str], margin: float = 0.05) -> DataFrame:
+    """Bounds of every parameter of a campaign from its values, widened by a share of their range (of their size, if they are all equal)."""
+    spans = obs.unpivot(["campaign_id"], params, "name", "x").groupBy("campaign_id", "name").agg(F.min("x").alias("lo"), F.max("x").alias("hi"))
+    pad = margin * F.when(F.col("hi") > F.col("lo"), F.col("hi") - F.col("lo")).otherwise(F.greatest(F.abs("lo"), F.lit(1.0)))
+    return spans.select("campaign_id", "name", (F.round(F.col("lo") - pad, 6) + 0.0).alias("lower"), (F.round(F.col("hi") + pad, 6) + 0.0).alias("upper"))
+
+
+def shared_path(spark: SparkSession, what: str) -> str:
+    """A new path in the folder that ``spark.checkpoint.dir`` names; a local one only where that is unset and the master is this machine."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and spark.sparkContext.master.split("[")[0] != "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that the whole cluster shares")
+    return f"{(named or '/tmp/checkpoints').rstrip('/')}/{what}-{uuid.uuid4().hex}"
+
+
+def keep(table: DataFrame, what: str) -> DataFrame:
+    """``table`` written once in the shared folder and read again: what comes after does not repeat what came before."""
+    path = shared_path(table.sparkSession, what)
+    table.write.parquet(path)
+    return table.sparkSession.read.schema(table.schema).parquet(path)
