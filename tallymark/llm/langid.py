@@ -33,6 +33,7 @@ LEARN_CHARS = 50_000
 RIDGE = 1e-2
 BATCH = 64
 CHUNK = 1 << 20
+PARTS = 64
 _LETTER = regex.compile(r"\p{L}")
 
 
@@ -107,8 +108,12 @@ def fit(docs: DataFrame) -> Model | None:
     spark = docs.sparkSession
     named = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull())
     named = named.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", F.xxhash64("text").alias("text_key"), (F.length("text") > LEARN_CHARS).alias("long"), "text")
-    turn = Window.partitionBy("lang").orderBy("long", F.xxhash64("doc_id"), "doc_id", "text_key")
-    ids = named.drop("text").withColumn("turn", F.row_number().over(turn)).where(F.col("turn") <= PER_LANGUAGE)
+    order = ("long", F.xxhash64("doc_id"), "doc_id", "text_key")
+    turn = Window.partitionBy("lang").orderBy(*order)
+    # The first of a language are among the first of its parts, so no task ranks more than what the parts leave.
+    ids = named.drop("text").withColumn("part", F.pmod(F.xxhash64("doc_id", "text_key"), F.lit(PARTS)))
+    ids = ids.withColumn("turn", F.row_number().over(Window.partitionBy("lang", "part").orderBy(*order))).where(F.col("turn") <= PER_LANGUAGE).drop("part", "turn")
+    ids = ids.withColumn("turn", F.row_number().over(turn)).where(F.col("turn") <= PER_LANGUAGE)
     ids = ids.drop("turn").distinct().withColumn("turn", F.row_number().over(turn)).orderBy("turn", "lang").limit(SAMPLE)
     key = ["doc_id", "lang", "text_key"]
     picked = [tuple(r[c] for c in key) for r in ids.orderBy("turn", "lang").collect()]  # at most SAMPLE rows
