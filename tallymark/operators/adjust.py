@@ -101,7 +101,7 @@ def drift_window(scores: DataFrame, counts: DataFrame, least: float = 0.3, test:
     rows = counts.join(scores.select("campaign_id", "score"), "campaign_id", "left")
     keep = F.floor(F.col("n") * F.greatest(F.lit(0.25), 1 - 0.75 * F.col("score")))
     window = F.when(F.coalesce("score", F.lit(0.0)) < least, F.col("n")).otherwise(F.least(F.col("n"), F.greatest(F.lit(test), keep)))
-    return rows.select("campaign_id", "n", window.cast("long").alias("window"))
+    return rows.select("campaign_id", "n", window.cast("long").alias("n_kept"))
 
 
 def rolling_scores(obs: DataFrame, segment: int = 10) -> DataFrame:

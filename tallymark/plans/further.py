@@ -88,7 +88,7 @@ def residual_shift(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""+ n AS (SELECT campaign_id, count(*) AS n FROM obs WHERE NOT is_failure GROUP BY 1), j AS (SELECT campaign_id, n, {_r('score', 5)} AS score FROM n LEFT JOIN shift USING (campaign_id))
-SELECT campaign_id, n, (CASE WHEN coalesce(score, 0) < 0.1 THEN n ELSE least(n, greatest(10, floor(n * greatest(0.25, 1 - 0.75 * score)))) END)::BIGINT AS "window" FROM j""", RESIDUALS)
+SELECT campaign_id, n, (CASE WHEN coalesce(score, 0) < 0.1 THEN n ELSE least(n, greatest(10, floor(n * greatest(0.25, 1 - 0.75 * score)))) END)::BIGINT AS n_kept FROM j""", RESIDUALS)
 def drift_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     obs = line_observations(spark, sf_dir)
     counts = obs.where("NOT is_failure").groupBy("campaign_id").agg(F.count("*").alias("n"))
