@@ -2,12 +2,14 @@
 
 Method: NN-descent.  A first graph comes from exact neighbours inside blocks of random one-dimensional projections;
 each iteration then joins every vector's neighbours and reverse neighbours at that vector (a Spark join that brings
-their codes together), compares them with each other and keeps for each the nearest found.  Queries walk the
-finished graph greedily: in rounds of Spark joins each query expands the nearest vectors of its beam that it has
-not expanded yet, until there are none or the rounds are used up; the beam is then measured exactly.
+their codes together), compares with each other those of which at least one is new there, and keeps for each the
+nearest found, until under ``SETTLED`` of the links change.  Queries walk the finished graph greedily: in rounds of
+Spark joins each query expands the nearest vectors of its beam that it has not expanded yet, and measures the
+neighbours that it has not met, until its beam holds no unexpanded vector; the beam is then measured exactly.
 
 Equal vectors are one vertex.  Of each vertex the ``k + 1`` smallest ids are kept, which is all a query of ``k``
-neighbours can name.  The graph works on 8-bit codes; the scores returned are double precision on the originals.
+neighbours can name.  The graph works on 16-bit codes and on differences from a common centre, so it tells near-equal
+vectors apart down to about 3e-5 of their largest component; the scores returned are double precision on the originals.
 
 Edge cases: vectors that are null, empty, zero, hold null or non-finite components, or have not the table's most
 frequent dimension take no part, neither as queries nor as candidates; null ids likewise; equal distances are ordered
@@ -25,31 +27,31 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .scratch import checkpoint, table
+from .scratch import table
 
 TREES = 8
 BLOCK = 256
-DEGREE = 24
-REVERSE = 24
-PER_JOIN = 6
-ITERATIONS = 4
-BEAM = 512
-EXPAND = 64
-ROUNDS = 14
+DEGREE = 40
+REVERSE = 40
+PER_JOIN = 16
+SETTLED = 0.02
+ITERATIONS = 15
+BEAM = 128
+EXPAND = 16
 ENTRIES = 64
 SEED = 11
 
 
 def encode(vectors: np.ndarray) -> list[bytes]:
-    """Each row as a 4-byte scale and one signed byte per component."""
-    scale = (np.abs(vectors).max(axis=1, keepdims=True) / 127).astype(np.float32)
-    codes = np.rint(vectors / np.maximum(scale, 1e-30)).astype(np.int8)
+    """Each row as a 4-byte scale and two signed bytes per component."""
+    scale = (np.abs(vectors).max(axis=1, keepdims=True) / 32767).astype(np.float32)
+    codes = np.rint(np.clip(vectors / np.maximum(scale, 1e-30), -32767, 32767)).astype("<i2")
     return [a + b for a, b in zip(map(bytes, scale.astype("<f4")), map(bytes, codes))]
 
 
 def decode(codes: list[bytes]) -> np.ndarray:
     raw = np.frombuffer(b"".join(codes), dtype=np.uint8).reshape(len(codes), -1)
-    return raw[:, 4:].view(np.int8).astype(np.float32) * np.ascontiguousarray(raw[:, :4]).view("<f4")
+    return np.ascontiguousarray(raw[:, 4:]).view("<i2").astype(np.float32) * np.ascontiguousarray(raw[:, :4]).view("<f4")
 
 
 def _squares(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -68,9 +70,10 @@ def valid(vectors: DataFrame) -> DataFrame:
 
 @dataclass
 class Index:
-    """vertices: node, embedding, ids (its smallest ids).  graph: node, near (neighbours' ids and codes)."""
+    """vertices: node, embedding, ids (its smallest ids).  codes: node, code.  graph: node, near (neighbours' nodes)."""
 
     vertices: DataFrame
+    codes: DataFrame
     graph: DataFrame
     k: int
 
@@ -125,6 +128,7 @@ def _first_graph(coded: DataFrame) -> DataFrame:
                 part = batch.slice(lo, BLOCK)
                 ids = part.column("node").to_numpy()
                 x = decode(part.column("code").to_pylist())
+                x -= x.mean(axis=0)
                 near = _squares(x, x)
                 np.fill_diagonal(near, np.inf)
                 i, j = _near_rows(near, DEGREE // 2)
@@ -139,26 +143,31 @@ def _first_graph(coded: DataFrame) -> DataFrame:
 
 
 def _keep_nearest(edges: DataFrame, most: int) -> DataFrame:
-    """Each vertex's nearest edges, every neighbour once."""
-    once = edges.groupBy("u", "v").agg(F.min("d").alias("d"))
-    rank = F.row_number().over(Window.partitionBy("u").orderBy("d", "v"))
+    """Each vertex's nearest edges, every neighbour once; equal distances by hash, so that no vertex becomes everyone's choice."""
+    once = edges.groupBy("u", "v").agg(F.min("d").alias("d"), F.bool_and("fresh").alias("fresh"))
+    rank = F.row_number().over(Window.partitionBy("u").orderBy("d", F.xxhash64("u", "v")))
     return once.withColumn("rank", rank).where(F.col("rank") <= most).drop("rank")
 
 
+def _links(edges: DataFrame) -> DataFrame:
+    """node, id, fresh: every vertex's neighbours and nearest reverse neighbours."""
+    rank = F.row_number().over(Window.partitionBy("v").orderBy("d", F.xxhash64("u", "v")))
+    back = edges.withColumn("rank", rank).where(F.col("rank") <= REVERSE).select(F.col("v").alias("node"), F.col("u").alias("id"), "fresh")
+    both = edges.select(F.col("u").alias("node"), F.col("v").alias("id"), "fresh").unionByName(back)
+    return both.groupBy("node", "id").agg(F.bool_or("fresh").alias("fresh"))
+
+
 def _around(edges: DataFrame, coded: DataFrame) -> DataFrame:
-    """node, near: the ids, worst kept distances and codes of its neighbours and nearest reverse neighbours."""
-    rank = F.row_number().over(Window.partitionBy("v").orderBy("d", "u"))
-    back = edges.withColumn("rank", rank).where(F.col("rank") <= REVERSE).select(F.col("v").alias("node"), F.col("u").alias("id"))
-    both = edges.select(F.col("u").alias("node"), F.col("v").alias("id")).unionByName(back).distinct()
+    """near: of each vertex the ids, worst kept distances, freshness and codes of those that it is linked with."""
     worst = edges.groupBy("u").agg(F.count("*").alias("n"), F.max("d").alias("d"))
     worst = worst.select(F.col("u").alias("id"), F.when(F.col("n") >= DEGREE, F.col("d")).otherwise(F.lit(float("inf"))).cast("float").alias("worst"))
     info = coded.select(F.col("node").alias("id"), "code").join(worst, "id", "left")
-    item = F.struct("id", F.coalesce("worst", F.lit(float("inf")).cast("float")).alias("worst"), "code")
-    return both.join(info, "id").groupBy("node").agg(F.collect_list(item).alias("near"))
+    item = F.struct("id", F.coalesce("worst", F.lit(float("inf")).cast("float")).alias("worst"), "fresh", "code")
+    return _links(edges).join(info, "id").groupBy("node").agg(F.collect_list(item).alias("near"))
 
 
 def _local_join(around: DataFrame) -> DataFrame:
-    """Neighbours of a common neighbour, compared: those nearer to each other than what they have."""
+    """Neighbours of a common neighbour, compared: those nearer to each other than what they have, one of each pair new here."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -167,11 +176,15 @@ def _local_join(around: DataFrame) -> DataFrame:
             flat, cuts = lists.flatten(), lists.offsets.to_numpy()
             base = cuts[0]
             ids, worst = flat.field("id").to_numpy(), flat.field("worst").to_numpy()
+            fresh = flat.field("fresh").to_numpy(zero_copy_only=False)
             codes = decode(flat.field("code").to_pylist()) if len(flat) else None
             for lo, hi in zip((cuts[:-1] - base).tolist(), (cuts[1:] - base).tolist()):
-                x = codes[lo:hi]
+                new = fresh[lo:hi]
+                if not new.any():
+                    continue
+                x = codes[lo:hi] - codes[lo:hi].mean(axis=0)
                 near = _squares(x, x)
-                near[near >= worst[lo:hi, None]] = np.inf
+                near[(near >= worst[lo:hi, None]) | ~(new[:, None] | new[None, :])] = np.inf
                 np.fill_diagonal(near, np.inf)
                 i, j = _near_rows(near, PER_JOIN)
                 u.append(ids[lo + i])
@@ -186,25 +199,31 @@ def build(vectors: DataFrame, k: int = 10, iterations: int = ITERATIONS) -> Inde
     """The neighbour graph over every valid vector of ``vectors`` (vec_id, embedding)."""
     vertices = table(_vertices(valid(vectors), k), "ann-vertices")
     coded = table(_coded(vertices), "ann-codes")
-    edges = table(_keep_nearest(_first_graph(coded), DEGREE), "ann-edges")
-    total = edges.count()
+    edges = table(_keep_nearest(_first_graph(coded).withColumn("fresh", F.lit(True)), DEGREE), "ann-edges")
     for _ in range(iterations):
-        found = table(_local_join(_around(edges, coded)), "ann-found")
-        if found.count() * 200 < total:
+        found = _local_join(_around(edges, coded)).withColumn("fresh", F.lit(True))
+        edges = table(_keep_nearest(edges.withColumn("fresh", F.lit(False)).unionByName(found), DEGREE), "ann-edges")
+        changed, total = edges.select(F.count_if("fresh"), F.count("*")).first()
+        if changed <= SETTLED * total:
             break
-        edges = table(_keep_nearest(edges.unionByName(found), DEGREE), "ann-edges")
-    return Index(vertices, checkpoint(_around(edges, coded)), k)
+    graph = table(_links(edges).groupBy("node").agg(F.collect_list("id").alias("near")), "ann-graph")
+    return Index(vertices, coded.select("node", "code"), graph, k)
 
 
-def search(index: Index, queries: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+def search(index: Index, queries: DataFrame) -> DataFrame:
     """For each row of ``queries`` (query_id, embedding as doubles) the nearest ``index.k`` found, itself left out.
 
     A walk starts at the vertex equal to the query, if there is one, and at the nearest of a fixed few vertices.
     Returns query_id, rank, vec_id, score.
     """
+    return _name(index, queries, *walk(index, queries))
+
+
+def walk(index: Index, queries: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The distinct query vectors (embedding, spot) and all that their walks measured (spot, node, d, done)."""
     spots = queries.groupBy("embedding").agg(F.min("query_id").alias("spot"))
     spots = table(spots, "ann-queries")
-    coded = _coded(spots.select(F.col("spot").alias("node"), "embedding")).select(F.col("node").alias("spot"), "code")
+    home = table(_coded(spots.select(F.col("spot").alias("node"), "embedding")).select(F.col("node").alias("spot"), F.col("code").alias("home")), "ann-homes")
     # A fixed number of entry vertices, so small enough to send everywhere.
     entries = sorted(tuple(r) for r in index.vertices.orderBy(F.xxhash64("node"), "node").limit(ENTRIES).select("node", "embedding").collect())
     doors = np.array([n for n, _ in entries], dtype=np.int64)
@@ -221,34 +240,29 @@ def search(index: Index, queries: DataFrame, rounds: int = ROUNDS) -> DataFrame:
 
     first = spots.mapInArrow(enter, "spot long, node long, d float")
     own = spots.join(index.vertices.select("node", "embedding"), "embedding").select("spot", "node", F.lit(0.0).cast("float").alias("d"))
-    beam = table(_beam(first.unionByName(own).withColumn("done", F.lit(False))), "ann-beam")
+    seen = table(_merge(first.unionByName(own).withColumn("done", F.lit(False))), "ann-seen")
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            spots, nodes, ds = [], [], []
-            lists = batch.column("near")
-            flat, cuts = lists.flatten(), lists.offsets.to_numpy()
-            base = cuts[0]
-            ids = flat.field("id").to_numpy()
-            codes = decode(flat.field("code").to_pylist()) if len(flat) else None
-            home = decode(batch.column("code").to_pylist()) if batch.num_rows else None
-            for i, (spot, lo, hi) in enumerate(zip(batch.column("spot").to_pylist(), (cuts[:-1] - base).tolist(), (cuts[1:] - base).tolist())):
-                spots.append(np.full(hi - lo, spot))
-                nodes.append(ids[lo:hi])
-                ds.append(_squares(home[i : i + 1], codes[lo:hi])[0])
-            out = _edges(spots, nodes, ds)
-            yield pa.RecordBatch.from_arrays(out.columns, names=["spot", "node", "d"])
-
-    for _ in range(rounds):
-        rank = F.row_number().over(Window.partitionBy("spot").orderBy("d", "node"))
-        ahead = beam.where(~F.col("done")).withColumn("rank", rank).where(F.col("rank") <= EXPAND).select("spot", "node")
+            if batch.num_rows:
+                apart = decode(batch.column("code").to_pylist()) - decode(batch.column("home").to_pylist())
+                far = pa.array((apart * apart).sum(axis=1), pa.float32())
+                yield pa.RecordBatch.from_arrays([batch.column("spot"), batch.column("node"), far], names=["spot", "node", "d"])
+
+    while True:
+        ahead = table(_nearest(_nearest(seen, BEAM).where(~F.col("done")), EXPAND).select("spot", "node"), "ann-ahead")
         if ahead.isEmpty():
-            break
-        step = ahead.join(coded, "spot").join(index.graph, "node").select("spot", "code", "near")
-        seen = step.mapInArrow(measure, "spot long, node long, d float").withColumn("done", F.lit(False))
+            return spots, seen
+        met = ahead.join(index.graph, "node").select("spot", F.explode("near").alias("node")).distinct()
+        met = met.join(seen.select("spot", "node"), ["spot", "node"], "left_anti")
+        found = met.join(index.codes, "node").join(home, "spot").select("spot", "node", "code", "home").mapInArrow(measure, "spot long, node long, d float")
         mark = ahead.withColumn("d", F.lit(float("inf")).cast("float")).withColumn("done", F.lit(True))
-        beam = table(_beam(beam.unionByName(seen).unionByName(mark)), "ann-beam")
+        seen = table(_merge(seen.unionByName(found.withColumn("done", F.lit(False))).unionByName(mark)), "ann-seen")
 
+
+def _name(index: Index, queries: DataFrame, spots: DataFrame, seen: DataFrame) -> DataFrame:
+    """Each query's nearest rows by exact distance, from the beam that its walk ended with."""
+    beam = _nearest(seen, BEAM).select("spot", "node")
     apart = F.aggregate(F.zip_with("embedding", "other", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x)
     pairs = beam.join(spots, "spot").join(index.vertices.select("node", F.col("embedding").alias("other"), "ids"), "node")
     pairs = pairs.select("spot", "ids", F.sqrt(apart).alias("score"))
@@ -261,8 +275,12 @@ def search(index: Index, queries: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     return named.withColumn("rank", order).where(F.col("rank") <= index.k).select("query_id", "rank", "vec_id", "score")
 
 
-def _beam(rows: DataFrame) -> DataFrame:
-    """Each query's nearest vertices, each once, and whether they were expanded."""
-    once = rows.groupBy("spot", "node").agg(F.min("d").alias("d"), F.bool_or("done").alias("done"))
+def _merge(rows: DataFrame) -> DataFrame:
+    """Every vertex that a query met once, and whether it was expanded."""
+    return rows.groupBy("spot", "node").agg(F.min("d").alias("d"), F.bool_or("done").alias("done"))
+
+
+def _nearest(rows: DataFrame, most: int) -> DataFrame:
+    """Each query's nearest vertices."""
     rank = F.row_number().over(Window.partitionBy("spot").orderBy("d", "node"))
-    return once.withColumn("rank", rank).where(F.col("rank") <= BEAM).drop("rank")
+    return rows.withColumn("rank", rank).where(F.col("rank") <= most).drop("rank")

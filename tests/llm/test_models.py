@@ -22,6 +22,7 @@ def test_search_recall(spark):
     x = rng.standard_normal((1500, 24))
     x[200:260] = x[7] + 0.01 * rng.standard_normal((60, 24))
     x[300:340] = x[9]
+    x[600:900] = x[11] + 0.001 * rng.standard_normal((300, 24))  # near-equal, more than a beam holds
     rows = [(i, v.tolist()) for i, v in enumerate(x)]
     odd = [(5000, None), (5100, [0.0] * 24), (5200, [float("nan")] + [1.0] * 23), (5300, [None] + [1.0] * 23), (5400, [1.0]), (None, [1.0] * 24), (5500, [])]
     vectors = spark.createDataFrame(rows + odd, "vec_id long, embedding array<double>").withColumn("node", F.lit("clash"))
