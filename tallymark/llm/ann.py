@@ -34,6 +34,7 @@ BLOCK = 256
 DEGREE = 40
 REVERSE = 40
 PER_JOIN = 16
+SLICE = 512
 SETTLED = 0.02
 ITERATIONS = 15
 BEAM = 128
@@ -169,28 +170,30 @@ def _around(edges: DataFrame, coded: DataFrame) -> DataFrame:
 def _local_join(around: DataFrame) -> DataFrame:
     """Neighbours of a common neighbour, compared: those nearer to each other than what they have, one of each pair new here."""
 
+    def compare(lists: pa.ListArray) -> pa.RecordBatch:
+        u, v, d = [], [], []
+        flat, cuts = lists.flatten(), lists.offsets.to_numpy()
+        ids, worst = flat.field("id").to_numpy(), flat.field("worst").to_numpy()
+        fresh = flat.field("fresh").to_numpy(zero_copy_only=False)
+        codes = decode(flat.field("code").to_pylist()) if len(flat) else None
+        for lo, hi in zip((cuts[:-1] - cuts[0]).tolist(), (cuts[1:] - cuts[0]).tolist()):
+            new = fresh[lo:hi]
+            if not new.any():
+                continue
+            x = codes[lo:hi] - codes[lo:hi].mean(axis=0)
+            near = _squares(x, x)
+            near[(near >= worst[lo:hi, None]) | ~(new[:, None] | new[None, :])] = np.inf
+            np.fill_diagonal(near, np.inf)
+            i, j = _near_rows(near, PER_JOIN)
+            u.append(ids[lo + i])
+            v.append(ids[lo + j])
+            d.append(near[i, j])
+        return _edges(u, v, d)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            u, v, d = [], [], []
-            lists = batch.column("near")
-            flat, cuts = lists.flatten(), lists.offsets.to_numpy()
-            base = cuts[0]
-            ids, worst = flat.field("id").to_numpy(), flat.field("worst").to_numpy()
-            fresh = flat.field("fresh").to_numpy(zero_copy_only=False)
-            codes = decode(flat.field("code").to_pylist()) if len(flat) else None
-            for lo, hi in zip((cuts[:-1] - base).tolist(), (cuts[1:] - base).tolist()):
-                new = fresh[lo:hi]
-                if not new.any():
-                    continue
-                x = codes[lo:hi] - codes[lo:hi].mean(axis=0)
-                near = _squares(x, x)
-                near[(near >= worst[lo:hi, None]) | ~(new[:, None] | new[None, :])] = np.inf
-                np.fill_diagonal(near, np.inf)
-                i, j = _near_rows(near, PER_JOIN)
-                u.append(ids[lo + i])
-                v.append(ids[lo + j])
-                d.append(near[i, j])
-            yield _edges(u, v, d)
+            for lo in range(0, batch.num_rows, SLICE):
+                yield compare(batch.slice(lo, SLICE).column("near"))
 
     return around.select("near").mapInArrow(run, EDGES)
 
