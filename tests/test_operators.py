@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from tallymark.functions import numeric
 from tallymark.model import Spec
 from tallymark.operators import diagnostics, graph, kernels, pareto, stats, store, windows
-from tallymark.plans import catalogue, further, rules  # noqa: F401
+from tallymark.plans import catalogue, further, rules, space  # noqa: F401
 from tallymark.sources import tables
 from tallymark.streaming import loop
 
