@@ -7,20 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, fingerprints, html, langid, mixing, packing, quality, secrets, simhash, warc
+from . import ann, codes, fingerprints, html, langid, lexical, mixing, packing, pieces, quality, secrets, simhash, warc
 from .scratch import shared_path
 
 TOKENIZER = "word_bpe_49k.json"
+PIECES = "piece_bpe_32k.model"
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def tokenizer_path() -> str:
+def tokenizer_path(name: str = TOKENIZER) -> str:
     import public_tokenizers
 
-    return str(public_tokenizers.path(TOKENIZER))
+    return str(public_tokenizers.path(name))
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,6 +78,19 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op11_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    postings = lexical.index(_read(spark, sf_dir, "documents"))
+    return lexical.search(postings, _read(spark, sf_dir, "benchmark"))
+
+
+def op12_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.round_trip(_read(spark, sf_dir, "documents"), tokenizer_path(PIECES))
+
+
+def op13_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codes.compress(_read(spark, sf_dir, "embeddings")).drop("label")
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_read(spark, sf_dir, "documents"))
 
@@ -119,6 +133,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_secrets": op8_secrets,
     "op9_langid": op9_langid,
     "op10_warc": op10_warc,
+    "op11_lexical": op11_lexical,
+    "op12_pieces": op12_pieces,
+    "op13_codes": op13_codes,
 }
 
 OP10_SQL = """
@@ -159,7 +176,55 @@ SELECT doc_id, coalesce(a, 0)::BIGINT AS n_assign, coalesce(b, 0)::BIGINT AS n_a
 FROM texts LEFT JOIN found USING (doc)"""
 
 
+OP11_SQL = r"""
+WITH docs AS (
+  SELECT row_number() OVER () AS doc, doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms
+  FROM documents WHERE text IS NOT NULL),
+items AS (SELECT DISTINCT item_id, text FROM benchmark WHERE text IS NOT NULL),
+asked AS (
+  SELECT DISTINCT item_id, text, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+  FROM items),
+sizes AS (SELECT doc, doc_id, len(terms)::BIGINT AS n FROM docs WHERE len(terms) > 0),
+stats AS (SELECT count(*)::BIGINT AS nd, sum(n)::BIGINT AS l FROM sizes),
+postings AS (SELECT doc, term, count(*)::BIGINT AS tf FROM (SELECT doc, unnest(terms) AS term FROM docs) WHERE term IN (SELECT term FROM asked) GROUP BY doc, term),
+weights AS (SELECT term, floor(1000 * ln((2 * nd + 2)::DOUBLE / (2 * df + 1)::DOUBLE))::BIGINT AS w FROM (SELECT term, count(*) AS df FROM postings GROUP BY term), stats),
+gains AS (SELECT doc, term, doc_id, w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * nd) // l))) AS gain FROM postings JOIN sizes USING (doc) JOIN weights USING (term), stats),
+scored AS (SELECT item_id, text, doc, doc_id, sum(gain)::BIGINT AS score FROM asked JOIN gains USING (term) GROUP BY item_id, text, doc, doc_id)
+SELECT item_id, rank::INTEGER AS rank, doc_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY item_id, text ORDER BY score DESC, doc_id NULLS LAST) AS rank FROM scored WHERE score > 0) WHERE rank <= 50
+"""
+
+
+def _op13_sql(parts: int = 16, entries: int = 64, rounds: int = 2) -> str:
+    """Every part against every entry of its codebook, round by round; vectors whose length the parts divide."""
+    nearest = """near{i} AS MATERIALIZED (
+  SELECT vec, part, any_value(x) AS x, min(struct_pack(d := d, entry := entry)) AS best
+  FROM (SELECT vec, part, x, entry, list_sum(list_transform(list_zip(x, c), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT AS d FROM cut JOIN book{i} USING (part))
+  GROUP BY vec, part)"""
+    better = """book{j} AS MATERIALIZED (
+  SELECT part, entry, coalesce(n, c) AS c FROM book{i} LEFT JOIN (
+    SELECT part, entry, list(m ORDER BY place) AS n FROM (
+      SELECT part, best.entry AS entry, place, floor(sum(x[place])::DECIMAL(38, 0) / count(*))::BIGINT AS m FROM near{i}, range(1, (SELECT any_value(len(x)) FROM cut) + 1) AS r(place)
+      GROUP BY part, best.entry, place)
+    GROUP BY part, entry) USING (part, entry))"""
+    steps = [step for i in range(rounds) for step in (nearest.format(i=i), better.format(i=i, j=i + 1))] + [nearest.format(i=rounds)]
+    return f"""
+WITH kept AS MATERIALIZED (
+  SELECT row_number() OVER () AS vec, vec_id, label, list_transform(embedding, lambda c: floor(256 * c::DOUBLE)::BIGINT) AS x
+  FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0),
+cut AS MATERIALIZED (SELECT vec, vec_id, part, list_slice(x, part * (len(x) // {parts}) + 1, (part + 1) * (len(x) // {parts})) AS x FROM kept, range({parts}) AS p(part)),
+book0 AS MATERIALIZED (
+  SELECT part, row_number() OVER (PARTITION BY part ORDER BY vec_id) - 1 AS entry, x AS c FROM cut
+  WHERE vec IN (SELECT vec FROM kept WHERE vec_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY x) = 1 ORDER BY vec_id LIMIT {entries})),
+{', '.join(steps)},
+coded AS (SELECT vec, string_agg(lpad(lower(hex(best.entry)), 2, '0'), '' ORDER BY part) AS code, sum(best.d)::BIGINT AS error FROM near{rounds} GROUP BY vec),
+books AS (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY part, entry)) AS codebooks_sha256 FROM book{rounds})
+SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error, codebooks_sha256 FROM kept JOIN coded USING (vec), books"""
+
+
 ORACLES: dict[str, str] = {
+    "op11_lexical": OP11_SQL,
+    "op13_codes": _op13_sql(),
     "op8_secrets": _op8_sql(),
     "op10_warc": OP10_SQL,
     "op6_mixing": OP6_SQL,
