@@ -150,6 +150,8 @@ def assigned(x: np.ndarray, grown: list[Tree]) -> tuple[np.ndarray, np.ndarray]:
 def improve(rows: DataFrame, books: np.ndarray) -> np.ndarray:
     """The codebooks (part, entry, component) after one round: each used entry is the floored mean of its parts."""
     parts, entries, step = books.shape
+    if not books.size:
+        return books
     shared = rows.sparkSession.sparkContext.broadcast(trees(books))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -169,8 +171,6 @@ def improve(rows: DataFrame, books: np.ndarray) -> np.ndarray:
                 names=["part", "entry", "component", "n", "total"],
             )
 
-    if not books.size:
-        return books
     added = rows.select("x").mapInArrow(run, "part int, entry int, component int, n long, total long")
     # Sums over all rows may outgrow a long.
     sums = added.groupBy("part", "entry", "component").agg(F.sum(F.col("total").cast("decimal(38,0)")).alias("total"), F.sum("n").alias("n"))
