@@ -13,7 +13,7 @@ vectors apart down to about 3e-5 of their largest component; the scores returned
 
 Edge cases: vectors that are null, empty, zero, hold null or non-finite components, or have not the table's most
 frequent dimension take no part, neither as queries nor as candidates; null ids likewise; equal distances are ordered
-by id; with fewer candidates than ``k`` all found are returned; an empty table gives an empty result; further
+by id; repeated rows, as queries or as candidates, are one; with fewer candidates than ``k`` all found are returned; an empty table gives an empty result; further
 columns are ignored.
 """
 
@@ -217,8 +217,10 @@ def search(index: Index, queries: DataFrame) -> DataFrame:
     """For each row of ``queries`` (query_id, embedding as doubles) the nearest ``index.k`` found, itself left out.
 
     A walk starts at the vertex equal to the query, if there is one, and at the nearest of a fixed few vertices.
+    Repeated rows of ``queries`` are one query; different vectors under one id are queries of their own.
     Returns query_id, rank, vec_id, score.
     """
+    queries = queries.select("query_id", "embedding").distinct()
     return _name(index, queries, *walk(index, queries))
 
 
@@ -273,8 +275,8 @@ def _name(index: Index, queries: DataFrame, spots: DataFrame, seen: DataFrame) -
     tight = F.row_number().over(Window.partitionBy("spot").orderBy("score", F.element_at("ids", 1)))
     pairs = pairs.withColumn("rank", tight).where(F.col("rank") <= index.k + 1).drop("rank")
     asked = queries.join(spots, "embedding").select("query_id", "spot")
-    named = asked.join(pairs, "spot").select("query_id", F.explode("ids").alias("vec_id"), "score").where("vec_id != query_id")
-    order = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
+    named = asked.join(pairs, "spot").select("query_id", "spot", F.explode("ids").alias("vec_id"), "score").where("vec_id != query_id")
+    order = F.row_number().over(Window.partitionBy("query_id", "spot").orderBy("score", "vec_id"))
     return named.withColumn("rank", order).where(F.col("rank") <= index.k).select("query_id", "rank", "vec_id", "score")
 
 

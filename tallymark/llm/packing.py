@@ -18,6 +18,7 @@ result; columns beside the id and the text are ignored.
 from __future__ import annotations
 
 import heapq
+import unicodedata
 import zlib
 from collections.abc import Iterator
 
@@ -89,11 +90,13 @@ class Encoder:
     """Token ids of whole texts as little-endian bytes, with a bounded cache of white-space words.
 
     No token spans white space and the vocabulary's pre-tokenizer looks at no neighbour beyond it, so
-    the ids of a text are those of its words.  Lower-case words of letters skip the normalizers
+    the ids of a text are those of its words.  Lower-case words of letters in composed form skip the normalizers
     (which would not change them) and are encoded many at a time: each ends at a word-end token.
+    The cache is emptied when it holds too many words or too many bytes of them.
     """
 
     LIMIT = 1_200_000
+    BYTES = 256 << 20
     TRAIL = ".,!?;:"
 
     def __init__(self, path: str):
@@ -108,6 +111,7 @@ class Encoder:
         for token, i in vocab.items():
             self.ends[i] = token.endswith("</w>")
         self.words: dict[str, bytes] = {}
+        self.held = 0
 
     def _letters(self, words: list[str]) -> None:
         ids = np.array(self.plain.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, dtype="<u4")
@@ -128,7 +132,7 @@ class Encoder:
         lows = [stem.lower() for stem in stems]
         known, split, whole = self.words, [], []
         for word, stem, low in zip(missing, stems, lows):
-            if stem.isalpha() and (low == stem or stem.isascii()):
+            if stem.isalpha() and (stem.isascii() or (low == stem and unicodedata.is_normalized("NFC", stem))):
                 split.append((word, low, word[len(stem) :]))
             else:
                 whole.append(word)
@@ -143,8 +147,8 @@ class Encoder:
                 known[word] = known[low]
 
     def encode(self, texts: list[str]) -> list[memoryview]:
-        if len(self.words) > self.LIMIT:
-            self.words = {}
+        if len(self.words) > self.LIMIT or self.held > self.BYTES:
+            self.words, self.held = {}, 0
         odd = {i for i, t in enumerate(texts) if not t.isprintable() and any(c in t for c in "\x1c\x1d\x1e\x1f")}
         split = [() if i in odd else t.split() for i, t in enumerate(texts)]
         cuts = np.cumsum([0, *map(len, split)])
@@ -155,7 +159,9 @@ class Encoder:
         distinct = [words[i] for i in np.flatnonzero(new).tolist()]
         found = list(map(self.words.get, distinct))
         if None in found:
-            self._learn([w for w, x in zip(distinct, found) if x is None])
+            missing = [w for w, x in zip(distinct, found) if x is None]
+            self._learn(missing)
+            self.held += sum(4 * len(w) + len(self.words[w]) for w in missing)
             found = list(map(self.words.get, distinct))
         ids = np.frombuffer(b"".join(found), dtype="<u4")
         sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4

@@ -270,7 +270,7 @@ def _set_prints(docs: DataFrame, shingle: int, words: int) -> DataFrame:
 
 
 def _sets_of(docs: DataFrame, members: DataFrame, shingle: int) -> DataFrame:
-    """``members`` (doc_id, text_key, ...) with their shingle sets.  A bitmap of fixed size spares most other texts the join."""
+    """``members`` (doc_id, text_key, ...) with their shingle sets, once for all rows of equal id and text.  A bitmap of fixed size spares most other texts the join."""
     place = F.pmod(F.xxhash64("doc_id", "text_key"), F.lit(PLACES))
     one = F.expr("shiftleft(1L, cast(place % 64 AS int))")
     found = members.select(place.alias("place")).groupBy(F.floor(F.col("place") / 64).alias("word")).agg(F.bit_or(one).alias("bits")).collect()
@@ -285,7 +285,7 @@ def _sets_of(docs: DataFrame, members: DataFrame, shingle: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([own.column("doc_id"), own.column("text_key"), pa.array(sets, pa.binary())], names=["own_id", "own_key", "shingles"])
 
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), "text").select("doc_id", "text_key", place.alias("place"), "text")
-    pulled = keyed.mapInArrow(pull, "own_id long, own_key long, shingles binary")
+    pulled = keyed.mapInArrow(pull, "own_id long, own_key long, shingles binary").dropDuplicates(["own_id", "own_key"])
     return pulled.join(members, F.col("own_id").eqNullSafe(F.col("doc_id")) & (F.col("own_key") == F.col("text_key")))
 
 

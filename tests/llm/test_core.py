@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import unicodedata
 import zlib
 
 import numpy as np
@@ -45,6 +46,24 @@ def test_pack_holds_every_id_once(spark):
         assert at <= 512
 
 
+def test_letters_that_composition_changes():
+    from tokenizers import Tokenizer
+
+    whole, own = Tokenizer.from_file(tokenizer_path()), packing.Encoder(tokenizer_path())
+    letters = [chr(c) for c in range(0x80, 0x30000) if not 0xD800 <= c < 0xE000 and chr(c).isalpha() and not unicodedata.is_normalized("NFC", chr(c))]
+    assert len(letters) > 1000
+    texts = letters + [unicodedata.normalize("NFD", w) for w in ("하늘", "été", "naïve!", "Ünder,")] + ["".join(letters[i : i + 3]) + "." for i in range(0, len(letters), 50)]
+    assert [np.frombuffer(x, "<u4").tolist() for x in own.encode(texts)] == [whole.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_word_cache_is_bounded_in_bytes(monkeypatch):
+    monkeypatch.setattr(packing.Encoder, "BYTES", 50_000)
+    own = packing.Encoder(tokenizer_path())
+    for i in range(40):
+        own.encode([" ".join(f"{i}x{j}" + "y" * 500 for j in range(10))])
+        assert own.held < 150_000 and len(own.words) <= 80
+
+
 def test_pack_many_equal_rows(spark):
     docs = spark.range(50_000).select(F.lit(7).cast("long").alias("doc_id"), F.lit("the same few words again " * 20).alias("text"), F.lit(1).alias("copy"))
     rows = packing.pack(docs.unionByName(docs.limit(0)), tokenizer_path(), group_pieces=500)
@@ -116,6 +135,13 @@ def test_wide_simhash_parts_copies(spark):
     assert kept == {*range(30), None}
 
 
+def test_sets_of_repeated_rows_are_joined_once(spark):
+    texts = ["one two three four five six seven eight", "one two three four five six seven nine", "quite another text with other words in it"]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(1, texts[1])] * 500, "doc_id long, text string")
+    members = docs.distinct().select("doc_id", F.xxhash64("text").alias("text_key"), F.col("doc_id").alias("node"))
+    assert simhash._sets_of(docs, members, 5).count() == 3
+
+
 def test_near_copies_are_decided_by_shingle_sets(spark, monkeypatch):
     rng = np.random.default_rng(6)
     monkeypatch.setattr(simhash, "BLOCK", 2000)

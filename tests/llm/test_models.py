@@ -43,6 +43,18 @@ def test_search_recall(spark):
     assert [r.vec_id for r in sorted((r for r in found if r.query_id == 300), key=lambda r: r.rank)] == [9, *range(301, 310)]
 
 
+def test_search_of_repeated_rows(spark):
+    rng = np.random.default_rng(7)
+    own = rng.normal(size=(121, 8))
+    rows = [(i, x.tolist()) for i, x in enumerate(own)] + [(100, own[100].tolist()), (3, own[3].tolist())]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    asked = ann.valid(vectors).where("vec_id IN (0, 100)").select(F.col("vec_id").alias("query_id"), "embedding")
+    found = ann.search(ann.build(vectors, k=10), asked).collect()
+    for q in (0, 100):
+        near = sorted((float(np.sqrt(((own[q] - x) ** 2).sum())), i) for i, x in enumerate(own) if i != q)[:10]
+        assert [r.vec_id for r in sorted((r for r in found if r.query_id == q), key=lambda r: r["rank"])] == [i for _, i in near]
+
+
 def test_search_few_rows(spark):
     few = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [1.0, 1.0])], "vec_id long, embedding array<double>")
     got = ann.search(ann.build(few), ann.valid(few).where("vec_id = 0").select(F.col("vec_id").alias("query_id"), "embedding")).collect()
