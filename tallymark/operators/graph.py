@@ -5,19 +5,38 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-def descendants(edges: DataFrame, max_depth: int = 10) -> DataFrame:
-    """(parent, child) links -> every (ancestor, node) and its least depth; cycles end at ``max_depth`` or when nothing is new."""
-    base = edges.select(F.col("parent").alias("ancestor"), F.col("child").alias("node"), F.lit(1).alias("depth")).distinct()
-    spark = edges.sparkSession
-    edges.createOrReplaceTempView("closure_edges")
-    base.createOrReplaceTempView("closure_base")
-    return spark.sql(f"""
-        WITH RECURSIVE reach(ancestor, node, depth) AS (
-          SELECT ancestor, node, depth FROM closure_base
-          UNION ALL
-          SELECT r.ancestor, e.child, r.depth + 1 FROM reach r JOIN closure_edges e ON r.node = e.parent WHERE r.depth < {int(max_depth)}
-        ) SELECT ancestor, node, min(depth) AS depth FROM reach GROUP BY ancestor, node""")
+from ..sources.tables import keep
+
+
+def closure(links: DataFrame, starts: DataFrame, most: int | None = None) -> DataFrame:
+    """Every (key, node, depth) that ``starts`` (key, node) reach over ``links`` (parent, child), the starts themselves left out unless a cycle leads back.
+
+    ``depth`` is the least number of links; a node met before is not walked again, so cycles end.  Depths are followed to the end, or up to ``most``.
+    """
+    links = keep(links.select("parent", F.col("child").alias("next")).where("parent IS NOT NULL AND child IS NOT NULL").distinct(), "closure-links")
+    frontier, seen, depth = starts.select("key", "node").distinct(), None, 0
+    while True:
+        depth += 1
+        met = frontier.join(links, F.col("node") == F.col("parent")).select("key", F.col("next").alias("node")).distinct()
+        if seen is not None:
+            met = met.join(seen.select("key", "node"), ["key", "node"], "left_anti")
+        frontier = keep(met.withColumn("depth", F.lit(depth)), "closure-frontier")
+        if seen is not None and frontier.isEmpty():
+            return seen
+        seen = frontier if seen is None else seen.unionByName(frontier)
+        if depth == most:
+            return seen
+
+
+def ancestors(links: DataFrame, starts: DataFrame) -> DataFrame:
+    """The (key, node, depth) that lead to ``starts`` (key, node)."""
+    return closure(links.select(F.col("child").alias("parent"), F.col("parent").alias("child")), starts)
+
+
+def descendants(edges: DataFrame, max_depth: int | None = None) -> DataFrame:
+    """(parent, child) links -> every (ancestor, node) and its least depth, in as many rounds as the longest path has links, or ``max_depth``."""
+    starts = edges.select(F.col("parent").alias("key"), F.col("parent").alias("node"))
+    return closure(edges, starts, max_depth).select(F.col("key").alias("ancestor"), "node", "depth")
 
 
 def degree(edges: DataFrame) -> DataFrame:
