@@ -10,43 +10,42 @@ from pyspark.sql import functions as F
 from ..model import Spec
 
 BITS = 30
-# The first ten direction numbers of the second to the 21st dimension; the first dimension has ones only.
-DIRECTIONS = (
-    (1, 1, 1, 1, 1, 1, 1, 1, 1, 1),
-    (1, 1, 1, 3, 1, 3, 1, 3, 3, 1),
-    (1, 3, 1, 3, 3, 1, 3, 3, 1, 3),
-    (1, 3, 5, 13, 7, 11, 1, 3, 7, 5),
-    (1, 1, 5, 5, 15, 1, 9, 7, 5, 11),
-    (1, 3, 1, 7, 9, 13, 11, 1, 15, 7),
-    (1, 1, 3, 7, 13, 3, 15, 1, 9, 5),
-    (1, 3, 3, 9, 3, 5, 1, 15, 13, 9),
-    (1, 3, 7, 7, 1, 15, 9, 13, 7, 3),
-    (1, 1, 5, 11, 1, 3, 7, 9, 3, 15),
-    (1, 3, 5, 5, 3, 15, 7, 1, 13, 9),
-    (1, 1, 1, 15, 15, 3, 9, 7, 5, 11),
-    (1, 3, 7, 3, 13, 1, 5, 9, 15, 7),
-    (1, 1, 3, 9, 7, 5, 13, 1, 15, 3),
-    (1, 3, 1, 13, 5, 11, 7, 15, 9, 1),
-    (1, 1, 7, 11, 3, 13, 15, 5, 1, 9),
-    (1, 3, 5, 9, 15, 7, 1, 11, 3, 13),
-    (1, 1, 1, 3, 11, 9, 13, 15, 7, 5),
-    (1, 3, 3, 5, 1, 7, 11, 9, 13, 15),
-    (1, 1, 5, 7, 9, 11, 3, 13, 15, 1),
+# Of the second to the 21st dimension the degree and inner coefficients of a primitive polynomial over two elements, as
+# bits, and the first direction numbers (Joe and Kuo 2008).  The first dimension has ones only.
+POLYNOMIALS = (
+    (1, 0, (1,)),
+    (2, 1, (1, 3)),
+    (3, 1, (1, 3, 1)),
+    (3, 2, (1, 1, 1)),
+    (4, 1, (1, 1, 3, 3)),
+    (4, 4, (1, 3, 5, 13)),
+    (5, 2, (1, 1, 5, 5, 17)),
+    (5, 4, (1, 1, 5, 5, 5)),
+    (5, 7, (1, 1, 7, 11, 19)),
+    (5, 11, (1, 1, 5, 1, 1)),
+    (5, 13, (1, 1, 1, 3, 11)),
+    (5, 14, (1, 3, 5, 5, 31)),
+    (6, 1, (1, 3, 3, 9, 7, 49)),
+    (6, 13, (1, 1, 1, 15, 21, 21)),
+    (6, 16, (1, 3, 1, 13, 27, 49)),
+    (6, 19, (1, 1, 1, 15, 7, 5)),
+    (6, 22, (1, 3, 1, 15, 13, 25)),
+    (6, 25, (1, 1, 5, 5, 19, 61)),
+    (7, 1, (1, 3, 7, 11, 23, 15, 103)),
+    (7, 4, (1, 3, 7, 13, 13, 15, 69)),
 )
-DIMENSIONS = len(DIRECTIONS) + 1
+DIMENSIONS = len(POLYNOMIALS) + 1
 
 
 def masks(dimension: int) -> list[int]:
     """What each binary digit of a point's Gray code, from the lowest, turns over in its coordinate of BITS bits."""
     if dimension == 0:
         return [1 << (BITS - 1 - k) for k in range(BITS)]
-    first = DIRECTIONS[dimension - 1]
-    s = len(first)
+    degree, inner, first = POLYNOMIALS[dimension - 1]
     found = [m << (BITS - 1 - k) for k, m in enumerate(first)]
-    for k in range(s, BITS):
-        # The digits of the direction numbers themselves serve as the recurrence's coefficients.
-        terms = [found[k - back] for back in range(1, s) if first[back - 1] >> (s - 1 - back) & 1]
-        found.append(reduce(int.__xor__, terms, found[k - s] ^ (found[k - s] >> s)))
+    for k in range(degree, BITS):
+        terms = [found[k - back] for back in range(1, degree) if inner >> (degree - 1 - back) & 1]
+        found.append(reduce(int.__xor__, terms, found[k - degree] ^ (found[k - degree] >> degree)))
     return found
 
 
