@@ -151,7 +151,7 @@ def sensitivity(obs: DataFrame, specs: tuple[Spec, ...], near: int = 5, maximize
     rows = ok.join(top, "campaign_id").where("iteration != t.iteration").withColumn("o", F.struct("kpi", *(s.name for s in specs)))
     rows = rows.withColumn("rank", F.row_number().over(Window.partitionBy("campaign_id").orderBy(distance("o", "t", specs), "iteration"))).where(F.col("rank") <= near)
     slopes = rows.select("campaign_id", "span", F.inline(F.array(*(F.struct(F.lit(s.name).alias("name"), F.lit(s.upper - s.lower).alias("wide"), (F.col(f"o.{s.name}") - F.col(f"t.{s.name}")).alias("dx"), (F.col("o.kpi") - F.col("t.kpi")).alias("dy")) for s in specs))))
-    steep = slopes.where("abs(dx) >= 1e-15").groupBy("campaign_id", "name").agg((F.avg(F.abs(F.col("dy") / F.col("dx"))) * F.first("wide") / F.first("span")).alias("gradient"))
+    steep = slopes.where("abs(dx) >= 1e-15").groupBy("campaign_id", "name").agg(F.try_divide(F.avg(F.abs(F.col("dy") / F.col("dx"))) * F.first("wide"), F.first("span")).alias("gradient"))
     linear = long_form(ok.select("campaign_id", "kpi", *(s.name for s in specs)), [s.name for s in specs]).groupBy("campaign_id", "name").agg(safe_corr(F.col("x"), F.col("kpi")).alias("r"))
     both = linear.join(steep, ["campaign_id", "name"], "left")
     local = F.coalesce("gradient", F.lit(0.0))
