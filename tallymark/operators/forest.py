@@ -66,8 +66,11 @@ def grow(obs: DataFrame, specs: tuple[Spec, ...], trees: int = TREES, depth: int
     for level in range(depth):
         drawn = rows.select("campaign_id", "y", "steps", F.posexplode(F.arrays_zip("times", "nodes")).alias("tree", "at")).select("campaign_id", "y", "steps", "tree", "at.*")
         drawn = drawn.where("times > 0").withColumnRenamed("nodes", "node").where(F.col("node") >= 2**level - 1)
-        each = F.filter(F.array(*(F.when(tried(F.col("tree"), F.col("node"), f, n, seed), F.struct(F.lit(f).alias("feature"), F.col("steps")[f].alias("step"))) for f in range(n))), lambda x: x.isNotNull())
-        cells = drawn.select(*key, "y", "times", F.inline(each)).groupBy(*key, "feature", "step").agg(F.sum("times").alias("n"), F.sum((F.col("y") * F.col("times")).cast("decimal(38,4)")).alias("s"))
+        # What a node tries depends on the tree and the node alone: one row for each, at most the trees times the level's nodes.
+        choices = drawn.sparkSession.range(trees * 2**level).select((F.col("id") % trees).cast("int").alias("tree"), (F.floor(F.col("id") / trees) + 2**level - 1).cast("int").alias("node"))
+        choices = choices.withColumn("features", F.filter(F.array(*(F.when(tried(F.col("tree"), F.col("node"), f, n, seed), F.lit(f)) for f in range(n))), lambda f: f.isNotNull()))
+        each = F.transform("features", lambda f: F.struct(f.alias("feature"), F.get("steps", f).alias("step")))
+        cells = drawn.join(F.broadcast(choices), ["tree", "node"]).select(*key, "y", "times", F.inline(each)).groupBy(*key, "feature", "step").agg(F.sum("times").alias("n"), F.sum((F.col("y") * F.col("times")).cast("decimal(38,4)")).alias("s"))
         line = Window.partitionBy(*key, "feature")
         upto = line.orderBy("step").rowsBetween(Window.unboundedPreceding, 0)
         sides = cells.select(*key, "feature", "step", F.sum("n").over(upto).alias("nl"), F.sum("s").over(upto).alias("sl"), F.sum("n").over(line).alias("nn"), F.sum("s").over(line).alias("ss"))

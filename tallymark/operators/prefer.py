@@ -202,3 +202,32 @@ def levels(edges: DataFrame, parent: str, child: str) -> DataFrame:
         ends = gone.join(left.select("c"), "c", "left_anti").join(edges.select(F.col(parent).alias("c")).distinct(), "c", "left_anti")
         found = found.union(ready.select("p", F.lit(level))).union(keep(ends, "levels").select("c", F.lit(level + 1)))
         level += 1
+
+
+def strengths(votes: DataFrame, rounds: int = 100, epsilon: float = 1e-6, prior: float = 1.0) -> DataFrame:
+    """item, score, wins, n_votes: Bradley-Terry strengths from ``votes`` (winner, loser, confidence), the greatest being 1.
+
+    Minorise-maximise rounds: an item's new strength is its won confidence over the sum of the confidence shared with each opponent by the
+    sum of both strengths.  Every round is two joins on items over the pairs that met, which are added up once before, and ends when no strength moves
+    by ``epsilon``; rounds are written in the shared folder.  An item that never won has strength 0.  Votes of an item on itself, with a null
+    side, or without a confidence above 0 do not count; without votes there are no rows.
+    """
+    sound = votes.where("winner IS NOT NULL AND loser IS NOT NULL AND winner != loser AND confidence > 0").groupBy("winner", "loser").agg(F.sum("confidence").alias("w"), F.count("*").alias("n"))
+    sound = keep(sound, "votes")
+    both = sound.select(F.col("winner").alias("item"), F.col("loser").alias("other"), "w").unionByName(sound.select(F.col("loser").alias("item"), F.col("winner").alias("other"), "w"))
+    pairs = keep(both.groupBy("item", "other").agg(F.sum("w").alias("w")), "vote-pairs")
+    won = sound.select(F.col("winner").alias("item"), F.col("w").alias("win"), "n").unionByName(sound.select(F.col("loser").alias("item"), F.lit(0).cast(sound.schema["w"].dataType).alias("win"), "n"))
+    scores = keep(won.groupBy("item").agg(F.sum("win").cast("double").alias("wins"), F.sum("n").alias("n_votes")).withColumn("score", F.lit(float(prior))), "strengths")
+    for _ in range(rounds):
+        met = pairs.join(scores.select("item", "score"), "item").join(scores.select(F.col("item").alias("other"), F.col("score").alias("its")), "other")
+        shared = met.groupBy("item").agg(F.sum(F.try_divide(F.col("w").cast("double"), F.col("score") + F.col("its"))).alias("shared"))
+        raw = scores.join(shared, "item").select("item", "wins", "n_votes", F.col("score").alias("before"), F.coalesce(F.try_divide("wins", "shared"), F.col("score")).alias("score"))
+        raw = keep(raw, "strengths")
+        most = raw.agg(F.max("score")).first()[0]
+        if not most:
+            break
+        scores = raw.withColumn("score", F.col("score") / most)
+        moved = scores.agg(F.max(F.abs(F.col("score") - F.col("before")))).first()[0]
+        if moved < epsilon:
+            break
+    return scores.select("item", "score", "wins", "n_votes")

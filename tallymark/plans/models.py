@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..model import LINE_SPECS, LINE_SQL, line_observations, read
-from ..operators import explain, forest, sequence
+from ..operators import explain, forest, prefer, sequence
 from .catalogue import PARAMS, _r, query
 
 
@@ -101,3 +101,25 @@ def embedding_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every embedding's coordinates on the two directions of most variance."""
     found = explain.project(read(spark, sf_dir, "embeddings"), "embedding", 2)
     return found.select("vec_id", "label", F.get("places", F.lit(0)).alias("x"), F.get("places", F.lit(1)).alias("y"))
+
+
+def _strength_sql(rounds: int = 12) -> str:
+    t = ["l AS (SELECT l_orderkey, s_nationkey AS nation, l_extendedprice / l_quantity AS price FROM lineitem JOIN supplier ON s_suppkey = l_suppkey)",
+         "v AS MATERIALIZED (SELECT a.nation AS winner, b.nation AS loser, count(*)::DOUBLE AS w, count(*) AS n FROM l a JOIN l b ON a.l_orderkey = b.l_orderkey AND a.nation <> b.nation AND a.price < b.price GROUP BY 1, 2)",
+         "p AS MATERIALIZED (SELECT item, other, sum(w) AS w FROM (SELECT winner AS item, loser AS other, w FROM v UNION ALL SELECT loser, winner, w FROM v) GROUP BY 1, 2)",
+         "s0 AS (SELECT item, sum(win) AS wins, sum(n) AS n_votes, 1.0::DOUBLE AS score FROM (SELECT winner AS item, w AS win, n FROM v UNION ALL SELECT loser, 0, n FROM v) GROUP BY 1)"]
+    for k in range(rounds):
+        t.append(f"r{k} AS (SELECT a.item, a.wins, a.n_votes, a.wins / sum(p.w / (a.score + b.score)) AS score FROM s{k} a JOIN p USING (item) JOIN s{k} b ON b.item = p.other GROUP BY 1, 2, 3)")
+        t.append(f"s{k + 1} AS MATERIALIZED (SELECT item, wins, n_votes, score / max(score) OVER () AS score FROM r{k})")
+    return "+ " + ",\n".join(t) + f"\nSELECT item, {_r('score', 7)} AS score, wins, n_votes::BIGINT AS n_votes FROM s{rounds}"
+
+
+@query(_strength_sql(), "z AS (SELECT 1)")
+def preference_strengths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which suppliers' nations win when lines of one order are compared by unit price, the lower being preferred."""
+    lines = read(spark, sf_dir, "lineitem").join(read(spark, sf_dir, "supplier"), F.col("s_suppkey") == F.col("l_suppkey"))
+    lines = lines.select("l_orderkey", F.col("s_nationkey").alias("nation"), (F.col("l_extendedprice") / F.col("l_quantity")).alias("price"))
+    other = lines.select("l_orderkey", F.col("nation").alias("loser"), F.col("price").alias("dearer"))
+    votes = lines.join(other, "l_orderkey").where("nation != loser AND price < dearer").select(F.col("nation").alias("winner"), "loser", F.lit(1.0).alias("confidence"))
+    found = prefer.strengths(votes, rounds=12, epsilon=0.0)
+    return found.select("item", (F.round("score", 7) + 0.0).alias("score"), "wins", "n_votes")

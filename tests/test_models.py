@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallymark.model import Spec
-from tallymark.operators import explain, forest, sequence
+from tallymark.operators import explain, forest, prefer, sequence
 
 SPECS = (Spec("p_x", 0.0, 10.0), Spec("p_y", -1.0, 1.0))
 TRIALS = "campaign_id long, iteration long, p_x double, p_y double, kpi double, is_failure boolean"
@@ -176,3 +176,23 @@ def test_forest_suggests_where_it_is_good(spark):
     got = forest.suggest(spark.createDataFrame(rows, TRIALS), SPECS, n=2).collect()
     assert [r.campaign_id for r in got] == [1, 1] and all(abs(r.p_x - 3) < 2.5 for r in got)
     assert forest.suggest(spark.createDataFrame([], TRIALS), SPECS).count() == 0
+
+
+def test_strengths_of_votes(spark):
+    rng = random.Random(4)
+    true = {"a": 8.0, "b": 4.0, "c": 2.0, "d": 1.0}
+    votes = []
+    for _ in range(3000):
+        x, y = rng.sample("abcd", 2)
+        votes.append((x, y, 1.0) if rng.random() < true[x] / (true[x] + true[y]) else (y, x, 1.0))
+    odd = [("a", "a", 1.0), (None, "b", 1.0), ("b", None, 1.0), ("b", "c", 0.0), ("c", "b", None), ("a", "e", 2.0), ("b", "e", 2.0)]
+    got = {r.item: r for r in prefer.strengths(spark.createDataFrame(votes + odd, "winner string, loser string, confidence double"), rounds=30).collect()}
+    wins = {i: sum(c for w, l, c in votes + odd[5:] if w == i) for i in "abcde"}
+    score = dict.fromkeys("abcde", 1.0)
+    for _ in range(30):
+        new = {i: wins[i] / sum(c / (score[w] + score[l]) for w, l, c in votes + odd[5:] if i in (w, l)) for i in "abcde"}
+        score = {i: s / max(new.values()) for i, s in new.items()}
+    assert set(got) == set("abcde") and got["e"].score == 0.0 and got["e"].n_votes == 2
+    assert all(got[i].score == pytest.approx(score[i], abs=1e-5) and got[i].wins == wins[i] for i in "abcde")
+    assert [got[i].score * 8 for i in "abcd"] == pytest.approx([8, 4, 2, 1], rel=0.25)
+    assert prefer.strengths(spark.createDataFrame([], "winner string, loser string, confidence double")).count() == 0
