@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..model import Spec
+from .prefer import unit
 
 
 # Trials of one campaign summed in one task.
@@ -51,8 +52,8 @@ def latin_hypercube(obs: DataFrame, specs: tuple[Spec, ...], n: int, seed: int =
 def random_points(obs: DataFrame, specs: tuple[Spec, ...], n: int, seed: int = 42) -> DataFrame:
     """``n`` uniform points for every campaign, drawn by hashing, so without leaving the JVM."""
     rows = obs.select("campaign_id").distinct().withColumn("place", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).withColumn("place", F.col("place").cast("long"))
-    unit = lambda i: (F.pmod(F.xxhash64("campaign_id", "place", F.lit(seed), F.lit(i)), F.lit(1 << 40)) + 0.5) / float(1 << 40)
-    return rows.select("campaign_id", "place", *((F.lit(s.lower) + unit(i) * (s.upper - s.lower)).alias(s.name) for i, s in enumerate(specs)))
+    drawn = lambda i: unit(F.lit(seed), F.col("campaign_id"), F.col("place"), F.lit(i))
+    return rows.select("campaign_id", "place", *((F.lit(s.lower) + drawn(i) * (s.upper - s.lower)).alias(s.name) for i, s in enumerate(specs)))
 
 
 def halton(obs: DataFrame, specs: tuple[Spec, ...], n: int, skip: int = 42) -> DataFrame:

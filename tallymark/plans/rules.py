@@ -186,12 +186,14 @@ def front_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return design.generational_distance(parts.where("p_partkey % 2 = 0"), pareto.front_2d(parts, "price", "neg_size", ["p_brand"]), ["price", "neg_size"], "p_brand")
 
 
-@query()
+@query(f"""+ c AS (SELECT DISTINCT campaign_id, place::BIGINT AS place FROM obs, range(16) AS r(place))
+SELECT campaign_id, place, {', '.join(f"{s.lower}::DOUBLE + ((('0x' || substr(md5(concat_ws(':', 42, campaign_id, place, {i})), 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496.0::DOUBLE) * {s.upper - s.lower!r}::DOUBLE AS {s.name}" for i, s in enumerate(LINE_SPECS))} FROM c""", LINE_SQL)
 def random_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kernels.random_points(line_observations(spark, sf_dir), LINE_SPECS, 16)
 
 
-@query()
+@query(f"""+ c AS (SELECT DISTINCT campaign_id, place::BIGINT AS place FROM obs, range(16) AS r(place))
+SELECT campaign_id, place, {', '.join(f"{s.lower}::DOUBLE + list_reduce([(floor((place + 43) / {b}::DOUBLE ** (k - 1)) % {b}) / {b}::DOUBLE ** k FOR k IN range(1, 16)], lambda x, y: x + y, 0.0::DOUBLE) * {s.upper - s.lower!r}::DOUBLE AS {s.name}" for b, s in zip((2, 3, 5), LINE_SPECS))} FROM c""", LINE_SQL)
 def halton_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kernels.halton(line_observations(spark, sf_dir), LINE_SPECS, 16)
 

@@ -1,7 +1,7 @@
 """Streams of trial events: windowed health, retries with state, and the suggest-measure-learn loop.
 
-Sources are folders of Parquet event files (event_id, ts, user_id, event_type, value); every stream states its watermark,
-so state stays bounded by the lateness allowed.
+Sources are folders of Parquet event files (event_id, ts, user_id, event_type, value); every stream states its watermark or a
+time to live, so state stays bounded by the lateness allowed or by the campaigns of that time.
 """
 
 from __future__ import annotations
@@ -33,21 +33,32 @@ def once_only(events: DataFrame, late: str = "10 minutes") -> DataFrame:
     return events.withWatermark("ts", late).dropDuplicatesWithinWatermark(["event_id"])
 
 
-def retries(events: DataFrame, most: int = 3) -> DataFrame:
-    """Per campaign, the consecutive failures so far and whether the campaign is abandoned after ``most`` of them."""
+def retries(events: DataFrame, most: int = 3, late: str = "400 days", forget: str = "7 days") -> DataFrame:
+    """Per campaign, the consecutive failures so far and whether the campaign is abandoned after ``most`` of them.
+
+    A campaign without events is forgotten once the watermark, ``late`` behind the newest event, is ``forget`` beyond its last one, so
+    the state holds the campaigns of that time only; if it comes back, it starts anew.  Of a campaign's events in one batch the
+    times, ids and kinds alone are brought together.
+    """
+    ttl = int(pd.Timedelta(forget).total_seconds() * 1000)
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         failed, abandoned = state.get if state.exists else (0, False)
         seen = 0
-        rows = pd.concat(list(batches)).sort_values(["ts", "event_id"])
+        rows = pd.concat(list(batches)).sort_values(["at", "event_id"])
         for kind in rows["event_type"]:
             failed = failed + 1 if kind == "error" else 0
             abandoned = abandoned or failed >= most
             seen += 1
         state.update((failed, abandoned))
+        state.setTimeoutTimestamp(int(rows["at"].max()) + ttl)
         yield pd.DataFrame({"user_id": [key[0]], "n_new": [seen], "failures_in_a_row": [failed], "abandoned": [abandoned]})
 
-    return events.groupBy("user_id").applyInPandasWithState(step, "user_id long, n_new long, failures_in_a_row long, abandoned boolean", "failed long, abandoned boolean", "update", GroupStateTimeout.NoTimeout)
+    narrow = events.where("ts IS NOT NULL").withWatermark("ts", late).select("user_id", "ts", F.unix_millis("ts").alias("at"), "event_id", "event_type")
+    return narrow.groupBy("user_id").applyInPandasWithState(step, "user_id long, n_new long, failures_in_a_row long, abandoned boolean", "failed long, abandoned boolean", "update", GroupStateTimeout.EventTimeTimeout)
 
 
 def closed_loop(events: DataFrame, suggest: Callable[[DataFrame], DataFrame], observations: str, suggestions: str, checkpoint: str) -> StreamingQuery:
