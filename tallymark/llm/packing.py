@@ -131,8 +131,10 @@ class Encoder:
         stems = [word.rstrip(self.TRAIL) for word in missing]
         lows = [stem.lower() for stem in stems]
         known, split, whole = self.words, [], []
+        # Composition joins nothing across a space, so mostly one look at all words together is enough.
+        composed = unicodedata.is_normalized("NFC", " ".join(stems))
         for word, stem, low in zip(missing, stems, lows):
-            if stem.isalpha() and (stem.isascii() or (low == stem and unicodedata.is_normalized("NFC", stem))):
+            if stem.isalpha() and (low == stem or stem.isascii()) and (composed or unicodedata.is_normalized("NFC", stem)):
                 split.append((word, low, word[len(stem) :]))
             else:
                 whole.append(word)
@@ -161,7 +163,7 @@ class Encoder:
         if None in found:
             missing = [w for w, x in zip(distinct, found) if x is None]
             self._learn(missing)
-            self.held += sum(4 * len(w) + len(self.words[w]) for w in missing)
+            self.held += 8 * sum(map(len, missing))
             found = list(map(self.words.get, distinct))
         ids = np.frombuffer(b"".join(found), dtype="<u4")
         sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
