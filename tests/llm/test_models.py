@@ -113,6 +113,63 @@ def test_generated_pages_give_their_article():
         assert html.extract(page) == " ".join(" ".join(parts).split())
 
 
+PROSE = "some running words of an article that goes on for a while " * 2
+ARTICLE = f"<h1>A title</h1><p>{PROSE}</p><p>{PROSE}</p>"
+ARTICLE_TEXT = " ".join(f"A title {PROSE} {PROSE}".split())
+CELLS = "<table><tr><th>Year<th>Sum<tr><td>1990<td>12<tr><td>1991<td>14</table>"
+
+
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        (f"<form id=f><div class=content>{ARTICLE}</div><label>Name</label><button>Go</button></form>", ARTICLE_TEXT),
+        (f"<div class='search-engine-history'>{ARTICLE}</div>", ARTICLE_TEXT),
+        (f"<div id='comment-on-budget'>{ARTICLE}</div><footer>{PROSE}</footer>", ARTICLE_TEXT),
+        (f"<div class='no-sidebar'><p>{PROSE}</p></div>", PROSE.strip()),
+        (f"<div class='page sidebar-right'>{ARTICLE}</div><div class=comments><article class=comment><p>{PROSE * 9}</p></article></div>", ARTICLE_TEXT),
+        (f"<form><div class=widget>{ARTICLE}</div></form><nav>{PROSE}</nav>", ARTICLE_TEXT),
+        (f"<article>{ARTICLE}{CELLS}<p>{PROSE}</p></article>", f"{ARTICLE_TEXT} Year Sum 1990 12 1991 14 {PROSE.strip()}"),
+        (f"<div>{ARTICLE}<table>{'<tr><td>1990<td>twelve<td>none' * 8}</table></div>", f"{ARTICLE_TEXT} {'1990 twelve none ' * 8}".strip()),
+        (f"<div>{ARTICLE}</div><div class=siteFooter><p>{PROSE}</p></div>", ARTICLE_TEXT),
+        (f"<div>{ARTICLE}</div><div role=complementary><p>{PROSE}</p></div>", ARTICLE_TEXT),
+        (f"<div>{ARTICLE}</div><div class='related-posts'><p>{PROSE}</p></div>", ARTICLE_TEXT),
+        (f"<div>{ARTICLE}</div><form><p>{PROSE}</p></form>", ARTICLE_TEXT),
+        ("<article><h1>Short</h1></article><div class=comments><h3>Comments</h3><p>" + PROSE * 5 + "</p></div>", "Short"),
+        ("<div class=cookie-banner><p>" + PROSE * 5 + "</p></div>", ""),
+    ],
+)
+def test_text_outweighs_names(page, text):
+    assert html.extract(page) == text
+
+
+def test_margins_are_fitted_on_marked_pages(spark):
+    """Learned from articles and footers with marks, told apart on pages without any mark and without a listed word."""
+    rng = np.random.default_rng(3)
+    words = lambda n: " ".join(rng.choice(["stone", "river", "light", "wood", "snow"], n)).capitalize() + "."
+
+    def page(marked: bool) -> tuple[str, str]:
+        tags = ("nav", "article", "footer") if marked else ("div", "div", "div")
+        parts = [words(int(rng.integers(4, 40))) for _ in range(int(rng.integers(2, 6)))]
+        links = "".join(f"<li><a href=/>{words(1)}</a></li>" for _ in range(5))
+        inner = "".join(f"<p>{x}</p>" for x in parts)
+        return f"<{tags[0]}><ul>{links}</ul></{tags[0]}><{tags[1]}>{inner}</{tags[1]}><{tags[2]} class=q7>{words(12)}</{tags[2]}>", " ".join(parts)
+
+    rows = [(i, "u", page(True)[0]) for i in range(400)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    model = html.fit(pages.repartition(5))
+    want = {}
+    for *_, text in rows:
+        found = html.blocks(text)
+        for b, measured in zip(found, html._measures(found)):
+            want.setdefault(html._bin(*measured), [0, 0])[b.cost < 4] += 1
+    content, other = (sum(x) for x in zip(*want.values()))
+    scarcer = min(content, other)
+    assert {k: pytest.approx(v) for k, v in model.items()} == {k: (a * scarcer / content, b * scarcer / other) for k, (a, b) in want.items()}
+    bare = [page(False) for _ in range(100)]
+    assert sum(html.extract(x, model) == text for x, text in bare) >= 95 > sum(html.extract(x) == text for x, text in bare)
+    assert html.fit(pages.where("page_id < 0")) == html.fit(pages.selectExpr("page_id", "url", "cast(null as string) html")) == {}
+
+
 def test_cut_is_least():
     rng = np.random.default_rng(0)
     for _ in range(60):
