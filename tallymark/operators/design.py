@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from itertools import product
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import tidy
@@ -22,3 +24,68 @@ def generational_distance(obtained: DataFrame, reference: DataFrame, objectives:
     gap = sum(((F.col(f"{o}_ref") - F.col(o)) ** 2 for o in objectives), F.lit(0.0))
     near = left.join(obtained.select(group, *objectives), group).groupBy(group, "point").agg(F.min(gap).alias("gap"))
     return near.groupBy(group).agg(F.count("*").alias("n_points"), tidy(F.avg(F.sqrt("gap")), 5).alias("distance"))
+
+
+def _unit(spec: Spec) -> Column:
+    """A parameter on the unit interval; a half where its bounds are one."""
+    return (F.col(spec.name).cast("double") - spec.lower) / (spec.upper - spec.lower) if spec.upper != spec.lower else F.when(F.col(spec.name).isNotNull(), F.lit(0.5))
+
+
+def _places(obs: DataFrame, specs: tuple[Spec, ...]) -> DataFrame:
+    """campaign_id and unit coordinates u0, u1, ...; trials with a null or non-finite coordinate are left out."""
+    unit = obs.select("campaign_id", *(_unit(s).alias(f"u{i}") for i, s in enumerate(specs)))
+    return unit.where(" AND ".join(f"abs(u{i}) < double('infinity')" for i in range(len(specs))))
+
+
+def star_discrepancy(obs: DataFrame, specs: tuple[Spec, ...]) -> DataFrame:
+    """How far a campaign's share of trials in a box from the origin is from the box's volume, at most: n_trials, discrepancy.
+
+    Boxes end at coordinates of trials or at 1, which makes the maximum over closed boxes exact.  Trials are counted by box
+    through one running sum along each axis of the grid of a campaign's distinct coordinates, not by comparing trials with boxes.  The grid has as many
+    cells as the product of the numbers of distinct coordinates: the measure is for parameters of few steps or few dimensions.
+    A campaign without a whole trial has no row.
+    """
+    axes = [f"u{i}" for i in range(len(specs))]
+    places = _places(obs, specs)
+    ends = places.groupBy("campaign_id").agg(F.count("*").alias("n_trials"), *(F.collect_set(a).alias(a) for a in axes))
+    for a in axes:
+        ends = ends.withColumn(a, F.explode(F.when(F.array_max(a) < 1.0, F.array_union(a, F.array(F.lit(1.0)))).otherwise(F.col(a))))
+    grid = ends.join(places.groupBy("campaign_id", *axes).agg(F.count("*").alias("n")), ["campaign_id", *axes], "left").fillna(0, ["n"])
+    for a in axes:
+        grid = grid.withColumn("n", F.sum("n").over(Window.partitionBy("campaign_id", *(x for x in axes if x != a)).orderBy(a)))
+    volume = F.lit(1.0)
+    for a in axes:
+        volume = volume * F.col(a)
+    return grid.groupBy("campaign_id").agg(F.first("n_trials").alias("n_trials"), F.greatest(F.lit(0.0), F.max(F.abs(F.col("n") / F.col("n_trials") - volume))).alias("discrepancy"))
+
+
+def least_distance(obs: DataFrame, specs: tuple[Spec, ...]) -> DataFrame:
+    """The distance of a campaign's two closest trials in the unit cube: n_trials, distance; 0 for repeated trials, null for a single one.
+
+    More trials than cells put two into one cell, and the closest neighbours in such cells bound the distance sought.  Then trials
+    meet only those in the same or a neighbouring cell of that bound's width.  Trials outside their bounds count where they are.
+    A campaign without a whole trial has no row.
+    """
+    d = len(specs)
+    axes = [f"u{i}" for i in range(d)]
+    places = _places(obs, specs).groupBy("campaign_id", *axes).agg(F.count("*").alias("copies"))
+    sizes = places.groupBy("campaign_id").agg(F.sum("copies").alias("n_trials"), F.count("*").alias("n_places"))
+    places = places.select("campaign_id", *axes).join(sizes.where("n_places = n_trials AND n_places > 1").select("campaign_id", "n_places"), "campaign_id")
+    side = F.floor(F.pow(F.col("n_places") - 1.0, F.lit(1.0 / d)) + 1e-9)
+    cell = F.array(*(F.greatest(F.lit(0), F.least(side - 1, F.floor(F.col(a) * side))) for a in axes))
+    before = Window.partitionBy("campaign_id", "cell").orderBy(*axes)
+    step = sum(((F.col(a) - F.lag(a).over(before)) ** 2 for a in axes), F.lit(0.0))
+    bound = places.withColumn("cell", cell).withColumn("gap", F.sqrt(step)).groupBy("campaign_id").agg(F.min("gap").alias("bound"))
+    # A little wider than the bound, so that rounding moves no pair out of neighbouring cells.
+    width = F.col("bound") * (1 + 1e-9)
+    near = places.join(bound, "campaign_id").select("campaign_id", *axes, *(F.floor(F.col(a) / width).alias(f"c{i}") for i, a in enumerate(axes)))
+    # Of each two neighbouring cells one looks at the other; within a cell the lesser trial looks at the greater.
+    ahead = [m for m in product((-1, 0, 1), repeat=d) if m >= (0,) * d]
+    steps = F.explode(F.array(*(F.struct(*(F.lit(x).alias(f"m{i}") for i, x in enumerate(m))) for m in ahead)))
+    looking = near.withColumn("m", steps).select("campaign_id", *(F.col(a).alias(f"v{i}") for i, a in enumerate(axes)), "m", *((F.col(f"c{i}") + F.col(f"m.m{i}")).alias(f"c{i}") for i in range(d)))
+    mine, other = F.struct(*(f"v{i}" for i in range(d))), F.struct(*(F.col(a).alias(f"v{i}") for i, a in enumerate(axes)))
+    still = F.greatest(*(F.abs(f"m.m{i}") for i in range(d)), F.lit(0)) == 0
+    pairs = looking.join(near, ["campaign_id", *(f"c{i}" for i in range(d))]).where(~still | (mine < other))
+    found = pairs.groupBy("campaign_id").agg(F.min(F.sqrt(sum(((F.col(f"v{i}") - F.col(a)) ** 2 for i, a in enumerate(axes)), F.lit(0.0)))).alias("distance"))
+    distance = F.when(F.col("n_places") < F.col("n_trials"), F.lit(0.0)).otherwise(F.col("distance"))
+    return sizes.join(found, "campaign_id", "left").select("campaign_id", "n_trials", distance.alias("distance"))

@@ -7,8 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..model import LINE_SPECS, LINE_SQL, line_observations, read
-from ..operators import explain, forest, prefer, sequence
+from ..model import LINE_SPECS, LINE_SQL, Spec, line_observations, read
+from ..operators import design, equations, explain, forest, prefer, sequence
 from .catalogue import PARAMS, _r, query
 
 
@@ -123,3 +123,59 @@ def preference_strengths(spark: SparkSession, sf_dir: str) -> DataFrame:
     votes = lines.join(other, "l_orderkey").where("nation != loser AND price < dearer").select(F.col("nation").alias("winner"), "loser", F.lit(1.0).alias("confidence"))
     found = prefer.strengths(votes, rounds=12, epsilon=0.0)
     return found.select("item", (F.round("score", 7) + 0.0).alias("score"), "wins", "n_votes")
+
+
+def _unit_place_sql(*specs: Spec) -> str:
+    return ", ".join(f"({s.name} - {s.lower}::DOUBLE) / {s.upper - s.lower!r}::DOUBLE AS u{i}" for i, s in enumerate(specs))
+
+
+@query(f"""+ p AS MATERIALIZED (SELECT campaign_id, {_unit_place_sql(*LINE_SPECS)} FROM obs), n AS (SELECT campaign_id, count(*) AS n FROM p GROUP BY 1),
+{', '.join(f"a{i} AS (SELECT DISTINCT campaign_id, u{i} FROM p UNION SELECT campaign_id, 1.0 FROM p GROUP BY 1 HAVING max(u{i}) < 1)" for i in range(3))},
+c AS MATERIALIZED (SELECT campaign_id, u0, u1, u2 FROM a0 JOIN a1 USING (campaign_id) JOIN a2 USING (campaign_id)),
+k AS (SELECT campaign_id, u0, u1, u2, count(*) AS k FROM p GROUP BY ALL),
+b AS (SELECT c.campaign_id, c.u0, c.u1, c.u2, coalesce(sum(k.k) FILTER (WHERE k.u0 <= c.u0 AND k.u1 <= c.u1 AND k.u2 <= c.u2), 0) AS k FROM c JOIN k USING (campaign_id) GROUP BY ALL)
+SELECT campaign_id, any_value(n) AS n_trials, {_r('max(abs(k / n - u0 * u1 * u2))', 8)} AS discrepancy FROM b JOIN n USING (campaign_id) GROUP BY 1""", LINE_SQL)
+def star_discrepancy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = design.star_discrepancy(line_observations(spark, sf_dir), LINE_SPECS)
+    return found.select("campaign_id", "n_trials", (F.round("discrepancy", 8) + 0.0).alias("discrepancy"))
+
+
+PRICED = (Spec("p_discount", 0.0, 0.1), Spec("p_tax", 0.0, 0.08), Spec("kpi", 900.0, 105000.0))
+
+
+@query(f"""+ p AS MATERIALIZED (SELECT campaign_id, iteration, {_unit_place_sql(*PRICED)} FROM obs),
+d AS (SELECT a.campaign_id, min(sqrt((a.u0 - b.u0) ** 2 + (a.u1 - b.u1) ** 2 + (a.u2 - b.u2) ** 2)) AS d FROM p a JOIN p b ON a.campaign_id = b.campaign_id AND a.iteration < b.iteration GROUP BY 1)
+SELECT campaign_id, count(*) AS n_trials, {_r('any_value(d)', 8)} AS distance FROM p LEFT JOIN d USING (campaign_id) GROUP BY 1""", LINE_SQL)
+def least_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How near a supplier's two most alike lines are by discount, tax and price."""
+    found = design.least_distance(line_observations(spark, sf_dir), PRICED)
+    return found.select("campaign_id", "n_trials", (F.round("distance", 8) + 0.0).alias("distance"))
+
+
+_PRICE, _DISCOUNT, _TAX = (("var", x) for x in ("l_extendedprice", "l_discount", "l_tax"))
+LAWS = {
+    "charge": ("*", ("*", _PRICE, ("-", ("const", 1.0), _DISCOUNT)), ("+", ("const", 1.0), _TAX)),
+    "share": ("/", _TAX, ("+", _TAX, _DISCOUNT)),
+    "root": ("sqrt", ("-", _TAX, _DISCOUNT)),
+    "logarithm": ("neg", ("log", _DISCOUNT)),
+    "growth": ("exp", ("*", _PRICE, ("const", 0.01))),
+}
+
+
+@query(f"""+ v AS (SELECT l_orderkey, l_linenumber, l_extendedprice::DOUBLE AS p, l_discount::DOUBLE AS d, l_tax::DOUBLE AS t FROM lineitem),
+w AS (SELECT l_orderkey, l_linenumber, p * (1 - d) * (1 + t) AS charge, CASE WHEN abs(t + d) >= 1e-12 THEN t / (t + d) ELSE 'inf' END AS share, CASE WHEN t - d >= 0 THEN sqrt(t - d) ELSE 'inf' END AS root,
+  CASE WHEN d > 0 THEN -ln(d) ELSE 'inf' END AS logarithm, CASE WHEN p * 0.01::DOUBLE <= 500 THEN ln(exp(p * 0.01::DOUBLE)) ELSE 'inf' END AS growth FROM v)
+SELECT l_orderkey, l_linenumber, {', '.join(f"CASE WHEN {n} = 'inf' THEN NULL ELSE {_r(n)} END AS {n}, {n} = 'inf' AS no_{n}" for n in LAWS)} FROM w""", "z AS (SELECT 1)")
+def expression_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Expression trees over every line item, and where they have no value; the growth by its logarithm."""
+    lines = read(spark, sf_dir, "lineitem")
+    inf = F.lit(float("inf"))
+    found = lines.select("l_orderkey", "l_linenumber", *(equations.value(t).alias(n) for n, t in LAWS.items())).withColumn("growth", F.log("growth"))
+    return found.select("l_orderkey", "l_linenumber", *(x for n in LAWS for x in (F.when(F.col(n) != inf, F.round(n, 6) + 0.0).alias(n), (F.col(n) == inf).alias(f"no_{n}"))))
+
+
+@query()
+def discovered_equation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Equations of rising length for what a line item is charged, from its price, discount and tax."""
+    lines = read(spark, sf_dir, "lineitem").select("l_extendedprice", "l_discount", "l_tax", equations.value(LAWS["charge"]).alias("charge"))
+    return equations.discover(lines, ["l_extendedprice", "l_discount", "l_tax"], "charge")
