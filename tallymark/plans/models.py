@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..model import LINE_SPECS, LINE_SQL, Spec, line_observations, read
-from ..operators import design, equations, explain, forest, prefer, sequence
+from ..operators import design, equations, evidence, explain, forest, prefer, sequence
 from .catalogue import PARAMS, _r, query
 
 
@@ -179,3 +179,21 @@ def discovered_equation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Equations of rising length for what a line item is charged, from its price, discount and tax."""
     lines = read(spark, sf_dir, "lineitem").select("l_extendedprice", "l_discount", "l_tax", equations.value(LAWS["charge"]).alias("charge"))
     return equations.discover(lines, ["l_extendedprice", "l_discount", "l_tax"], "charge")
+
+
+PRICES = {
+    "flat": ("const", 38000.0),
+    "by_quantity": ("*", ("var", "p_quantity"), ("const", 1500.0)),
+    "discounted": ("*", ("*", ("var", "p_quantity"), ("const", 1500.0)), ("-", ("const", 1.0), ("var", "p_discount"))),
+}
+
+
+@query(f"""+ e AS (SELECT campaign_id, iteration, h.hypothesis, abs(kpi - h.p) <= 9000 AS supports FROM (SELECT *, unnest([
+  {{'hypothesis': 'flat', 'p': 38000::DOUBLE}}, {{'hypothesis': 'by_quantity', 'p': p_quantity * 1500}}, {{'hypothesis': 'discounted', 'p': p_quantity * 1500 * (1 - p_discount)}}]) AS h FROM obs)),
+l AS (SELECT *, max(CASE WHEN supports THEN iteration END) OVER (PARTITION BY campaign_id, hypothesis) AS last FROM e)
+SELECT campaign_id, hypothesis, count(*) AS n_evidence, count(*) FILTER (WHERE supports) AS n_supporting, count(*) FILTER (WHERE iteration > coalesce(last, -1)) AS refuted_in_a_row,
+  count(*) FILTER (WHERE iteration > coalesce(last, -1)) >= 3 AS falsified FROM l GROUP BY 1, 2""", LINE_SQL)
+def hypothesis_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How three equations for a line's price stand with each supplier."""
+    found = evidence.verdicts(line_observations(spark, sf_dir), PRICES, "kpi", ["campaign_id", "iteration"], band=9000.0)
+    return evidence.tally(found, "campaign_id", "iteration")
