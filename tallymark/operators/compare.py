@@ -83,12 +83,30 @@ def leaderboard(results: DataFrame, scenario: str, player: str, regret: str) ->
 
 
 def kendall(table: DataFrame, item: str, a: str, b: str, group: str) -> DataFrame:
-    """Kendall's tau of two scores of the same items, from all pairs of a group's items."""
-    left = table.select(group, F.col(item).alias("i"), F.col(a).alias("a1"), F.col(b).alias("b1"))
-    right = table.select(group, F.col(item).alias("j"), F.col(a).alias("a2"), F.col(b).alias("b2"))
-    pairs = left.join(right, group).where("i < j")
-    score = F.signum((F.col("a1") - F.col("a2")) * (F.col("b1") - F.col("b2")))
-    return pairs.groupBy(group).agg(F.count("*").alias("n_pairs"), tidy(F.sum(score) / F.count("*")).alias("tau"))
+    """Kendall's tau of two scores of a group's items: agreeing less opposed pairs over all pairs.
+
+    No pairs are made.  Items get their places by ``b``; two places first differ at one bit, so items are counted once at every bit: among those
+    that agree above it, ordered by ``a``, each with a 1 there agrees with the 0s before it and opposes the 0s behind it.  Items without a group take no
+    part; an item without a score is in all of its pairs, which neither agree nor oppose.  ``item`` tells a group's items apart.  tau is null
+    where under two items have both scores, and a group of one item has no row.
+    """
+    rows = table.where(F.col(group).isNotNull() & F.col(item).isNotNull())
+    scored = rows.where(F.col(a).isNotNull() & F.col(b).isNotNull())
+    sizes = rows.groupBy(group).agg(F.count("*").alias("n"), F.count_if(F.col(a).isNotNull() & F.col(b).isNotNull()).alias("n_scored")).where("n > 1")
+    places = scored.groupBy(group, b).agg(F.count("*").alias("same")).withColumn("y", F.row_number().over(Window.partitionBy(group).orderBy(b)) - 1).drop("same")
+    # Only as many bits as the group's greatest place has.
+    places = places.withColumn("bits", F.ceil(F.log2(F.max("y").over(Window.partitionBy(group)) + 1)).cast("int"))
+    each = scored.select(group, F.col(a).alias("x"), b).join(places, [group, b])
+    each = each.where("bits > 0").select(group, "x", "y", F.explode(F.sequence(F.lit(0), F.col("bits") - 1)).alias("bit"))
+    each = each.select(group, "bit", F.call_function("shiftright", "y", F.col("bit") + 1).alias("above"), "x", F.call_function("shiftright", "y", "bit").bitwiseAND(1).alias("one"))
+    steps = each.groupBy(group, "bit", "above", "x").agg(F.sum("one").alias("ones"), F.sum(1 - F.col("one")).alias("zeros"))
+    line = Window.partitionBy(group, "bit", "above")
+    upto = F.sum("zeros").over(line.orderBy("x").rowsBetween(Window.unboundedPreceding, 0))
+    score = F.col("ones") * ((upto - F.col("zeros")) - (F.sum("zeros").over(line) - upto))
+    found = steps.select(group, score.alias("score")).groupBy(group).agg(F.sum("score").alias("score"))
+    n_pairs = (F.col("n") * (F.col("n") - 1) / 2).cast("long")
+    tau = F.when(F.col("n_scored") > 1, F.coalesce("score", F.lit(0)) / n_pairs)
+    return sizes.join(found, group, "left").select(group, n_pairs.alias("n_pairs"), tidy(tau).alias("tau"))
 
 
 def merge_portfolio(parts: DataFrame, keys: list[str], value: str, n: str) -> DataFrame:

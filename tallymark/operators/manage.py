@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import tidy
+from .windows import numbered
 
 
 def compare_campaigns(obs: DataFrame, kind: str, kinds: list[str], maximize: bool = True) -> DataFrame:
@@ -13,8 +14,8 @@ def compare_campaigns(obs: DataFrame, kind: str, kinds: list[str], maximize: boo
     best = (F.max if maximize else F.min)("kpi")
     wide = obs.groupBy("campaign_id").pivot(kind, kinds).agg(best)
     every = (F.greatest if maximize else F.least)(*(F.col(k) for k in kinds))
-    order = Window.orderBy(every.desc_nulls_last() if maximize else every.asc_nulls_last(), "campaign_id")
-    return wide.withColumn("place", F.row_number().over(order))
+    told = numbered(wide.withColumn("every_", every), F.col("every_").desc_nulls_last() if maximize else F.col("every_").asc_nulls_last(), F.col("campaign_id").asc())
+    return told.withColumn("place", F.col("place").cast("int")).drop("every_")
 
 
 def status_counts(table: DataFrame, by: str, status: str, statuses: list[str]) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numeric import safe_corr, tidy
 from ..sources.tables import keep
+from .pareto import front
 
 
 def scalarized(objectives: dict[str, str], weights: dict[str, float], method: str = "weighted_sum") -> Column:
@@ -77,8 +78,12 @@ def unit(*parts: Column) -> Column:
 
 
 def hypervolume_sampled(table: DataFrame, objectives: list[str], reference: list[float], group: str, samples: int = 200) -> DataFrame:
-    """The volume that a group's minimised objectives dominate, by the share of repeatable random points of their box that they do."""
-    valid = table.where(" AND ".join(f"{n} < {r!r}" for n, r in zip(objectives, reference)))
+    """The volume that a group's minimised objectives dominate, by the share of repeatable random points of their box that they do.
+
+    What lies behind a group's front decides no point, so points only meet the front.  A null objective dominates nothing.
+    """
+    valid = table.where(" AND ".join(f"{n} < {r!r}" for n, r in zip(objectives, reference))).where(F.col(group).isNotNull())
+    valid = front(valid.select(group, *objectives), objectives, [group]).distinct()
     ideal = valid.groupBy(group).agg(*(F.min(n).alias(f"lo_{n}") for n in objectives))
     points = ideal.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(samples - 1))))
     at = [(F.col(f"lo_{n}") + unit(F.col(group), F.col("draw"), F.lit(i)) * (F.lit(r) - F.col(f"lo_{n}"))).alias(f"at_{n}") for i, (n, r) in enumerate(zip(objectives, reference))]
@@ -86,7 +91,7 @@ def hypervolume_sampled(table: DataFrame, objectives: list[str], reference: list
     under = F.lit(True)
     for n in objectives:
         under = under & (F.col(n) <= F.col(f"at_{n}"))
-    hit = drawn.join(valid.select(group, *objectives).distinct(), group).groupBy(group, "draw", *(f"lo_{n}" for n in objectives)).agg(F.max(under.cast("int")).alias("hit"))
+    hit = drawn.join(valid, group).groupBy(group, "draw", *(f"lo_{n}" for n in objectives)).agg(F.max(under.cast("int")).alias("hit"))
     box = F.lit(1.0)
     for n, r in zip(objectives, reference):
         box = box * (F.lit(r) - F.first(f"lo_{n}"))
@@ -94,17 +99,21 @@ def hypervolume_sampled(table: DataFrame, objectives: list[str], reference: list
 
 
 def top_k_stability(table: DataFrame, group: str, name: str, value: str, k: int = 5, draws: int = 40) -> DataFrame:
-    """How often each item stays among the ``k`` highest, and first, when values carry noise of their standard error."""
-    n = F.count("*").over(Window.partitionBy(group))
-    spread = F.stddev_samp(value).over(Window.partitionBy(group)) / F.sqrt(n)
-    rows = table.select(group, name, value, F.when(spread > 1e-15, spread).otherwise(1e-6).alias("noise"))
-    rows = rows.withColumn("real", F.row_number().over(Window.partitionBy(group).orderBy(F.desc(value), name)))
+    """How often each item stays among the ``k`` highest, and first, when values carry noise of their standard error.
+
+    Of a draw's copies only the ``k`` highest of each task and group leave the task.
+    """
+    facts = table.groupBy(F.col(group).alias("group_")).agg((F.stddev_samp(value) / F.sqrt(F.count("*"))).alias("spread"))
+    rows = table.join(facts, F.col(group).eqNullSafe(F.col("group_"))).select(group, name, value, F.when(F.col("spread") > 1e-15, F.col("spread")).otherwise(1e-6).alias("noise"))
+    real = rows.withColumn("real", F.row_number().over(Window.partitionBy(group).orderBy(F.desc(value), name))).where(F.col("real") <= k)
     drawn = rows.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws))))
     gauss = F.sqrt(-2 * F.ln(unit(F.col(name), F.col("draw"), F.lit("a")))) * F.cos(2 * math.pi * unit(F.col(name), F.col("draw"), F.lit("b")))
-    shaken = drawn.withColumn("shaken", F.col(value) + F.col("noise") * gauss)
-    placed = shaken.withColumn("place", F.row_number().over(Window.partitionBy(group, "draw").orderBy(F.desc("shaken"), name)))
-    found = placed.groupBy(group, name).agg(F.first("real").alias("real"), F.count_if(F.col("place") <= k).alias("n_top"), F.count_if(F.col("place") == 1).alias("n_first"))
-    return found.select(group, name, (F.col("real") <= k).alias("in_top"), tidy(F.col("n_top") / draws).alias("frequency"), tidy(F.col("n_first") / draws).alias("first_frequency"))
+    shaken = drawn.select(group, name, "draw", (F.col(value) + F.col("noise") * gauss).alias("shaken"))
+    placed = shaken.withColumn("place", F.row_number().over(Window.partitionBy(group, "draw").orderBy(F.desc("shaken"), name))).where(F.col("place") <= k)
+    counts = lambda rows, top, first, real: rows.select(group, name, top.alias("top"), first.alias("first"), F.lit(real).alias("real"))
+    every = counts(rows, F.lit(0), F.lit(0), 0).unionAll(counts(real, F.lit(0), F.lit(0), 1)).unionAll(counts(placed, F.lit(1), (F.col("place") == 1).cast("int"), 0))
+    found = every.groupBy(group, name).agg(F.sum("top").alias("n_top"), F.sum("first").alias("n_first"), (F.max("real") > 0).alias("in_top"))
+    return found.select(group, name, "in_top", tidy(F.col("n_top") / draws).alias("frequency"), tidy(F.col("n_first") / draws).alias("first_frequency"))
 
 
 def correlation_interval(table: DataFrame, group: str, key: str, x: str, y: str, draws: int = 40) -> DataFrame:

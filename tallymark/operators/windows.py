@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import safe_corr, tidy
+from ..sources.tables import keep
 
 
 def _line(*by: str) -> Window:
@@ -110,3 +111,17 @@ def kpi_shift(obs: DataFrame, window: int = 10) -> DataFrame:
     gap = F.abs(part(F.avg, True) - part(F.avg, False))
     error = F.sqrt(part(F.var_samp, True) / part(F.count, True) + part(F.var_samp, False) / part(F.count, False))
     return rows.groupBy("campaign_id").agg(tidy(F.coalesce(F.when(error > 0, F.least(F.lit(1.0), gap / error / 4)), F.lit(0.0)), 5).alias("shift"))
+
+
+def numbered(table: DataFrame, *order: Column, name: str = "place") -> DataFrame:
+    """``table`` with each row's place, from 1, in an order of all its rows; rows alike in the order are numbered in any way.
+
+    Rows are dealt out by ranges of the order and written, and each range counts on from those before it, so no task sorts the whole table.
+    """
+    ranges = int(table.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = keep(table.repartitionByRange(ranges, *order).withColumn("range_", F.spark_partition_id()), "numbered")
+    sizes = dealt.groupBy("range_").agg(F.count("*").alias("n_"))
+    # One row for each range, whatever the table's size.
+    before = sizes.select("range_", F.coalesce(F.sum("n_").over(Window.orderBy("range_").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before_"))
+    place = F.col("before_") + F.row_number().over(Window.partitionBy("range_").orderBy(*order))
+    return dealt.join(F.broadcast(before), "range_").withColumn(name, place).drop("range_", "before_")
