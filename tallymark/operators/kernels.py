@@ -10,17 +10,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.numeric import norm_cdf, norm_pdf
 from ..model import Spec
+from ..sources.tables import keep
+from . import process
 from .prefer import unit
 
 
-# Trials of one campaign summed in one task.
-BLOCK = 1 << 14
-
-
 def _unit(pdf: pd.DataFrame, specs: tuple[Spec, ...]) -> np.ndarray:
     return np.column_stack([(pdf[s.name].to_numpy(dtype=float) - s.lower) / (s.upper - s.lower) for s in specs])
 
@@ -69,6 +68,18 @@ def halton(obs: DataFrame, specs: tuple[Spec, ...], n: int, skip: int = 42) -> D
     return rows.select("campaign_id", "place", *((F.lit(s.lower) + inverse(F.col("place") + skip + 1, bases[i]) * (s.upper - s.lower)).alias(s.name) for i, s in enumerate(specs)))
 
 
+def _ranked(obs: DataFrame, specs: tuple[Spec, ...]) -> DataFrame:
+    """Successes by their rank, from 1, in their campaign: best first, then earlier ones; one that is no number is last."""
+    good = obs.where("NOT is_failure AND kpi IS NOT NULL").select("campaign_id", "iteration", "kpi", *(s.name for s in specs))
+    worth = F.nanvl(F.col("kpi").cast("double"), F.lit(float("-inf")))
+    return good.withColumn("rank", F.row_number().over(Window.partitionBy("campaign_id").orderBy(worth.desc(), "iteration")))
+
+
+def _best(obs: DataFrame, specs: tuple[Spec, ...], most: int) -> DataFrame:
+    """Each campaign's ``most`` best successes, of which each task sends that many at most."""
+    return _ranked(obs, specs).where(F.col("rank") <= most).drop("rank")
+
+
 def suggest_evolution(obs: DataFrame, specs: tuple[Spec, ...], n: int = 3, factor: float = 0.8, cross: float = 0.9, most: int = 50, seed: int = 42) -> DataFrame:
     """Differential evolution (rand/1/bin) from each campaign's ``most`` best successes."""
 
@@ -85,7 +96,7 @@ def suggest_evolution(obs: DataFrame, specs: tuple[Spec, ...], n: int = 3, facto
             out.append(np.clip(np.where(swap, x[a] + factor * (x[b] - x[c]), x[i]), 0, 1))
         return _frame(key[0], np.array(out), specs)
 
-    return obs.where("NOT is_failure AND kpi IS NOT NULL").groupBy("campaign_id").applyInPandas(run, _schema(specs))
+    return _best(obs, specs, most).groupBy("campaign_id").applyInPandas(run, _schema(specs))
 
 
 def suggest_covariance(obs: DataFrame, specs: tuple[Spec, ...], n: int = 3, most: int = 200, seed: int = 42) -> DataFrame:
@@ -101,101 +112,78 @@ def suggest_covariance(obs: DataFrame, specs: tuple[Spec, ...], n: int = 3, most
         spread = (top - mean).T @ ((top - mean) * w[:, None]) + 1e-6 * np.eye(len(specs))
         return _frame(key[0], np.clip(rng.multivariate_normal(mean, spread, n), 0, 1), specs)
 
-    return obs.where("NOT is_failure AND kpi IS NOT NULL").groupBy("campaign_id").applyInPandas(run, _schema(specs))
+    return _best(obs, specs, most).groupBy("campaign_id").applyInPandas(run, _schema(specs))
 
 
-def suggest_gp(obs: DataFrame, specs: tuple[Spec, ...], n: int = 3, pool: int = 256, most: int = 1000, noise: float = 1e-3, seed: int = 42, inducing: int = 128) -> DataFrame:
-    """Per campaign the ``n`` candidates of highest expected improvement (maximising) under a Gaussian process.
+def suggest_gp(obs: DataFrame, specs: tuple[Spec, ...], n: int = 3, pool: int = 256, most: int = 1000, noise: float = 1e-3, seed: int = 42, block: int = process.BLOCK) -> DataFrame:
+    """Per campaign the ``n`` candidates of highest expected improvement (maximising) under an exact Gaussian process of all its successes.
 
-    Every success counts.  Up to ``most`` of them make an exact process; a larger campaign has one over ``inducing`` points, whose sums
-    over all successes are made block by block, so no group of trials ever meets in a task.  Mean, deviation and incumbent are of all.
+    A campaign of up to ``most`` successes is one task's; the covariance of a larger one is decomposed in blocks (``process``), to the same result.
     """
-    kernel = lambda a, b: np.exp(-((a[:, None] - b[None]) ** 2).sum(axis=2) / (2 * 0.3**2))
+    kernel = process.Kernel("rbf", 0.3)
+    units = [f"u{i}" for i in range(len(specs))]
 
-    def choose(campaign: int, points: np.ndarray, mean: np.ndarray, sigma: np.ndarray, top: float, centre: float, sd: float) -> pd.DataFrame:
-        u = (mean - top) / sigma
-        cdf = 0.5 * (1 + np.vectorize(math.erf)(u / np.sqrt(2)))
-        gain = (mean - top) * cdf + sigma * np.exp(-u * u / 2) / np.sqrt(2 * np.pi)
-        best = np.argsort(-gain, kind="stable")[:n]
-        return _frame(campaign, points[best], specs, mean=mean[best] * sd + centre, sigma=sigma[best] * sd, gain=gain[best] * sd)
-
-    def knots(campaign: int) -> np.ndarray:
-        # A little beyond the bounds, so that corners are held too.
-        return 1.2 * _latin(np.random.default_rng([seed, campaign, inducing]), inducing, len(specs)) - 0.1
-
-    upper = np.triu_indices(inducing)
-
-    def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        campaign, block, held = None, None, []
-
-        def out() -> pd.DataFrame:
-            return pd.DataFrame([(campaign, block, centre, sd, top, np.concatenate([squares[upper], sums]))], columns=["campaign_id", "block", "centre", "sd", "top", "sums"])
-
-        for batch in batches:
-            for key, pdf in batch.groupby(["campaign_id", "block"], sort=False):
-                if (campaign, block) != key:
-                    if campaign is not None:
-                        yield out()
-                    campaign, block = key
-                    centre, sd, top = (float(pdf[c].iloc[0]) for c in ("centre", "sd", "top"))
-                    at, squares, sums = knots(int(campaign)), np.zeros((inducing, inducing)), np.zeros(inducing)
-                cross = kernel(at, _unit(pdf, specs))
-                squares += cross @ cross.T
-                sums += cross @ ((pdf["kpi"].to_numpy(dtype=float) - centre) / sd)
-        if campaign is not None:
-            yield out()
-
-    def solve(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        centre, sd, top = (float(pdf[c].iloc[0]) for c in ("centre", "sd", "top"))
-        total = np.sum(pdf.sort_values("block")["sums"].tolist(), axis=0)
-        squares = np.zeros((inducing, inducing))
-        squares[upper] = total[: len(upper[0])]
-        squares = squares + np.triu(squares, 1).T
-        at, points = knots(key[0]), _latin(np.random.default_rng([seed, key[0]]), pool, len(specs))
-        low = np.linalg.cholesky(kernel(at, at) + 1e-6 * np.eye(inducing))
-        inner = np.linalg.solve(low, np.linalg.solve(low, squares).T) / noise + np.eye(inducing)
-        chol = np.linalg.cholesky(inner)
-        cross = np.linalg.solve(low, kernel(at, points))
-        wide = np.linalg.solve(chol, cross)
-        mean = wide.T @ np.linalg.solve(chol, np.linalg.solve(low, total[len(upper[0]) :])) / noise
-        sigma = np.sqrt(np.maximum(1 - (cross**2).sum(axis=0) + (wide**2).sum(axis=0), 1e-12))
-        return choose(key[0], points, mean, sigma, (top - centre) / sd, centre, sd)
+    def drawn(campaign: int) -> np.ndarray:
+        return _latin(np.random.default_rng([seed, campaign]), pool, len(specs))
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        rng = np.random.default_rng([seed, key[0]])
         pdf = pdf.sort_values("iteration")
         x, y = _unit(pdf, specs), pdf["kpi"].to_numpy(dtype=float)
         sd = y.std() or 1.0
         z = (y - y.mean()) / sd
-        points = _latin(rng, pool, len(specs))
-        chol = np.linalg.cholesky(kernel(x, x) + noise * np.eye(len(x)))
-        cross = np.linalg.solve(chol, kernel(x, points))
+        points = drawn(key[0])
+        chol = np.linalg.cholesky(kernel.between(x, x) + noise * np.eye(len(x)))
+        cross = np.linalg.solve(chol, kernel.between(x, points))
         mean = cross.T @ np.linalg.solve(chol, z)
         sigma = np.sqrt(np.maximum(1 - (cross**2).sum(axis=0), 1e-12))
-        return choose(key[0], points, mean, sigma, z.max(), y.mean(), sd)
+        u = (mean - z.max()) / sigma
+        cdf = 0.5 * (1 + np.vectorize(math.erf)(u / np.sqrt(2)))
+        gain = (mean - z.max()) * cdf + sigma * np.exp(-u * u / 2) / np.sqrt(2 * np.pi)
+        best = np.argsort(-gain, kind="stable")[:n]
+        return _frame(key[0], points[best], specs, mean=mean[best] * sd + y.mean(), sigma=sigma[best] * sd, gain=gain[best] * sd)
+
+    def candidates(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for campaign in pdf["campaign_id"]:
+                yield pd.DataFrame(drawn(campaign), columns=units).assign(campaign_id=campaign, number=np.arange(pool))[["campaign_id", "number", *units]]
 
     schema = _schema(specs, "mean double", "sigma double", "gain double")
     good = obs.where("NOT is_failure AND kpi IS NOT NULL").select("campaign_id", "iteration", "kpi", *(s.name for s in specs))
     facts = good.groupBy("campaign_id").agg(F.count("*").alias("n"), F.avg("kpi").alias("centre"), F.stddev_pop("kpi").alias("sd"), F.max("kpi").alias("top"))
-    facts = facts.withColumn("sd", F.when(F.col("sd") > 0, F.col("sd")).otherwise(1.0))
-    small = good.join(facts.where(F.col("n") <= most).select("campaign_id"), "campaign_id", "left_semi").groupBy("campaign_id").applyInPandas(run, schema)
-    blocks = F.pmod(F.xxhash64("iteration"), F.ceil(F.col("n") / BLOCK)).alias("block")
-    large = good.join(facts.where(F.col("n") > most), "campaign_id").select("campaign_id", blocks, "centre", "sd", "top", "kpi", *(s.name for s in specs))
-    large = large.repartition("campaign_id", "block").sortWithinPartitions("campaign_id", "block")
-    sums = large.mapInPandas(add, "campaign_id long, block long, centre double, sd double, top double, sums array<double>")
-    return small.unionByName(sums.groupBy("campaign_id").applyInPandas(solve, schema))
+    facts = keep(facts.withColumn("sd", F.when(F.col("sd") > 0, F.col("sd")).otherwise(1.0)), "gp-facts")
+    large = facts.where(F.col("n") > most)
+    small = good.join(large.select("campaign_id"), "campaign_id", "left_anti").groupBy("campaign_id").applyInPandas(run, schema)
+    if large.isEmpty():
+        return small
+    rows = good.join(large, "campaign_id").select("campaign_id", "iteration", ((F.col("kpi") - F.col("centre")) / F.col("sd")).alias("z"), *(((F.col(s.name) - s.lower) / (s.upper - s.lower)).alias(u) for s, u in zip(specs, units)))
+    points = keep(large.select("campaign_id").mapInPandas(candidates, "campaign_id long, number long, " + ", ".join(f"{u} double" for u in units)), "gp-points")
+    told = process.predict(rows, points, "campaign_id", "iteration", "number", units, "z", kernel, noise, block)
+    told = told.join(points, ["campaign_id", "number"]).join(large, "campaign_id").withColumn("sigma", F.sqrt("var"))
+    gap = F.col("mu") - (F.col("top") - F.col("centre")) / F.col("sd")
+    told = told.withColumn("gain", gap * norm_cdf(gap / F.col("sigma")) + F.col("sigma") * norm_pdf(gap / F.col("sigma")))
+    told = told.withColumn("place", F.row_number().over(Window.partitionBy("campaign_id").orderBy(F.desc("gain"), "number")) - 1).where(F.col("place") < n)
+    scaled = [(F.lit(s.lower) + F.col(u) * (s.upper - s.lower)).alias(s.name) for s, u in zip(specs, units)]
+    told = told.select("campaign_id", F.col("place").cast("long").alias("place"), *scaled, (F.col("mu") * F.col("sd") + F.col("centre")).alias("mean"), (F.col("sigma") * F.col("sd")).alias("sigma"), (F.col("gain") * F.col("sd")).alias("gain"))
+    return small.unionByName(told)
 
 
 def suggest_tpe(obs: DataFrame, specs: tuple[Spec, ...], n: int = 3, share: float = 0.25, width: float = 0.1, seed: int = 42) -> DataFrame:
-    """Jitter around each campaign's best quarter of successes."""
+    """Jitter around ``n`` successes drawn from each campaign's best quarter.
 
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        rng = np.random.default_rng([seed, key[0]])
-        pdf = pdf.sort_values(["kpi", "iteration"], ascending=[False, True])
-        good = _unit(pdf.head(max(1, int(len(pdf) * share))), specs)
-        return _frame(key[0], np.clip(good[rng.integers(0, len(good), n)] + rng.normal(0, width, (n, len(specs))), 0, 1), specs)
+    The ranks to take and the jitter are drawn by a campaign's number of successes alone; only rows of these ranks are read on.
+    """
+
+    def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for campaign, count in zip(pdf["campaign_id"], pdf["n"]):
+                rng = np.random.default_rng([seed, campaign])
+                rank = rng.integers(0, max(1, int(count * share)), n) + 1
+                yield pd.DataFrame({"campaign_id": campaign, "place": np.arange(n), "rank": rank, "jitter": list(rng.normal(0, width, (n, len(specs))))})
 
-    return obs.where("NOT is_failure AND kpi IS NOT NULL").groupBy("campaign_id").applyInPandas(run, _schema(specs))
+    ranked = _ranked(obs, specs)
+    picked = ranked.groupBy("campaign_id").agg(F.count("*").alias("n")).mapInPandas(draw, "campaign_id long, place long, rank int, jitter array<double>")
+    near = lambda i, s: F.least(F.greatest((F.col(s.name) - s.lower) / (s.upper - s.lower) + F.get("jitter", F.lit(i)), F.lit(0.0)), F.lit(1.0))
+    return picked.join(ranked, ["campaign_id", "rank"]).select("campaign_id", "place", *((F.lit(s.lower) + near(i, s) * (s.upper - s.lower)).alias(s.name) for i, s in enumerate(specs)))
 
 
 def bootstrap_mean(obs: DataFrame, rounds: int = 200, level: float = 0.95) -> DataFrame:
@@ -215,50 +203,59 @@ def bootstrap_mean(obs: DataFrame, rounds: int = 200, level: float = 0.95) -> Da
 
 
 def change_points(obs: DataFrame, hazard: float = 0.01, threshold: float = 0.5, horizon: int = 200) -> DataFrame:
-    """Bayesian online change-point detection on each campaign's objective, run lengths beyond ``horizon`` pooled in the last."""
+    """Bayesian online change-point detection on each campaign's objective, run lengths beyond ``horizon`` pooled in the last.
 
-    gamma = np.vectorize(math.lgamma)
+    Trials stream through their task in order; what it keeps of a campaign is the belief about each run length.  Trials without a campaign take no part.
+    """
 
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("iteration")
-        y = pdf["kpi"].to_numpy(dtype=float)
-        y = (y - y.mean()) / (y.std() or 1.0)
-        # A normal-gamma belief about mean and precision for each run length; its predictive is Student's t.
-        fresh = (0.0, 1.0, 1.0, 0.1)
-        p, belief = np.ones(1), [np.full(1, v) for v in fresh]
-        last, found = 0, []
-        for t, x in enumerate(y):
-            mean, kappa, alpha, beta = belief
-            width = beta * (kappa + 1) / (alpha * kappa)
-            log_like = gamma(alpha + 0.5) - gamma(alpha) - 0.5 * np.log(2 * np.pi * alpha * width) - (alpha + 0.5) * np.log1p((x - mean) ** 2 / (2 * alpha * width))
-            like = p * np.exp(log_like)
-            p = np.r_[like.sum() * hazard, like * (1 - hazard)]
-            p /= p.sum() or 1.0
-            grown = ((kappa * mean + x) / (kappa + 1), kappa + 1, alpha + 0.5, beta + kappa * (x - mean) ** 2 / (2 * (kappa + 1)))
-            belief = [np.r_[v, g] for v, g in zip(fresh, grown)]
-            if len(p) > horizon:
-                p[-2] += p[-1]
-                p, belief = p[:-1], [v[:-1] for v in belief]
-            top = int(p.argmax())
-            if (last >= 3 and top <= 1) or (t >= 3 and p[:2].sum() > threshold):
-                found.append((key[0], int(pdf["iteration"].iloc[t]), float(p[:2].sum())))
-            last = top
-        return pd.DataFrame(found, columns=["campaign_id", "iteration", "probability"])
-
-    return obs.where("kpi IS NOT NULL").groupBy("campaign_id").applyInPandas(run, "campaign_id long, iteration long, probability double")
+    gamma = np.vectorize(math.lgamma)
+    # A normal-gamma belief about mean and precision for each run length; its predictive is Student's t.
+    fresh = (0.0, 1.0, 1.0, 0.1)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        campaign = None
+        for pdf in batches:
+            found = []
+            for now, iteration, x in zip(pdf["campaign_id"], pdf["iteration"], pdf["z"]):
+                if now != campaign:
+                    campaign, t, last, p, belief = now, 0, 0, np.ones(1), [np.full(1, v) for v in fresh]
+                mean, kappa, alpha, beta = belief
+                width = beta * (kappa + 1) / (alpha * kappa)
+                log_like = gamma(alpha + 0.5) - gamma(alpha) - 0.5 * np.log(2 * np.pi * alpha * width) - (alpha + 0.5) * np.log1p((x - mean) ** 2 / (2 * alpha * width))
+                like = p * np.exp(log_like)
+                p = np.r_[like.sum() * hazard, like * (1 - hazard)]
+                p /= p.sum() or 1.0
+                grown = ((kappa * mean + x) / (kappa + 1), kappa + 1, alpha + 0.5, beta + kappa * (x - mean) ** 2 / (2 * (kappa + 1)))
+                belief = [np.r_[v, g] for v, g in zip(fresh, grown)]
+                if len(p) > horizon:
+                    p[-2] += p[-1]
+                    p, belief = p[:-1], [v[:-1] for v in belief]
+                top = int(p.argmax())
+                if (last >= 3 and top <= 1) or (t >= 3 and p[:2].sum() > threshold):
+                    found.append((campaign, iteration, float(p[:2].sum())))
+                last, t = top, t + 1
+            yield pd.DataFrame(found, columns=["campaign_id", "iteration", "probability"])
+
+    valid = obs.where("kpi IS NOT NULL").select("campaign_id", "iteration", F.col("kpi").cast("double").alias("kpi"))
+    facts = valid.groupBy("campaign_id").agg(F.avg("kpi").alias("centre"), F.stddev_pop("kpi").alias("sd"))
+    scaled = valid.join(facts, "campaign_id").select("campaign_id", "iteration", ((F.col("kpi") - F.col("centre")) / F.when(F.col("sd") > 0, F.col("sd")).otherwise(1.0)).alias("z"))
+    return scaled.repartition("campaign_id").sortWithinPartitions("campaign_id", "iteration").mapInPandas(run, "campaign_id long, iteration long, probability double")
 
 
 def diversify(candidates: DataFrame, specs: tuple[Spec, ...], n: int) -> DataFrame:
-    """A greedy subset of each campaign's candidates with the largest least distance."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("place").reset_index(drop=True)
-        x = _unit(pdf, specs)
-        chosen = [0]
-        least = ((x - x[0]) ** 2).sum(axis=1)
-        while len(chosen) < min(n, len(x)):
-            chosen.append(int(least.argmax()))
-            least = np.minimum(least, ((x - x[chosen[-1]]) ** 2).sum(axis=1))
-        return pdf.iloc[chosen]
-
-    return candidates.groupBy("campaign_id").applyInPandas(run, candidates.schema)
+    """A greedy subset of each campaign's candidates with the largest least distance, from the one of the least place; equal distances go by place.
+
+    Each round is one aggregation: every candidate's least distance to those chosen, at most ``n`` vectors a campaign, and the largest of them.
+    """
+    whole = F.struct(*(F.col(c) for c in candidates.columns))
+    at = F.array(*((F.col(s.name).cast("double") - s.lower) / (s.upper - s.lower) for s in specs))
+    rows = candidates.where("campaign_id IS NOT NULL").select("campaign_id", "place", whole.alias("row_"), at.alias("at_"))
+    first = rows.groupBy("campaign_id").agg(F.count("*").alias("n_"), F.min_by(F.struct("row_", "at_"), "place").alias("best_"))
+    chosen = keep(first.select("campaign_id", "n_", F.array("best_").alias("chosen_")), "diverse")
+    gap = lambda c: F.aggregate(F.zip_with("at_", c["at_"], lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, v: s + v)
+    for taken in range(1, n):
+        least = F.array_min(F.transform("chosen_", gap))
+        best = rows.join(chosen.where(F.col("n_") > taken), "campaign_id").groupBy("campaign_id").agg(F.max_by(F.struct("row_", "at_"), F.struct(least, -F.col("place"))).alias("best_"))
+        more = F.when(F.col("best_").isNull(), F.col("chosen_")).otherwise(F.concat("chosen_", F.array("best_")))
+        chosen = keep(chosen.join(best, "campaign_id", "left").select("campaign_id", "n_", more.alias("chosen_")), "diverse")
+    return chosen.select(F.explode("chosen_").alias("c_")).select("c_.row_.*")

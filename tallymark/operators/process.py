@@ -75,7 +75,6 @@ def _walk(training: DataFrame, group: str, width: int, kernel: Kernel, leave: bo
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     parts = keep(_parts(training, group, "y", "noise"), "process-parts")
     fresh = None if points is None else keep(_parts(points, group).drop("last"), "process-points")
-    carries = points is not None
 
     def matrix(values: bytes, columns: int) -> np.ndarray:
         return np.frombuffer(values).reshape(-1, columns)
@@ -83,16 +82,21 @@ def _walk(training: DataFrame, group: str, width: int, kernel: Kernel, leave: bo
     def out(row, *made: tuple) -> pd.DataFrame:
         return pd.DataFrame([(row[group], *m) for m in made], columns=[group, "kind", "r", "k", "m", "sq", "dot"])
 
-    def head(pdf: pd.DataFrame) -> pd.DataFrame:
-        row = pdf.iloc[0]
-        x, y, k = np.asarray(row["x"]).reshape(-1, width), np.asarray(row["y"], dtype=float), int(row["r"])
+    def factor(row) -> tuple[np.ndarray, np.ndarray]:
+        x, y = np.asarray(row["xk"]).reshape(-1, width), np.asarray(row["y"], dtype=float)
         square = kernel.between(x, x) + np.diag(row["noise"])
-        if row["s"] is not None:
-            square, y = square - matrix(row["s"], len(x)), y - np.frombuffer(row["sy"])
+        if row["sk"] is not None:
+            square, y = square - matrix(row["sk"], len(x)), y - np.frombuffer(row["sy"])
         inverse = np.tril(np.linalg.inv(np.linalg.cholesky(square)))
-        z = inverse @ y
-        needed = k < row["last"]
-        made = [("h", k, k, inverse.tobytes() if needed or carries or (leave and k) else None, None, None), ("y", 0, k, z.tobytes(), None, None)]
+        return inverse, inverse @ y
+
+    def head(pdf: pd.DataFrame) -> pd.DataFrame:
+        row = pdf.iloc[0]
+        k, needed = int(row["k"]), row["k"] < row["last"]
+        inverse, z = factor(row)
+        made = [("y", 0, k, z.tobytes(), None, None)]
+        if k:
+            made.append(("h", k, k, inverse.tobytes(), None, None))
         if leave:
             made.append(("e", k, k, np.ascontiguousarray(inverse.T).tobytes() if needed else None, (inverse**2).sum(axis=0), inverse.T @ z))
         return out(row, *made)
@@ -103,11 +107,13 @@ def _walk(training: DataFrame, group: str, width: int, kernel: Kernel, leave: bo
         made = np.zeros((block, len(xk))) if row["kind"] == "e" else kernel.between(np.asarray(row["x"]).reshape(-1, width), xk)
         if row["s"] is not None:
             made = made - matrix(row["s"], len(xk))
-        made = made @ matrix(row["inverse"], len(xk)).T
+        # The first factor needs nothing but its rows, so it is made anew where it is needed instead of being sent.
+        inverse, z = (matrix(row["inverse"], len(xk)), np.frombuffer(row["z"])) if row["k"] else factor(row)
+        made = made @ inverse.T
         m = made.tobytes() if row["k"] < row["last"] else None
         if row["kind"] == "t":
             return out(row, ("t", row["r"], row["k"], m, None, None))
-        return out(row, (row["kind"], row["r"], row["k"], m, (made**2).sum(axis=1), made @ np.frombuffer(row["z"])))
+        return out(row, (row["kind"], row["r"], row["k"], m, (made**2).sum(axis=1), made @ z))
 
     def multiply(pdf: pd.DataFrame) -> pd.DataFrame:
         total = sum(matrix(m, block) @ matrix(o, block).T for m, o in zip(pdf["m"], pdf["other"]))
@@ -121,9 +127,9 @@ def _walk(training: DataFrame, group: str, width: int, kernel: Kernel, leave: bo
         return rows.repartition(tasks, *keys).groupBy(*keys)
 
     summed = schema.split(", k int")[0] + ", s binary"
-    each, panels, results = [group, "kind", "r"], None, None
+    each, panels, none = [group, "kind", "r"], None, F.lit(None).cast("binary")
     for k in range((parts.agg(F.max("r")).first()[0] or 0) + 1):
-        pivot = parts.where(F.col("r") == k)
+        pivot = parts.where(F.col("r") == k).select(group, "last", F.lit(k).alias("k"), F.col("x").alias("xk"), "y", "noise")
         if k:
             # Of rows that are done with, only those of campaigns that have this step are needed.
             across = panels.where((F.col("kind") == "t") & (F.col("r") == k)).select(group, "k", F.col("m").alias("other"))
@@ -131,20 +137,21 @@ def _walk(training: DataFrame, group: str, width: int, kernel: Kernel, leave: bo
             pieces = pieces.select(*each, "m", "other", F.floor(F.col("k") / SPAN).alias("span"))
             sums = dealt(pieces, *each, "span").applyInPandas(multiply, summed)
             sums = keep(dealt(sums, *each).applyInPandas(add, summed), "process-sums")
-            ours = sums.where((F.col("kind") == "t") & (F.col("r") == k)).select(group, "s")
+            ours = sums.where((F.col("kind") == "t") & (F.col("r") == k)).select(group, F.col("s").alias("sk"))
             pivot = pivot.join(ours, group).join(sums.where("kind = 'y'").select(group, F.col("s").alias("sy")), group)
         else:
-            sums, pivot = None, pivot.withColumn("s", F.lit(None).cast("binary")).withColumn("sy", F.lit(None).cast("binary"))
+            pivot = pivot.withColumn("sk", none).withColumn("sy", none)
         heads = keep(dealt(pivot, group).applyInPandas(head, schema), "process-heads")
         walking = parts.where(F.col("r") > k).select(group, F.lit("t").alias("kind"), "r", "x")
         if leave:
             walking = walking.unionByName(parts.where(F.col("r") < k).select(group, F.lit("e").alias("kind"), "r", F.lit(None).cast("array<double>").alias("x")))
-        if carries:
+        if points is not None:
             walking = walking.unionByName(fresh.select(group, F.lit("p").alias("kind"), "r", "x"))
-        known = heads.where("kind = 'h' AND m IS NOT NULL").select(group, F.col("m").alias("inverse"))
-        known = known.join(heads.where("kind = 'y'").select(group, F.col("m").alias("z")), group).join(pivot.select(group, "last", F.col("x").alias("xk")), group)
-        known = walking.join(known, group).withColumn("k", F.lit(k))
-        known = known.withColumn("s", F.lit(None).cast("binary")) if sums is None else known.join(sums, each, "left")
+        if k:
+            known = heads.where("kind = 'h'").select(group, F.col("m").alias("inverse")).join(heads.where("kind = 'y'").select(group, F.col("m").alias("z")), group)
+            known = walking.join(pivot.select(group, "last", "k", "xk").join(known, group), group).join(sums, each, "left")
+        else:
+            known = walking.join(pivot, group).withColumn("s", none)
         below = keep(dealt(known, *each).applyInPandas(body, schema), "process-panels")
         step = heads.where("kind != 'h'").unionByName(below)
         panels = step if panels is None else panels.unionByName(step)
