@@ -249,7 +249,7 @@ def diversify(candidates: DataFrame, specs: tuple[Spec, ...], n: int) -> DataFra
     """
     whole = F.struct(*(F.col(c) for c in candidates.columns))
     at = F.array(*((F.col(s.name).cast("double") - s.lower) / (s.upper - s.lower) for s in specs))
-    rows = candidates.where("campaign_id IS NOT NULL").select("campaign_id", "place", whole.alias("row_"), at.alias("at_"))
+    rows = keep(candidates.where("campaign_id IS NOT NULL").select("campaign_id", "place", whole.alias("row_"), at.alias("at_")), "diverse-rows")
     first = rows.groupBy("campaign_id").agg(F.count("*").alias("n_"), F.min_by(F.struct("row_", "at_"), "place").alias("best_"))
     chosen = keep(first.select("campaign_id", "n_", F.array("best_").alias("chosen_")), "diverse")
     gap = lambda c: F.aggregate(F.zip_with("at_", c["at_"], lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, v: s + v)
