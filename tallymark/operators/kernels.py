@@ -239,7 +239,9 @@ def change_points(obs: DataFrame, hazard: float = 0.01, threshold: float = 0.5,
     valid = obs.where("kpi IS NOT NULL").select("campaign_id", "iteration", F.col("kpi").cast("double").alias("kpi"))
     facts = valid.groupBy("campaign_id").agg(F.avg("kpi").alias("centre"), F.stddev_pop("kpi").alias("sd"))
     scaled = valid.join(facts, "campaign_id").select("campaign_id", "iteration", ((F.col("kpi") - F.col("centre")) / F.when(F.col("sd") > 0, F.col("sd")).otherwise(1.0)).alias("z"))
-    return scaled.repartition("campaign_id").sortWithinPartitions("campaign_id", "iteration").mapInPandas(run, "campaign_id long, iteration long, probability double")
+    # A number of partitions of its own: trials are small, what is done with each is not.
+    tasks = int(obs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return scaled.repartition(tasks, "campaign_id").sortWithinPartitions("campaign_id", "iteration").mapInPandas(run, "campaign_id long, iteration long, probability double")
 
 
 def diversify(candidates: DataFrame, specs: tuple[Spec, ...], n: int) -> DataFrame:
