@@ -6,12 +6,14 @@ reduces its rows to a local skyline first, so only the few survivors meet.  ``gr
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.numeric import safe_corr, tidy
 
@@ -98,17 +100,48 @@ def knee(table: DataFrame, objectives: list[str], group: list[str], key: str) ->
 
 
 def dominance_rank(table: DataFrame, objectives: list[str], group: list[str]) -> DataFrame:
-    """Each row's front number from 1, peeled inside one Arrow group; groups are whole objective sets and must fit a task."""
-
-    def peel(pdf: pd.DataFrame) -> pd.DataFrame:
-        left, rank, n = np.arange(len(pdf)), np.zeros(len(pdf), dtype=np.int64), 0
-        points = pdf[objectives].to_numpy(dtype=float)
-        while len(left):
-            n += 1
-            kept = _local(points[left])
-            rank[left[kept]] = n
-            left = np.delete(left, kept)
-        return pdf.assign(dominance_rank=rank)
-
-    schema = table.schema.simpleString()[len("struct<") : -1] + ", dominance_rank: bigint"
-    return table.groupBy(*group).applyInPandas(peel, schema)
+    """Each row's front number from 1: one more than the highest of those that dominate it; a row with a null or NaN objective has 1.
+
+    A group's distinct points stream in their order, so whoever dominates a point came before it.  A front is known by what its points
+    have least of the other objectives: one number for two objectives, for more the skyline over all but the first.  Sorting is the engine's; a task
+    holds a batch and that state, and repeated rows never reach it.
+    """
+    names, keys = [f"o{i}__" for i in range(len(objectives))], [f"g{i}__" for i in range(len(group))]
+    whole = F.lit(True)
+    for o in objectives:
+        whole = whole & F.col(o).isNotNull() & ~F.isnan(F.col(o).cast("double"))
+    points = table.where(whole).select(*(F.col(g).alias(k) for g, k in zip(group, keys)), *(F.col(o).cast("double").alias(n) for o, n in zip(objectives, names))).distinct()
+
+    def rank_of(fronts: list[np.ndarray], rest: np.ndarray) -> int:
+        # What beats a point in one front is itself beaten in every front before.
+        low, high = 0, len(fronts)
+        while low < high:
+            middle = (low + high) // 2
+            low, high = (middle + 1, high) if (fronts[middle] <= rest).all(axis=1).any() else (low, middle)
+        return low
+
+    def stream(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, fronts = object(), []
+        for pdf in batches:
+            ranks = []
+            held = zip(*(pdf[k] for k in keys)) if keys else ((),) * len(pdf)
+            for own, rest in zip(held, pdf[names[1:]].to_numpy(dtype=float)):
+                own = tuple(None if pd.isna(v) else v for v in own)
+                if own != at:
+                    at, fronts = own, []
+                if len(rest) == 1:
+                    n = bisect_right(fronts, rest[0])
+                    fronts[n : n + 1] = [rest[0]]
+                else:
+                    n = rank_of(fronts, rest)
+                    kept = fronts[n] if n < len(fronts) else np.empty((0, len(rest)))
+                    fronts[n : n + 1] = [np.vstack([kept[~(rest <= kept).all(axis=1)], rest])]
+                ranks.append(n + 1)
+            yield pdf.assign(rank__=ranks)
+
+    dealt = points.repartition(*map(F.col, keys)) if keys else points.coalesce(1)
+    ranked = dealt.sortWithinPartitions(*keys, *names).mapInPandas(stream, T.StructType([*points.schema.fields, T.StructField("rank__", T.LongType())]))
+    same = F.lit(True)
+    for c, k in [*((F.col(g), k) for g, k in zip(group, keys)), *((F.col(o).cast("double"), n) for o, n in zip(objectives, names))]:
+        same = same & c.eqNullSafe(F.col(k))
+    return table.join(ranked, same, "left").select(*table.columns, F.coalesce("rank__", F.lit(1).cast("long")).alias("dominance_rank"))
