@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import safe_corr, tidy
 from ..model import Spec
+from . import near
 from .store import long_form
 
 
@@ -124,23 +126,19 @@ def distance(a: str, b: str, specs: tuple[Spec, ...]) -> Column:
     return F.sqrt(sum((((F.col(f"{a}.{s.name}") - F.col(f"{b}.{s.name}")) / (s.upper - s.lower)) ** 2 for s in specs), F.lit(0.0)))
 
 
-def impute_near(obs: DataFrame, specs: tuple[Spec, ...], k: int = 5, block: int = 512) -> DataFrame:
+def impute_near(obs: DataFrame, specs: tuple[Spec, ...], k: int = 5, block: int = near.BLOCK) -> DataFrame:
     """Failures with the mean objective of their ``k`` nearest successes in the campaign, ties to the earlier trial; 0 without a success.
 
-    Successes are dealt into blocks of about ``block`` trials.  A failure takes the ``k`` nearest of each block first, so no
-    window holds more than a block, and a campaign with most of the trials is many small tasks.
+    A success without an objective says nothing.  Failures meet successes in blocks of about ``block`` trials (``near.nearest``).
     """
-    names = [s.name for s in specs]
-    dealt = F.pmod(F.xxhash64("campaign_id", "iteration"), F.greatest(F.ceil(F.col("n_ok") / block), F.lit(1))).alias("part")
-    sizes = obs.groupBy("campaign_id").agg(F.count_if(~F.col("is_failure")).alias("n_ok"))
-    rows = obs.join(sizes, "campaign_id")
-    good = rows.where("NOT is_failure AND kpi IS NOT NULL").select("campaign_id", dealt, F.struct("iteration", "kpi", *names).alias("o"))
-    every = F.sequence(F.lit(0).cast("long"), F.greatest(F.ceil(F.col("n_ok") / block), F.lit(1)) - 1)
-    bad = rows.where("is_failure").select("campaign_id", "iteration", F.struct(*names).alias("t"), F.explode(every).alias("part"))
-    pairs = bad.join(good, ["campaign_id", "part"], "left").select("campaign_id", "iteration", "part", distance("t", "o", specs).alias("d"), F.col("o.iteration").alias("other"), F.col("o.kpi").alias("y"))
-    for by in (["campaign_id", "iteration", "part"], ["campaign_id", "iteration"]):
-        pairs = pairs.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(F.col("d").asc_nulls_last(), "other"))).where(F.col("rank") <= k).drop("rank")
-    return pairs.groupBy("campaign_id", "iteration").agg(F.count("y").cast("int").alias("n_near"), tidy(F.coalesce(F.avg("y"), F.lit(0.0)), 3).alias("kpi"))
+    widths = [s.upper - s.lower for s in specs]
+
+    def apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return np.sqrt(sum((((a[:, i, None] - b[None, :, i]) / w) ** 2 for i, w in enumerate(widths)), np.zeros((len(a), len(b)))))
+
+    told = near.nearest(obs.where("is_failure"), obs.where("NOT is_failure AND kpi IS NOT NULL"), "iteration", "iteration", [F.col(s.name) for s in specs], F.col("kpi"), apart, k, block)
+    mean = F.aggregate("near.y", F.lit(0.0), lambda a, y: a + y) / F.when(F.size("near") > 0, F.size("near"))
+    return told.select("campaign_id", "iteration", F.size("near").alias("n_near"), tidy(F.coalesce(mean, F.lit(0.0)), 3).alias("kpi"))
 
 
 def sensitivity(obs: DataFrame, specs: tuple[Spec, ...], near: int = 5, maximize: bool = True) -> DataFrame:
