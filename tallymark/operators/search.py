@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.numeric import squared_distance, tidy
+from ..functions.numeric import tidy
+from . import near
 
 
 def tokens(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -48,14 +50,19 @@ def ngram_jaccard(pairs: DataFrame, a: str, b: str, n: int = 3) -> DataFrame:
 
 
 def knn_failure(candidates: DataFrame, obs: DataFrame, params: list[str], scales: list[float], k: int = 5) -> DataFrame:
-    """Share of failures among each candidate's ``k`` nearest trials of its campaign, by scaled distance then iteration."""
-    vector = lambda: F.array(*(F.col(p) / s for p, s in zip(params, scales)))
-    left = candidates.select("campaign_id", "candidate_id", vector().alias("a"))
-    right = obs.select("campaign_id", "iteration", "is_failure", vector().alias("b"))
-    d = left.join(right, "campaign_id").withColumn("d", tidy(squared_distance(F.col("a"), F.col("b"))))
-    rank = F.row_number().over(Window.partitionBy("campaign_id", "candidate_id").orderBy("d", "iteration"))
-    near = d.withColumn("rank", rank).where(F.col("rank") <= k)
-    return near.groupBy("campaign_id", "candidate_id").agg(tidy(F.avg(F.col("is_failure").cast("double"))).alias("p_failure"), tidy(F.max("d")).alias("radius"))
+    """Share of failures among each candidate's ``k`` nearest trials of its campaign, by scaled distance then iteration.
+
+    A candidate of a campaign without trials has no row.
+    """
+
+    def apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return near.rounded(sum(((a[:, i, None] - b[None, :, i]) ** 2 for i in range(a.shape[1])), np.zeros((len(a), len(b)))), 6)
+
+    told = near.nearest(candidates, obs, "candidate_id", "iteration", [F.col(p) / s for p, s in zip(params, scales)], F.col("is_failure").cast("double"), apart, k).where(F.size("near") > 0)
+    known = F.filter("near", lambda o: ~F.isnan(o["y"]))["y"]
+    mean = F.aggregate(known, F.lit(0.0), lambda a, y: a + y) / F.when(F.size(known) > 0, F.size(known))
+    far = F.array_max(F.filter("near", lambda o: o["d"] < float("inf"))["d"])
+    return told.select("campaign_id", "candidate_id", tidy(mean).alias("p_failure"), tidy(far).alias("radius"))
 
 
 def centroids(vectors: DataFrame, label: str, embedding: str) -> DataFrame:
