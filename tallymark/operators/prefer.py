@@ -117,12 +117,16 @@ def top_k_stability(table: DataFrame, group: str, name: str, value: str, k: int
 
 
 def correlation_interval(table: DataFrame, group: str, key: str, x: str, y: str, draws: int = 40) -> DataFrame:
-    """Correlation of two columns of each group with the 95 % interval of its resamples."""
+    """Correlation of two columns of each group with the 95 % interval of its resamples.
+
+    Rows are placed once and written; picks, ``draws`` for each row, meet them by place, dealt over all tasks.
+    """
     line = Window.partitionBy(group)
-    rows = table.select(group, x, y, (F.row_number().over(line.orderBy(key)) - 1).alias("at"), F.count("*").over(line).alias("n"))
+    rows = keep(table.select(group, x, y, (F.row_number().over(line.orderBy(key)) - 1).alias("at"), F.count("*").over(line).alias("n")), "resampled")
     drawn = rows.select(group, "n", "at", F.explode(F.sequence(F.lit(1), F.lit(draws))).alias("draw"))
     picked = drawn.select(group, "draw", F.floor(unit(F.col(group), F.col("draw"), F.col("at")) * F.col("n")).cast("int").alias("at"))
-    each = picked.join(rows.drop("n"), [group, "at"]).groupBy(group, "draw").agg(safe_corr(F.col(x), F.col(y)).alias("r"))
+    # The planner takes picks for as few as rows, and would send all of them through the driver to every task.
+    each = picked.hint("merge").join(rows.drop("n"), [group, "at"]).groupBy(group, "draw").agg(safe_corr(F.col(x), F.col(y)).alias("r"))
     spans = each.groupBy(group).agg(F.percentile("r", F.lit(0.025)).alias("low"), F.percentile("r", F.lit(0.975)).alias("high"), F.stddev_samp("r").alias("se"))
     real = rows.groupBy(group).agg(safe_corr(F.col(x), F.col(y)).alias("r"))
     return real.join(spans, group).select(group, tidy(F.col("r"), 5).alias("r"), tidy(F.col("low"), 5).alias("low"), tidy(F.col("high"), 5).alias("high"), tidy(F.col("se"), 5).alias("std_error"))

@@ -72,3 +72,11 @@ def test_top_k_stability(spark):
         assert {r[1] for r in held if got[r[1]].in_top} == best
         assert sum(got[r[1]].frequency for r in held) == pytest.approx(5) and sum(got[r[1]].first_frequency for r in held) == pytest.approx(1)
         assert all(got[r[1]].frequency == 0 for r in held if r[2] < min(x[2] for x in held if x[1] in best) - 8 * noise)
+
+
+def test_no_resample_goes_through_the_driver(spark):
+    rows = spark.range(2000).select((F.col("id") % 2).cast("int").alias("g"), F.col("id").alias("k"), F.col("id").cast("double").alias("x"), (F.col("id") * 2.0).alias("y"))
+    told = prefer.correlation_interval(rows, "g", "k", "x", "y")
+    picks = [n for n in told._jdf.queryExecution().executedPlan().toString().split("\n") if "[g" in n and "at" in n and "Join" in n]
+    assert picks and all("SortMergeJoin" in n for n in picks)
+    assert [(r.g, r.r, r.low, r.high) for r in told.orderBy("g").collect()] == [(0, 1.0, 1.0, 1.0), (1, 1.0, 1.0, 1.0)]
