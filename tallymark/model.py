@@ -29,10 +29,20 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+# Rows of one task where a table is dealt by campaign.
+TASK_ROWS = 500_000
+
+
+def dealt(table: DataFrame, key: str) -> DataFrame:
+    """``table`` hashed by ``key`` over more tasks than the session's where these would hold over TASK_ROWS rows each."""
+    tasks = -(-table.count() // TASK_ROWS)
+    return table.repartition(tasks, key) if tasks > int(table.sparkSession.conf.get("spark.sql.shuffle.partitions")) else table
+
+
 def line_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each supplier's line items as a campaign: price is the objective, returned items are failures."""
     order = Window.partitionBy("l_suppkey").orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice")
-    lines = read(spark, sf_dir, "lineitem")
+    lines = dealt(read(spark, sf_dir, "lineitem"), "l_suppkey")
     return lines.select(
         F.col("l_suppkey").alias("campaign_id"),
         (F.row_number().over(order) - 1).cast("long").alias("iteration"),
@@ -48,7 +58,7 @@ def line_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
 def event_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each user's events in time order as a campaign: error events are failures."""
     order = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    events = read(spark, sf_dir, "events")
+    events = dealt(read(spark, sf_dir, "events"), "user_id")
     return events.select(
         F.col("user_id").alias("campaign_id"),
         (F.row_number().over(order) - 1).cast("long").alias("iteration"),

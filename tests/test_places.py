@@ -8,6 +8,7 @@ import statistics
 import pytest
 from pyspark.sql import functions as F
 
+from tallymark import model
 from tallymark.operators import compare, manage, prefer, windows
 
 
@@ -80,3 +81,11 @@ def test_no_resample_goes_through_the_driver(spark):
     picks = [n for n in told._jdf.queryExecution().executedPlan().toString().split("\n") if "[g" in n and "at" in n and "Join" in n]
     assert picks and all("SortMergeJoin" in n for n in picks)
     assert [(r.g, r.r, r.low, r.high) for r in told.orderBy("g").collect()] == [(0, 1.0, 1.0, 1.0), (1, 1.0, 1.0, 1.0)]
+
+
+def test_tables_by_campaign_use_more_tasks_when_they_are_large(spark, monkeypatch):
+    whole = model.line_observations(spark, "/root/testdata/sf0.001")
+    monkeypatch.setattr(model, "TASK_ROWS", 500)
+    told = model.line_observations(spark, "/root/testdata/sf0.001")
+    assert told.rdd.getNumPartitions() == -(-whole.count() // 500)
+    assert told.exceptAll(whole).count() == whole.exceptAll(told).count() == 0
