@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,6 +24,9 @@ LEAF = 2
 SEED = 42
 MOST_TIMES = 8
 NODE_BITS = 20
+# Rows of a campaign that grows whole, and of all campaigns that one task grows at a time.
+MOST_ROWS = 20_000
+BLOCK_ROWS = 40_000
 
 
 def _bin(spec: Spec, bins: int, x: Column) -> Column:
@@ -48,19 +55,116 @@ def tried(tree: Column, node: Column, feature: int, features: int, seed: int = S
     return ahead < max(1, math.isqrt(features))
 
 
-def grow(obs: DataFrame, specs: tuple[Spec, ...], trees: int = TREES, depth: int = DEPTH, bins: int = BINS, leaf: int = LEAF, seed: int = SEED) -> tuple[DataFrame, DataFrame]:
+def _choices(trees: int, depth: int, features: int, seed: int) -> np.ndarray:
+    """For every tree and node of ``depth`` levels whether it tries a parameter: what ``tried`` says, without rows."""
+
+    def draw(tree: int, node: int, f: int) -> float:
+        return (int(hashlib.md5(f"{seed}:{tree}:{node}:{f}".encode()).hexdigest()[:13], 16) + 0.5) / 2.0**52
+
+    out = np.zeros((trees, 2**depth, features), dtype=bool)
+    for t in range(trees):
+        for node in range(2**depth - 1):
+            draws = [draw(t, node, f) for f in range(features)]
+            out[t, node] = [sum(x < own for x in draws) < max(1, math.isqrt(features)) for own in draws]
+    return out
+
+
+def _grow_blocks(rows: DataFrame, groups: Column, n: int, trees: int, depth: int, bins: int, leaf: int, seed: int) -> DataFrame:
+    """Splits and leaves of campaigns whose sums are whole numbers below 2 ** 53 in ten thousandths, many campaigns to a task's block.
+
+    All trees of a block's campaigns grow a level at a time, as counts over campaign, tree, node, parameter and step.  The sums are exact, so the
+    cuts are those of ``_grow_levels``.
+    """
+    chosen = _choices(trees, depth, n, seed)
+
+    def grown(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        flat = lambda name, width: pc.list_flatten(table[name]).to_numpy().reshape(-1, width)
+        steps, times, y = flat("steps", n), flat("times", trees), table["units"].to_numpy().astype(float)
+        names = table["campaign_id"].combine_chunks().dictionary_encode(null_encoding="encode")
+        if isinstance(names, pa.ChunkedArray):
+            names = names.combine_chunks()
+        who, count = names.indices.to_numpy(), len(names.dictionary)
+        row, tree = np.nonzero(times)
+        drawn, y, steps = times[row, tree].astype(float), y[row], steps[row]
+        line, node = who[row].astype(np.int64) * trees + tree, np.zeros(len(row), dtype=np.int64)
+        found = []
+        for level in range(depth):
+            first = 2**level - 1
+            live = np.flatnonzero(node >= first)
+            key, place = np.unique(line[live] * 2**depth + node[live], return_inverse=True)
+            best = np.zeros(len(key))
+            feature, cut = np.full(len(key), -1), np.zeros(len(key), dtype=np.int64)
+            tries = chosen[key // 2**depth % trees, key % 2**depth]
+            for f in range(n):
+                # Nodes that try the parameter, numbered; ties go to the first parameter and the lowest step.
+                nodes = np.flatnonzero(tries[:, f])
+                number = np.full(len(key), -1)
+                number[nodes] = np.arange(len(nodes))
+                ours = number[place] >= 0
+                at = number[place[ours]] * bins + steps[live[ours], f]
+                k = drawn[live[ours]]
+                cells = np.bincount(at, k, len(nodes) * bins).reshape(-1, bins)
+                sums = np.bincount(at, k * y[live[ours]], len(nodes) * bins).reshape(-1, bins)
+                nl, sl = cells.cumsum(axis=1), sums.cumsum(axis=1)
+                nn, ss = nl[:, -1:], sl[:, -1:]
+                held = (cells > 0) & (nl >= leaf) & (nn - nl >= leaf) & (nn > leaf)
+                left, right, both = sl / 10000, (ss - sl) / 10000, ss / 10000
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    gain = np.where(held, left * left / nl + right * right / (nn - nl) - both * both / nn, -np.inf)
+                top = gain.argmax(axis=1) if len(nodes) else np.empty(0, dtype=int)
+                most = gain[np.arange(len(nodes)), top]
+                better = most > best[nodes]
+                best[nodes[better]], feature[nodes[better]], cut[nodes[better]] = most[better], f, top[better]
+            split = feature >= 0
+            found.append((key[split] // 2**depth, key[split] % 2**depth, feature[split], cut[split], best[split]))
+            own, moving = place, split[place]
+            goes = steps[live, np.maximum(feature[own], 0)] <= cut[own]
+            node[live] = np.where(moving, 2 * node[live] + np.where(goes, 1, 2), node[live])
+            # Nodes of this level that do not split keep their number, which is below the next level's.
+        ends, place = np.unique(line * 2 ** (depth + 1) + node, return_inverse=True)
+        total = np.bincount(place, drawn, len(ends))
+        mean = np.bincount(place, drawn * y, len(ends)) / 10000 / np.maximum(total, 1)
+        parts = [np.concatenate([p[i] for p in found]) for i in range(5)]
+        whose = np.concatenate([parts[0], ends // 2 ** (depth + 1)])
+        some, rest = len(parts[0]), len(ends)
+        holes = lambda values, front: pa.array(np.concatenate([np.zeros(some, values.dtype), values] if front else [values, np.zeros(rest, values.dtype)]), mask=np.repeat([front, not front], [some, rest]))
+        made = [names.dictionary.take(pa.array(whose // trees)), pa.array((whose % trees).astype(np.int32)), pa.array(np.concatenate([parts[1], ends % 2 ** (depth + 1)]).astype(np.int32))]
+        made += [holes(parts[2].astype(np.int32), False), holes(parts[3].astype(np.int32), False), holes(parts[4], False), holes(total.astype(np.int64), True), holes(mean, True)]
+        return pa.Table.from_arrays(made, ["campaign_id", "tree", "node", "feature", "cut", "gain", "n", "mean"])
+
+    schema = f"campaign_id {rows.schema['campaign_id'].dataType.simpleString()}, tree int, node int, feature int, cut int, gain double, n bigint, mean double"
+    return rows.select("campaign_id", "steps", "times", (F.col("y") * 10000).cast("long").alias("units"), groups.alias("block_")).groupBy("block_").applyInArrow(grown, schema)
+
+
+def grow(obs: DataFrame, specs: tuple[Spec, ...], trees: int = TREES, depth: int = DEPTH, bins: int = BINS, leaf: int = LEAF, seed: int = SEED, most: int = MOST_ROWS) -> tuple[DataFrame, DataFrame]:
     """The splits (campaign_id, tree, node, feature, cut, gain) and the leaves (campaign_id, tree, node, n, mean) of each campaign's forest.
 
-    Successes with all parameters and an objective teach.  Parameters count by ``bins`` equal steps of their range.  Each level
-    adds up, for every node of every tree, the drawn rows and their objectives by parameter and step: sums that are partly made before the
-    shuffle, of a size that the bins bound, whatever a campaign's size; no campaign comes into one task.  A node splits where the squares of the sides' sums over
-    their counts are largest, if both sides hold ``leaf`` rows; node k has the children 2k + 1 (steps up to the cut) and 2k + 2.
-    Objectives are added as decimals of four digits, so results do not depend on the order of rows.
+    Successes with all parameters and an objective teach.  Parameters count by ``bins`` equal steps of their range.  A node splits where the squares of
+    the sides' sums over their counts are largest, if both sides hold ``leaf`` rows; node k has the children 2k + 1 (steps up to the cut) and 2k + 2.
+    Objectives are added as decimals of four digits, so results do not depend on the order of rows.  Campaigns of up to ``most`` rows and of sums that
+    doubles hold exactly grow whole, many to a block; larger ones level by level over all tasks, to the same result.
     """
     n = len(specs)
     taught = obs.where("NOT is_failure").dropna(subset=["kpi", *(s.name for s in specs)])
     weights = F.array(*(times(F.lit(t), F.col("campaign_id"), F.col("iteration"), seed=seed) for t in range(trees)))
     rows = taught.select("campaign_id", F.col("kpi").cast("decimal(18,4)").alias("y"), F.array(*(_bin(s, bins, F.col(s.name)) for s in specs)).alias("steps"), weights.alias("times"))
+    facts = rows.groupBy("campaign_id").agg(F.count("*").alias("n_"), F.sum(F.abs("y").cast("double")).alias("size_"))
+    small = (F.col("n_") <= most) & (F.col("size_") * MOST_TIMES < 2.0**52 / 10000)
+    rows = keep(rows.join(facts.select("campaign_id", small.alias("small")), "campaign_id", "left").fillna(False, ["small"]), "forest-rows")
+    blocks = max(1, -(-rows.where("small").count() // BLOCK_ROWS))
+    whole = keep(_grow_blocks(rows.where("small"), F.pmod(F.xxhash64("campaign_id"), F.lit(blocks)), n, trees, depth, bins, leaf, seed), "forest-grown")
+    splits, leaves = whole.where("feature IS NOT NULL").select("campaign_id", "tree", "node", "feature", "cut", "gain"), whole.where("n IS NOT NULL").select("campaign_id", "tree", "node", "n", "mean")
+    if rows.where("NOT small").isEmpty():
+        return splits, leaves
+    more, ends = _grow_levels(rows.where("NOT small").drop("small"), n, trees, depth, leaf, seed)
+    return splits.unionByName(more.select(*(F.col(f.name).cast(f.dataType) for f in splits.schema))), leaves.unionByName(ends.select(*(F.col(f.name).cast(f.dataType) for f in leaves.schema)))
+
+
+def _grow_levels(rows: DataFrame, n: int, trees: int, depth: int, leaf: int, seed: int) -> tuple[DataFrame, DataFrame]:
+    """Forests of campaigns of any size.  Each level adds up, for every node of every tree, the drawn rows and their objectives by parameter and
+    step: sums that are partly made before the shuffle, of a size that the bins bound; no campaign comes into one task.
+    """
     rows = keep(rows.withColumn("nodes", F.array_repeat(F.lit(0), trees)), "forest-rows")
     splits, key = None, ["campaign_id", "tree", "node"]
     for level in range(depth):

@@ -170,6 +170,14 @@ def test_forest_against_every_cut(spark):
         assert r.mu == pytest.approx(np.mean(said)) and r.sigma == pytest.approx(max(np.std(said, ddof=1), 1e-6))
 
 
+def test_forests_in_blocks_are_those_by_levels(spark):
+    rng = random.Random(12)
+    rows = [(c, i, rng.uniform(-1, 11), rng.choice([-1.0, 0.0, 0.3, 1.0]), round(rng.gauss(0, 50) * 10 ** (c % 3), 3), rng.random() < 0.2) for c, size in ((1, 90), (2, 40), (3, 5), (4, 1)) for i in range(size)]
+    obs = spark.createDataFrame(rows, TRIALS)
+    told = [[sorted(map(tuple, part.collect())) for part in forest.grow(obs, SPECS, trees=4, depth=3, bins=16, most=most)] for most in (10**6, 0, 30)]
+    assert told[0] == told[1] == told[2] and len(told[0][0]) > 20
+
+
 def test_forest_suggests_where_it_is_good(spark):
     rng = random.Random(10)
     rows = [(1, i, x := rng.uniform(0, 10), rng.uniform(-1, 1), (x - 3) ** 2, False) for i in range(200)] + [(2, i, 1.0, 0.0, 1.0, i > 1) for i in range(5)]
