@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import hashlib
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.numeric import norm_cdf, norm_pdf, tidy
 from ..model import Spec
@@ -27,6 +29,7 @@ NODE_BITS = 20
 # Rows of a campaign that grows whole, and of all campaigns that one task grows at a time.
 MOST_ROWS = 20_000
 BLOCK_ROWS = 40_000
+PACK = 1000
 
 
 def _bin(spec: Spec, bins: int, x: Column) -> Column:
@@ -44,7 +47,10 @@ def chances() -> list[float]:
 
 def times(tree: Column, *key: Column, seed: int = SEED) -> Column:
     """How often a tree draws a row: a Poisson number that depends on the tree and the row alone."""
-    u = unit(F.lit(seed), tree, *key)
+    return _count(unit(F.lit(seed), tree, *key))
+
+
+def _count(u: Column) -> Column:
     return sum((F.when(u > c, 1).otherwise(0) for c in chances()), F.lit(0))
 
 
@@ -77,10 +83,17 @@ def _grow_blocks(rows: DataFrame, groups: Column, n: int, trees: int, depth: int
     """
     chosen = _choices(trees, depth, n, seed)
 
+    def drawn_times(keys: list[str]) -> np.ndarray:
+        # What ``times`` says; 52 bits are the first of a digest's 8 bytes but 12.
+        md5, heads = hashlib.md5, [f"{seed}:{t}:".encode() for t in range(trees)]
+        digests = b"".join(md5(head + key).digest() for key in map(str.encode, keys) for head in heads)
+        first = np.frombuffer(digests, dtype=">u8")[::2] >> np.uint64(12)
+        return np.searchsorted(chances(), (first.astype(float) + 0.5) / 2.0**52, side="left").reshape(-1, trees)
+
     def grown(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
         flat = lambda name, width: pc.list_flatten(table[name]).to_numpy().reshape(-1, width)
-        steps, times, y = flat("steps", n), flat("times", trees), table["units"].to_numpy().astype(float)
+        steps, times, y = flat("steps", n), drawn_times(table["name"].to_pylist()), table["units"].to_numpy().astype(float)
         names = table["campaign_id"].combine_chunks().dictionary_encode(null_encoding="encode")
         if isinstance(names, pa.ChunkedArray):
             names = names.combine_chunks()
@@ -134,7 +147,7 @@ def _grow_blocks(rows: DataFrame, groups: Column, n: int, trees: int, depth: int
         return pa.Table.from_arrays(made, ["campaign_id", "tree", "node", "feature", "cut", "gain", "n", "mean"])
 
     schema = f"campaign_id {rows.schema['campaign_id'].dataType.simpleString()}, tree int, node int, feature int, cut int, gain double, n bigint, mean double"
-    return rows.select("campaign_id", "steps", "times", (F.col("y") * 10000).cast("long").alias("units"), groups.alias("block_")).groupBy("block_").applyInArrow(grown, schema)
+    return rows.select("campaign_id", "steps", "name", (F.col("y") * 10000).cast("long").alias("units"), groups.alias("block_")).groupBy("block_").applyInArrow(grown, schema)
 
 
 def grow(obs: DataFrame, specs: tuple[Spec, ...], trees: int = TREES, depth: int = DEPTH, bins: int = BINS, leaf: int = LEAF, seed: int = SEED, most: int = MOST_ROWS) -> tuple[DataFrame, DataFrame]:
@@ -147,8 +160,9 @@ def grow(obs: DataFrame, specs: tuple[Spec, ...], trees: int = TREES, depth: int
     """
     n = len(specs)
     taught = obs.where("NOT is_failure").dropna(subset=["kpi", *(s.name for s in specs)])
-    weights = F.array(*(times(F.lit(t), F.col("campaign_id"), F.col("iteration"), seed=seed) for t in range(trees)))
-    rows = taught.select("campaign_id", F.col("kpi").cast("decimal(18,4)").alias("y"), F.array(*(_bin(s, bins, F.col(s.name)) for s in specs)).alias("steps"), weights.alias("times"))
+    # What ``unit`` hashes behind the seed and the tree.
+    name = F.concat_ws(":", F.col("campaign_id").cast("string"), F.col("iteration").cast("string"))
+    rows = taught.select("campaign_id", name.alias("name"), F.col("kpi").cast("decimal(18,4)").alias("y"), F.array(*(_bin(s, bins, F.col(s.name)) for s in specs)).alias("steps"))
     facts = rows.groupBy("campaign_id").agg(F.count("*").alias("n_"), F.sum(F.abs("y").cast("double")).alias("size_"))
     small = (F.col("n_") <= most) & (F.col("size_") * MOST_TIMES < 2.0**52 / 10000)
     rows = keep(rows.join(facts.select("campaign_id", small.alias("small")), "campaign_id", "left").fillna(False, ["small"]), "forest-rows")
@@ -157,7 +171,9 @@ def grow(obs: DataFrame, specs: tuple[Spec, ...], trees: int = TREES, depth: int
     splits, leaves = whole.where("feature IS NOT NULL").select("campaign_id", "tree", "node", "feature", "cut", "gain"), whole.where("n IS NOT NULL").select("campaign_id", "tree", "node", "n", "mean")
     if rows.where("NOT small").isEmpty():
         return splits, leaves
-    more, ends = _grow_levels(rows.where("NOT small").drop("small"), n, trees, depth, leaf, seed)
+    # The numbers are made before they are compared: written out they would be hashed anew for each comparison.
+    weights = F.transform(F.array(*(unit(F.lit(seed), F.lit(t), F.col("name")) for t in range(trees))), _count)
+    more, ends = _grow_levels(rows.where("NOT small").select("campaign_id", "y", "steps", weights.alias("times")), n, trees, depth, leaf, seed)
     return splits.unionByName(more.select(*(F.col(f.name).cast(f.dataType) for f in splits.schema))), leaves.unionByName(ends.select(*(F.col(f.name).cast(f.dataType) for f in leaves.schema)))
 
 
@@ -212,21 +228,48 @@ def _child(known: Column, tree: Column, node: Column, steps: Column) -> Column:
 def predict(rows: DataFrame, splits: DataFrame, leaves: DataFrame, specs: tuple[Spec, ...], trees: int = TREES, depth: int = DEPTH, bins: int = BINS) -> DataFrame:
     """``rows`` with mu and sigma: the mean of the trees of a row's campaign and their deviation (n - 1).
 
-    A forest goes to its campaign's rows as one map, of at most 2 ** (depth + 1) nodes a tree.  A tree that drew no row says nothing.
+    Rows fall in packs of one campaign, ``PACK`` at most, which meet its forest once: at most 2 ** (depth + 1) nodes a tree.  A tree that drew no row says nothing.
     """
-    splitting = splits.groupBy("campaign_id").agg(_mapped(F.struct("feature", "cut")).alias("known"))
-    ending = leaves.groupBy("campaign_id").agg(_mapped(F.col("mean")).alias("means"))
-    both = rows.join(ending, "campaign_id").join(splitting, "campaign_id", "left")
-    both = both.withColumn("steps", F.array(*(_bin(s, bins, F.col(s.name)) for s in specs)))
-    fallen = lambda t: F.aggregate(F.sequence(F.lit(1), F.lit(depth)), F.lit(0), lambda node, _: _child(F.col("known"), t, node, F.col("steps")))
-    both = both.withColumn("nodes", F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), fallen))
-    said = F.filter(F.transform("nodes", lambda node, t: F.try_element_at("means", _place(t, node))), lambda x: x.isNotNull())
-    both = both.withColumn("said", said).where(F.size("said") > 0)
-    mu = F.aggregate("said", F.lit(0.0), lambda a, x: a + x) / F.size("said")
-    both = both.withColumn("mu", mu)
-    spread = F.aggregate("said", F.lit(0.0), lambda a, x: a + (x - F.col("mu")) * (x - F.col("mu")))
-    both = both.withColumn("sigma", F.sqrt(F.greatest(spread / F.greatest(F.size("said") - 1, F.lit(1)), F.lit(1e-12))))
-    return both.drop("known", "means", "steps", "nodes", "said")
+    size = 2 ** (depth + 1)
+    place = (F.col("tree") * size + F.col("node")).alias("at")
+    splitting = splits.groupBy("campaign_id").agg(F.collect_list(F.struct(place, F.col("feature").cast("int").alias("feature"), F.col("cut").cast("int").alias("cut"))).alias("s"))
+    ending = leaves.groupBy("campaign_id").agg(F.collect_list(F.struct(place, "mean")).alias("e"))
+    forest = ending.join(splitting, "campaign_id", "left").select("campaign_id", F.col("e.at").alias("e_at"), "e.mean", *(F.coalesce(F.col(f"s.{c}"), F.array().cast("array<int>")).alias(f"s_{c}") for c in ("at", "feature", "cut")))
+    steps = F.array(*(_bin(s, bins, F.col(s.name)) for s in specs))
+    packs = rows.select("campaign_id", F.floor(F.monotonically_increasing_id() / PACK).alias("pack_"), F.struct(*rows.columns).alias("row"), steps.alias("steps"))
+    packs = packs.groupBy("campaign_id", "pack_").agg(F.collect_list(F.struct("row", "steps")).alias("p")).select("campaign_id", F.col("p.row").alias("rows"), F.flatten("p.steps").alias("steps"))
+
+    def fall(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            c = {n: batch.column(n) for n in batch.schema.names}
+            told = []
+            for i in range(len(batch)):
+                steps, e_at, mean, s_at, s_feature, s_cut = (c[n][i].values.to_numpy(zero_copy_only=False) for n in ("steps", "e_at", "mean", "s_at", "s_feature", "s_cut"))
+                steps = steps.reshape(-1, len(specs))
+                feature, cut, said = np.full(trees * size, -1), np.zeros(trees * size), np.full(trees * size, np.nan)
+                feature[s_at], cut[s_at], said[e_at] = s_feature, s_cut, mean
+                node, base, every = np.zeros((len(steps), trees), dtype=int), np.arange(trees) * size, np.arange(len(steps))[:, None]
+                for _ in range(depth):
+                    own = base + node
+                    up = steps[every, np.maximum(feature[own], 0)] <= cut[own]
+                    node = np.where(feature[own] >= 0, 2 * node + np.where(up, 1, 2), node)
+                says = said[base + node]
+                held = ~np.isnan(says)
+                n, total, spread = held.sum(axis=1), np.zeros(len(says)), np.zeros(len(says))
+                for t in range(trees):
+                    total += np.where(held[:, t], says[:, t], 0.0)
+                mu = total / np.maximum(n, 1)
+                for t in range(trees):
+                    spread += np.where(held[:, t], (says[:, t] - mu) ** 2, 0.0)
+                told.append((mu, np.sqrt(np.maximum(spread / np.maximum(n - 1, 1), 1e-12)), n.astype(np.int32)))
+            ends = pa.array(np.concatenate([[0], np.cumsum([len(t[0]) for t in told])]).astype(np.int32))
+            more = [pa.ListArray.from_arrays(ends, pa.array(np.concatenate([t[j] for t in told]))) for j in range(3)]
+            yield pa.RecordBatch.from_arrays([c["rows"], *more], ["rows", "mu", "sigma", "n"])
+
+    schema = T.StructType([T.StructField("rows", packs.schema["rows"].dataType), T.StructField("mu", T.ArrayType(T.DoubleType())), T.StructField("sigma", T.ArrayType(T.DoubleType())), T.StructField("n", T.ArrayType(T.IntegerType()))])
+    told = packs.join(forest, "campaign_id").mapInArrow(fall, schema)
+    told = told.select(F.inline(F.arrays_zip("rows", "mu", "sigma", "n"))).where("n > 0")
+    return told.select("rows.*", "mu", "sigma")
 
 
 def suggest(obs: DataFrame, specs: tuple[Spec, ...], n: int = 3, maximize: bool = False, trees: int = TREES, depth: int = DEPTH, seed: int = SEED) -> DataFrame:
