@@ -113,3 +113,10 @@ def test_entropy_changes(spark):
 def test_residual_outliers(spark):
     rows = spark.createDataFrame([(0, 1.0, 0.0, 0.2), (1, 1.0, 0.9, 0.2), (2, 1.0, 5.0, 0.0), (3, None, 5.0, 0.1), (4, -1.0, 0.0, 0.25)], "id int, y double, mu double, sigma double")
     assert {(r.id, r.residual) for r in process.residual_outliers(rows, "y", "mu", "sigma").collect()} == {(0, 5.0), (4, 4.0)}
+
+
+@pytest.mark.parametrize("n", [1, 64, 65, 300])
+def test_inverse_by_halves(n):
+    lower = np.linalg.cholesky(process.Kernel("matern52", 0.5).between(x := np.random.default_rng(n).random((n, 3)), x) + 0.1 * np.eye(n))
+    told = process.lower_inverse(lower)
+    assert np.abs(told @ lower - np.eye(n)).max() < 1e-10 and (np.triu(told, 1) == 0).all()
