@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import safe_corr, tidy
+from ..model import TASK_ROWS
 from ..sources.tables import keep
 from .pareto import front
 
@@ -71,6 +72,10 @@ def hypervolume_shares(table: DataFrame, a: str, b: str, group: str, key: str) -
     return rows.withColumn("rank", F.row_number().over(Window.partitionBy(group).orderBy(F.desc("share"), key)).cast("int"))
 
 
+# The most that a normal number drawn from two of ``unit`` differs from 0, sqrt(106 ln 2), and a little more.
+REACH = 8.58
+
+
 def unit(*parts: Column) -> Column:
     """A number in (0, 1) that only depends on its arguments: 52 bits of their MD5."""
     text = F.concat_ws(":", *(p.cast("string") for p in parts))
@@ -101,19 +106,31 @@ def hypervolume_sampled(table: DataFrame, objectives: list[str], reference: list
 def top_k_stability(table: DataFrame, group: str, name: str, value: str, k: int = 5, draws: int = 40) -> DataFrame:
     """How often each item stays among the ``k`` highest, and first, when values carry noise of their standard error.
 
-    Of a draw's copies only the ``k`` highest of each task and group leave the task.
+    A draw moves a value by under REACH times the noise, so an item further than twice that below its group's ``k``-th highest is in no
+    draw's ``k``, and only the others are drawn.  No task orders over TASK_ROWS items or draws, and only the ``k`` highest of each draw and group leave it.
     """
     facts = table.groupBy(F.col(group).alias("group_")).agg((F.stddev_samp(value) / F.sqrt(F.count("*"))).alias("spread"))
-    rows = table.join(facts, F.col(group).eqNullSafe(F.col("group_"))).select(group, name, value, F.when(F.col("spread") > 1e-15, F.col("spread")).otherwise(1e-6).alias("noise"))
-    real = rows.withColumn("real", F.row_number().over(Window.partitionBy(group).orderBy(F.desc(value), name))).where(F.col("real") <= k)
-    drawn = rows.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws))))
+    facts = facts.select("group_", F.when(F.col("spread") > 1e-15, F.col("spread")).otherwise(1e-6).alias("noise"))
+    items = table.select(group, name, value).repartition(max(1, -(-table.count() // TASK_ROWS)), group, name)
+    order = Window.partitionBy(group).orderBy(F.desc(value), name)
+    real = keep(items.withColumn("real", F.row_number().over(order)).where(F.col("real") <= k), "highest")
+    last = real.where(F.col("real") == k).select(F.col(group).alias("group_"), F.col(value).cast("double").alias("last"))
+    facts = facts.join(last, facts["group_"].eqNullSafe(last["group_"]), "left").select(facts["group_"], "noise", "last")
+    # A little lower than what the reach leaves, for rounding.  Without a floor (fewer items, nulls, NaN) all are drawn.
+    floor = F.col("last") - 2 * REACH * F.col("noise") - 1e-14 * F.abs("last")
+    near = items.join(facts, F.col(group).eqNullSafe(F.col("group_"))).where(floor.isNull() | F.isnan(floor) | (F.col(value) >= floor))
+    near = keep(near.select(group, name, value, "noise"), "near-highest")
+    near = near.repartition(max(1, -(-near.count() * draws // TASK_ROWS)), group, name)
+    drawn = near.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws))))
     gauss = F.sqrt(-2 * F.ln(unit(F.col(name), F.col("draw"), F.lit("a")))) * F.cos(2 * math.pi * unit(F.col(name), F.col("draw"), F.lit("b")))
     shaken = drawn.select(group, name, "draw", (F.col(value) + F.col("noise") * gauss).alias("shaken"))
     placed = shaken.withColumn("place", F.row_number().over(Window.partitionBy(group, "draw").orderBy(F.desc("shaken"), name))).where(F.col("place") <= k)
-    counts = lambda rows, top, first, real: rows.select(group, name, top.alias("top"), first.alias("first"), F.lit(real).alias("real"))
-    every = counts(rows, F.lit(0), F.lit(0), 0).unionAll(counts(real, F.lit(0), F.lit(0), 1)).unionAll(counts(placed, F.lit(1), (F.col("place") == 1).cast("int"), 0))
-    found = every.groupBy(group, name).agg(F.sum("top").alias("n_top"), F.sum("first").alias("n_first"), (F.max("real") > 0).alias("in_top"))
-    return found.select(group, name, "in_top", tidy(F.col("n_top") / draws).alias("frequency"), tidy(F.col("n_first") / draws).alias("first_frequency"))
+    counts = lambda rows, top, first, real: rows.select(F.col(group).alias("group_"), F.col(name).alias("name_"), top.alias("top"), first.alias("first"), F.lit(real).alias("real"))
+    every = counts(real, F.lit(0), F.lit(0), 1).unionAll(counts(placed, F.lit(1), (F.col("place") == 1).cast("int"), 0))
+    found = every.groupBy("group_", "name_").agg(F.sum("top").alias("n_top"), F.sum("first").alias("n_first"), (F.max("real") > 0).alias("in_top"))
+    own = items.select(group, name).distinct().join(found, F.col(group).eqNullSafe(F.col("group_")) & F.col(name).eqNullSafe(F.col("name_")), "left")
+    share = lambda n: tidy(F.coalesce(F.col(n), F.lit(0)) / draws)
+    return own.select(group, name, F.coalesce("in_top", F.lit(False)).alias("in_top"), share("n_top").alias("frequency"), share("n_first").alias("first_frequency"))
 
 
 def correlation_interval(table: DataFrame, group: str, key: str, x: str, y: str, draws: int = 40) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tallymark import model
 from tallymark.operators import compare, manage, prefer, windows
+from tallymark.sources import tables
 
 
 def sign(v):
@@ -75,6 +76,27 @@ def test_top_k_stability(spark):
         assert all(got[r[1]].frequency == 0 for r in held if r[2] < min(x[2] for x in held if x[1] in best) - 8 * noise)
 
 
+def test_top_k_stability_draws_only_what_can_rise(spark, monkeypatch):
+    """The draws ordered follow the items near the top, and all that are left out have none; the same in small tasks."""
+    values = [("g", f"n{i}", float(i)) for i in range(3000)] + [("g", "none", None), ("few", "a", 2.0), ("few", "b", None), ("odd", "x", float("nan")), ("odd", "y", 1.0)]
+    table = spark.createDataFrame(values, "g string, name string, v double")
+    sizes = []
+    for most in (prefer.TASK_ROWS, 1000):
+        monkeypatch.setattr(prefer, "TASK_ROWS", most)
+        written = []
+        monkeypatch.setattr(prefer, "keep", lambda t, what: written.append((what, tables.keep(t, what))) or written[-1][1])
+        told = {r.name: r for r in prefer.top_k_stability(table, "g", "name", "v", 5, 40).collect()}
+        sizes.append({(r.name, r.in_top, r.frequency, r.first_frequency) for r in told.values()})
+        assert dict(written)["near-highest"].count() < 600
+    assert sizes[0] == sizes[1] and len(told) == len(values)
+    noise = statistics.stdev(range(3000)) / 3001**0.5
+    gauss = lambda c: "sqrt(-2 * ln({0})) * cos(2 * pi() * {1})".format(*(f"(cast(conv(substring(md5(concat_ws(':', name, draw, '{x}')), 1, 13), 16, 10) AS double) + 0.5) / 4503599627370496D" for x in c))
+    table.where("g = 'g'").selectExpr("name", "v", "explode(sequence(1, 40)) AS draw").createOrReplaceTempView("drawn")
+    plain = spark.sql(f"SELECT name, count(*) AS n FROM (SELECT name, row_number() OVER (PARTITION BY draw ORDER BY v + {noise!r} * {gauss('ab')} DESC, name) AS place FROM drawn) WHERE place <= 5 GROUP BY 1")
+    assert {r.name: r.n / 40 for r in plain.collect()} == {n: pytest.approx(r.frequency) for n, r in told.items() if r.g == "g" and r.frequency}
+    assert [told[n].frequency for n in ("a", "b", "x", "y", "none")] == [1.0, 1.0, 1.0, 1.0, 0.0]
+
+
 def test_no_resample_goes_through_the_driver(spark):
     rows = spark.range(2000).select((F.col("id") % 2).cast("int").alias("g"), F.col("id").alias("k"), F.col("id").cast("double").alias("x"), (F.col("id") * 2.0).alias("y"))
     told = prefer.correlation_interval(rows, "g", "k", "x", "y")
