@@ -6,10 +6,14 @@ and ends when nothing is.  A round's rows are written in the shared folder, so p
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from itertools import combinations
+from math import comb
 from statistics import NormalDist
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numeric import safe_corr, tidy
@@ -99,33 +103,80 @@ def adjustment_sets(links: DataFrame, pairs: DataFrame) -> DataFrame:
 
 
 def correlations(table: DataFrame, group: str, names: list[str]) -> DataFrame:
-    """group, a, b (positions in ``names``, both ways), r and n: one aggregation over the rows that hold all variables."""
+    """group, n and r, the correlations of every two of ``names`` in the order of their pairs: one aggregation over the rows that hold all variables."""
     rows = table.select(group, *names).dropna(subset=names)
-    pairs = list(combinations(range(len(names)), 2))
-    one = rows.groupBy(group).agg(F.count("*").alias("n"), *(safe_corr(F.col(names[a]), F.col(names[b])).alias(f"r{a}_{b}") for a, b in pairs))
-    both = F.array(*(F.struct(F.lit(i).alias("a"), F.lit(j).alias("b"), F.col(f"r{a}_{b}").alias("r")) for a, b in pairs for i, j in ((a, b), (b, a))))
-    return one.select(group, "n", F.inline(both))
+    pairs = combinations(names, 2)
+    return rows.groupBy(group).agg(F.count("*").alias("n"), F.array(*(safe_corr(F.col(a), F.col(b)) for a, b in pairs), F.lit(0.0)).alias("r"))
 
 
-def partial_correlations(flat: DataFrame, group: str) -> DataFrame:
-    """The correlations of ``flat`` (group, n, s, a, b, r) given one variable more: s grows by each variable beyond its last.
+def _independent(r: np.ndarray, n: np.ndarray, given: int, level: float) -> np.ndarray:
+    """Whether Fisher's z of a partial correlation stays within what ``level`` allows."""
+    held = np.where(np.isnan(r), 0.9999, np.clip(r, -0.9999, 0.9999))
+    z = np.abs(0.5 * np.log((1 + held) / (1 - held))) * np.sqrt(np.maximum(n - given - 3, 0))
+    return z < NormalDist().inv_cdf(1 - level / 2)
 
-    Of three lines of one set, r(ab|sc) = (r(ab|s) - r(ac|s) r(bc|s)) / sqrt((1 - r(ac|s)^2) (1 - r(bc|s)^2)).
-    """
-    to = lambda x, y: flat.select(group, "s", F.col("a").alias(x), F.col("b").alias(y), F.col("r").alias(f"r_{x}{y}"))
-    three = flat.join(to("a", "c"), [group, "s", "a"]).join(to("b", "c"), [group, "s", "b", "c"])
-    last = F.when(F.size("s") > 0, F.element_at("s", -1)).otherwise(F.lit(-1))
-    three = three.where((F.col("c") > last) & (F.col("c") != F.col("a")) & (F.col("c") != F.col("b")))
-    base = (1 - F.col("r_ac") * F.col("r_ac")) * (1 - F.col("r_bc") * F.col("r_bc"))
-    r = F.when(base > 1e-12, (F.col("r") - F.col("r_ac") * F.col("r_bc")) / F.sqrt(base)).otherwise(F.lit(0.0))
-    return three.select(group, "n", F.concat("s", F.array("c")).alias("s"), "a", "b", r.alias("r"))
 
+def _given_one_more(ab: np.ndarray, ac: np.ndarray, bc: np.ndarray) -> np.ndarray:
+    """r(ab|sc) = (r(ab|s) - r(ac|s) r(bc|s)) / sqrt((1 - r(ac|s)^2) (1 - r(bc|s)^2))."""
+    base = (1 - ac * ac) * (1 - bc * bc)
+    return np.where(base <= 1e-12, 0.0, (ab - ac * bc) / np.sqrt(np.where(base <= 1e-12, 1.0, base)))
 
-def independent(r: Column, n: Column, given: Column, level: float) -> Column:
-    """Whether Fisher's z of a partial correlation stays within what ``level`` allows."""
-    held = F.least(F.greatest(r, F.lit(-0.9999)), F.lit(0.9999))
-    z = F.abs(0.5 * F.ln((1 + held) / (1 - held))) * F.sqrt(F.greatest(n - given - 3, F.lit(0)))
-    return z < F.lit(NormalDist().inv_cdf(1 - level / 2))
+
+def _patterns(r: np.ndarray, n: np.ndarray, known: np.ndarray, size: int, level: float, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links and arrows (group, a, b) of many groups at once; a group that is not ``known`` keeps all links."""
+    pairs = list(combinations(range(size), 2))
+    links = np.broadcast_to(~np.eye(size, dtype=bool), (len(n), size, size)).copy()
+    parted, sets = np.zeros_like(links), np.zeros((len(n), size, size, size), dtype=bool)
+    partial = {((), ab): r[:, i] for i, ab in enumerate(pairs)}
+    for given in range(most + 1):
+        near, last = links.copy(), partial
+        partial, second = (last if not given else {}), []
+        done = np.zeros_like(links)
+        for s in combinations(range(size), given):
+            for a, b in pairs:
+                if a in s or b in s:
+                    continue
+                if given:
+                    at = lambda x, y: last[s[:-1], (min(x, y), max(x, y))]
+                    partial[s, (a, b)] = _given_one_more(at(a, b), at(a, s[-1]), at(b, s[-1]))
+                free = near[:, a, b] & known & _independent(partial[s, (a, b)], n, given, level)
+                of_a, of_b = near[:, a][:, list(s)].all(axis=1), near[:, b][:, list(s)].all(axis=1)
+                # The first set of a's neighbours parts them, or else the first of b's.
+                now = free & of_a & ~done[:, a, b]
+                done[:, a, b] |= now
+                sets[now, a, b] = sets[now, b, a] = np.isin(range(size), s)
+                second.append((a, b, s, free & of_b & ~of_a))
+        for a, b, s, found in second:
+            now = found & ~done[:, a, b]
+            done[:, a, b] |= now
+            sets[now, a, b] = sets[now, b, a] = np.isin(range(size), s)
+        done |= done.transpose(0, 2, 1)
+        parted |= done
+        links &= ~done
+    arrows = np.zeros_like(links)
+    triples = [(a, b, c) for a, b in pairs for c in range(size) if c != a and c != b]
+    # c between a and b.
+    for a, b, c in triples:
+        apart = links[:, a, c] & links[:, c, b] & parted[:, a, b] & ~sets[:, a, b, c]
+        arrows[:, a, c] |= apart
+        arrows[:, b, c] |= apart
+    while True:
+        free = links & ~arrows & ~arrows.transpose(0, 2, 1)
+        new = np.zeros_like(links)
+        for a in range(size):
+            for b in range(size):
+                others = [k for k in range(size) if k not in (a, b)] if a != b else []
+                for k in others:
+                    # An arrow k -> a, a - b, k and b not linked; a -> k -> b beside a - b.
+                    new[:, a, b] |= arrows[:, k, a] & ~links[:, k, b] | arrows[:, a, k] & arrows[:, k, b]
+                for k, l in combinations(others, 2):
+                    # a - k -> b and a - l -> b beside a - b, k and l not linked.
+                    new[:, a, b] |= free[:, a, k] & arrows[:, k, b] & free[:, a, l] & arrows[:, l, b] & ~links[:, k, l]
+        new &= free
+        new &= ~(new.transpose(0, 2, 1) & np.tril(np.ones((size, size), dtype=bool)))
+        if not new.any():
+            return links, arrows
+        arrows |= new
 
 
 def cpdag(table: DataFrame, group: str, names: list[str], level: float = 0.05, most: int = 3) -> DataFrame:
@@ -135,63 +186,26 @@ def cpdag(table: DataFrame, group: str, names: list[str], level: float = 0.05, m
     neighbours of either end; neighbours are those at the beginning of the level, so the order of variables does not matter.
     Ends of unshielded triples are pointed at the middle unless it parted them, then Meek's rules are applied until nothing changes;
     a link that two rules point both ways in one round keeps the way from the earlier variable.  Links that stay without direction
-    are given from the earlier to the later variable, not directed.  The data is read once; what follows is as large as the
-    number of groups times the variables to the power of ``most`` + 2.
+    are given from the earlier to the later variable, not directed.  The data is aggregated once; a group is then one row of
+    correlations, and tasks search the patterns of many rows at once without a shuffle.
     """
-    flat = keep(correlations(table, group, names).withColumn("s", F.array().cast("array<int>")), "cpdag-correlations")
-    links = keep(flat.select(group, "a", "b"), "cpdag-links")
-    parted = None
-    for given in range(most + 1):
-        if given:
-            flat = keep(partial_correlations(flat, group), "cpdag-partial")
-        near = links.groupBy(group, "a").agg(F.collect_set("b").alias("near"))
-        tests = links.where("a < b").join(flat, [group, "a", "b"]).where(independent(F.col("r"), F.col("n"), F.lit(given), level))
-        tests = tests.join(near.withColumnRenamed("near", "near_a"), [group, "a"]).join(near.select(group, F.col("a").alias("b"), F.col("near").alias("near_b")), [group, "b"])
-        of_a, of_b = F.size(F.array_except("s", "near_a")) == 0, F.size(F.array_except("s", "near_b")) == 0
-        found = tests.where(of_a | of_b).groupBy(group, "a", "b").agg(F.min(F.struct((~of_a).alias("second"), "s")).alias("first"))
-        found = keep(found.select(group, "a", "b", F.col("first.s").alias("s")), "cpdag-parted")
-        both = found.select(group, "a", "b").unionByName(found.select(group, F.col("b").alias("a"), F.col("a").alias("b")))
-        links = keep(links.join(both, [group, "a", "b"], "left_anti"), "cpdag-links")
-        parted = found if parted is None else parted.unionByName(found)
-    arrows = keep(_colliders(links, parted, group), "cpdag-arrows")
-    while True:
-        new = keep(_meek(links, arrows, group), "cpdag-new")
-        if new.isEmpty():
-            break
-        arrows = keep(arrows.unionByName(new), "cpdag-arrows")
-    pointed = arrows.select(group, "a", "b", F.lit(True).alias("directed"))
-    free = _free(links, arrows, group).where("a < b").select(group, "a", "b", F.lit(False).alias("directed"))
-    name = lambda at: F.element_at(F.array(*map(F.lit, names)), F.col(at) + 1)
-    return pointed.unionByName(free).select(group, name("a").alias("source"), name("b").alias("target"), "directed")
-
-
-def _colliders(links: DataFrame, parted: DataFrame, group: str) -> DataFrame:
-    """a -> b of every two links a - b - c whose ends are parted by a set without b."""
-    sides = links.select(group, F.col("a").alias("b"), F.col("b").alias("c"))
-    sets = parted.select(group, "a", F.col("b").alias("c"), "s").unionByName(parted.select(group, F.col("b").alias("a"), F.col("a").alias("c"), "s"))
-    return links.join(sides, [group, "b"]).where("a != c").join(sets, [group, "a", "c"]).where(~F.array_contains("s", F.col("b"))).select(group, "a", "b").distinct()
-
-
-def _free(links: DataFrame, arrows: DataFrame, group: str) -> DataFrame:
-    """Links without a direction, both ways."""
-    pointed = arrows.select(group, "a", "b").unionByName(arrows.select(group, F.col("b").alias("a"), F.col("a").alias("b")))
-    return links.join(pointed, [group, "a", "b"], "left_anti")
-
-
-def _meek(links: DataFrame, arrows: DataFrame, group: str) -> DataFrame:
-    """The arrows that one round of Meek's rules adds."""
-    as_ = lambda t, x, y: t.select(group, F.col("a").alias(x), F.col("b").alias(y))
-    free = _free(links, arrows, group)
-    # An arrow k -> a, a - b, k and b not linked.
-    away = as_(arrows, "k", "a").join(as_(free, "a", "b"), [group, "a"]).where("k != b").join(as_(links, "k", "b"), [group, "k", "b"], "left_anti")
-    # a -> k -> b beside a - b.
-    along = as_(arrows, "a", "k").join(as_(arrows, "k", "b"), [group, "k"]).join(as_(free, "a", "b"), [group, "a", "b"], "left_semi")
-    # a - k -> b and a - l -> b beside a - b, k and l not linked.
-    half = as_(free, "a", "k").join(as_(arrows, "k", "b"), [group, "k"]).join(as_(free, "a", "b"), [group, "a", "b"], "left_semi")
-    two = half.join(half.withColumnRenamed("k", "l"), [group, "a", "b"]).where("k < l").join(as_(links, "k", "l"), [group, "k", "l"], "left_anti")
-    found = away.select(group, "a", "b").unionByName(along.select(group, "a", "b")).unionByName(two.select(group, "a", "b")).distinct()
-    back = found.select(group, F.col("b").alias("a"), F.col("a").alias("b"), F.lit(True).alias("both"))
-    return found.join(back, [group, "a", "b"], "left").where(F.col("both").isNull() | (F.col("a") < F.col("b"))).select(group, "a", "b")
+    size = len(names)
+    # Correlations held at once: 2 ** 22, groups times pairs times sets.
+    step = max(1, (1 << 22) // (size * size * max(comb(size, k) for k in range(most + 1))))
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, step):
+                part = batch.slice(lo, step)
+                r = part.column("r").flatten().to_numpy(zero_copy_only=False).reshape(part.num_rows, -1)
+                links, arrows = _patterns(r, part.column("n").to_numpy(), part.column(0).is_valid().to_numpy(zero_copy_only=False), size, level, most)
+                free = np.triu(links & ~arrows & ~arrows.transpose(0, 2, 1))
+                at, a, b = np.nonzero(arrows | free)
+                named = [pa.array([names[i] for i in x], pa.string()) for x in (a, b)]
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(at)), *named, pa.array(arrows[at, a, b])], names=[group, "source", "target", "directed"])
+
+    kind = table.select(group).schema[0].dataType.simpleString()
+    return keep(correlations(table, group, names).mapInArrow(search, f"`{group}` {kind}, source string, target string, directed boolean"), "patterns")
 
 
 def pattern_scores(learned: DataFrame, true: DataFrame, group: str, names: list[str]) -> DataFrame:

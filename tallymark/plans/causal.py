@@ -7,7 +7,7 @@ from statistics import NormalDist
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..model import read
+from ..model import dealt, read
 from ..operators import causal
 from .catalogue import _r, query
 
@@ -104,7 +104,7 @@ LISTED = "[" + ", ".join(f"'{n}'" for n in CHAINED) + "]"
 
 
 def _chained(spark: SparkSession, sf_dir: str, where: str) -> DataFrame:
-    return read(spark, sf_dir, "lineitem").where(where).selectExpr("l_suppkey", *(f"cast({x} AS double) AS {n}" for n, x in CHAINED.items()))
+    return dealt(read(spark, sf_dir, "lineitem").where(where), "l_suppkey").selectExpr("l_suppkey", *(f"cast({x} AS double) AS {n}" for n, x in CHAINED.items()))
 
 
 @query(f"SELECT g AS l_suppkey, {LISTED}[a + 1] AS source, {LISTED}[b + 1] AS target, directed FROM out", _pattern_sql("", "lineitem", "l_suppkey", CHAINED))

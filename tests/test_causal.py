@@ -106,3 +106,26 @@ def test_pattern_scores(spark):
     two = spark.createDataFrame([(1, "y", "x", True), (1, "z", "y", True), (1, "x", "z", True)], schema)
     got = {r.g: (r.distance, r.n_hit, r.precision, r.recall) for r in causal.pattern_scores(one, two, "g", ["x", "y", "z"]).collect()}
     assert got == {1: (2, 2, 1.0, 0.666667), 2: (1, 0, 0.0, None)}
+
+
+def test_patterns_of_many_groups_need_no_join(spark):
+    """One aggregation finds the patterns of all groups, each as if it were alone."""
+    rng = random.Random(8)
+    names = ["x", "y", "z", "w"]
+    rows = []
+    for g in range(40):
+        weights = [[rng.choice([0.0, 0.0, 0.3, 1.0]) for _ in names] for _ in names]
+        for _ in range(80):
+            v: list[float] = []
+            for i in range(4):
+                v.append(rng.gauss(0, 1) + sum(weights[i][j] * v[j] for j in range(i)))
+            rows.append((g, *v))
+    table = spark.createDataFrame(rows, "g int, " + ", ".join(f"{n} double" for n in names))
+    jobs = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("patterns", "patterns")
+    found = causal.cpdag(table, "g", names)
+    assert len(jobs.getJobIdsForGroup("patterns")) <= 3
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    told = {(r.g, r.source, r.target, r.directed) for r in found.collect()}
+    for g in range(0, 40, 8):
+        assert {t[1:] for t in told if t[0] == g} == learned(spark, [r[1:] for r in rows if r[0] == g], names)
