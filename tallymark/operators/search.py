@@ -7,8 +7,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import tidy
+from ..sources.tables import keep
 from . import near
 
+# Documents of a task, and terms of queries that go to every task, at most.
+TASK_DOCS, ASKED = 1 << 13, 1 << 20
+
 
 def tokens(docs: DataFrame, key: str, text: str) -> DataFrame:
     """Each document's terms (lower case, letters, digits and underscores) with their counts and the document's length."""
@@ -21,18 +25,25 @@ def tokens(docs: DataFrame, key: str, text: str) -> DataFrame:
 def tfidf_search(docs: DataFrame, key: str, text: str, queries: DataFrame, k: int = 10) -> DataFrame:
     """The ``k`` documents of highest TF-IDF cosine to each query of ``queries`` (query_id, text).
 
-    Only documents that share a term with a query are scored; norms need one pass over all terms.
+    Only documents that share a term with a query are scored.  Texts are dealt by document once, so that terms are counted and queries scored
+    where a document is, and only a task's ``k`` best of a query leave it; norms need all terms by word once more.  The queries' terms go to
+    every task if they are at most ASKED rows.
     """
-    terms = tokens(docs, key, text)
+    spark = docs.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-docs.count() // TASK_DOCS))
+    texts = docs.select(key, text).repartition(tasks, key)
+    terms = tokens(texts, key, text)
     n_docs = docs.where(F.col(text).isNotNull()).agg(F.count("*").alias("n_docs"))
     df = terms.groupBy("term").agg(F.count("*").alias("df"))
     idf = df.join(F.broadcast(n_docs)).select("term", F.ln(F.col("n_docs") / F.col("df")).alias("idf"))  # n_docs is one row
-    weights = terms.join(idf, "term").withColumn("w", F.col("tf") / F.col("n_terms") * F.col("idf"))
-    norms = weights.groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    asked = tokens(queries, "query_id", "text").join(idf, "term").withColumn("qw", F.col("tf") / F.col("n_terms") * F.col("idf")).select("query_id", "term", "qw")
-    lengths = asked.groupBy("query_id").agg(F.sqrt(F.sum(F.col("qw") * F.col("qw"))).alias("qnorm"))
-    hits = weights.join(asked, "term").groupBy("query_id", key).agg(F.sum(F.col("w") * F.col("qw")).alias("dot"))
-    scored = hits.join(norms, key).join(lengths, "query_id").where("norm > 0 AND qnorm > 0").withColumn("score", tidy(F.col("dot") / F.col("norm") / F.col("qnorm")))
+    idf = keep(idf, "term-weights")
+    weight = F.col("tf") / F.col("n_terms") * F.col("idf")
+    norms = terms.join(idf, "term").groupBy(key).agg(F.sqrt(F.sum(weight * weight)).alias("norm"))
+    asked = tokens(queries, "query_id", "text").join(idf, "term").select("query_id", "term", "idf", weight.alias("qw"))
+    qnorm = F.sqrt(F.sum(F.col("qw") * F.col("qw")).over(Window.partitionBy("query_id")))
+    asked = keep(asked.withColumn("qnorm", qnorm), "asked-terms")
+    hits = terms.join(F.broadcast(asked) if asked.count() <= ASKED else asked, "term").groupBy("query_id", key, "qnorm").agg(F.sum(weight * F.col("qw")).alias("dot"))
+    scored = hits.join(norms, key).where("norm > 0 AND qnorm > 0").withColumn("score", tidy(F.col("dot") / F.col("norm") / F.col("qnorm")))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), key))
     return scored.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", key, "score")
 

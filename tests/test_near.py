@@ -41,3 +41,24 @@ def test_no_pair_of_trials_is_a_row(spark):
     for told in (adjust.impute_near(obs, SPECS), search.knn_failure(obs.withColumnRenamed("iteration", "candidate_id"), obs, ["p_x", "p_y"], [10.0, 2.0])):
         plan = told._jdf.queryExecution().optimizedPlan().toString()
         assert "MapInArrow" in plan and "row_number" not in plan
+
+
+def test_text_search_scores_where_documents_are(spark, monkeypatch):
+    """No pair of a query and a document is shuffled, and queries beyond what goes to every task find the same."""
+    docs = spark.createDataFrame([(i, f"all w{i % 7} w{i % 5} w{i % 3} w{i % 3}") for i in range(60)] + [(60, None), (61, "")], "doc_id long, text string")
+    asked = spark.createDataFrame([(1, "w1 w2"), (2, "all w4 w6"), (3, "unheard"), (4, "all")], "query_id long, text string")
+    found = search.tfidf_search(docs, "doc_id", "text", asked, 5)
+    assert "hashpartitioning(query_id#" not in "".join(n for n in found._jdf.queryExecution().executedPlan().toString().split("\n") if "doc_id" in n and "Exchange" in n)
+    told = sorted(map(tuple, found.collect()))
+    assert [sum(r[0] == q for r in told) for q in (1, 2, 3, 4)] == [5, 5, 0, 5]
+    terms = {i: t.split() for i, t in docs.collect() if t}
+    df = {t: sum(t in w for w in terms.values()) for w in terms.values() for t in w}
+    weigh = lambda words: {t: words.count(t) / len(words) * np.log(61 / df[t]) for t in words if t in df}
+    norm = lambda w: sum(x * x for x in w.values()) ** 0.5
+    for q, text in asked.where("query_id != 3").collect():
+        want, own = weigh(text.split()), {i: weigh(w) for i, w in terms.items()}
+        scores = {i: round(sum(w[t] * want.get(t, 0) for t in w) / norm(w) / norm(want), 6) for i, w in own.items() if set(w) & set(want)}
+        best = sorted(scores.items(), key=lambda x: (-x[1], x[0]))[:5]
+        assert [(r[2], r[3]) for r in told if r[0] == q] == [(i, pytest.approx(v, abs=2e-6)) for i, v in best]
+    monkeypatch.setattr(search, "ASKED", 0)
+    assert sorted(map(tuple, search.tfidf_search(docs, "doc_id", "text", asked, 5).collect())) == told
