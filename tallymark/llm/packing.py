@@ -20,7 +20,7 @@ from __future__ import annotations
 import heapq
 import unicodedata
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -92,14 +92,14 @@ class Encoder:
     No token spans white space and the vocabulary's pre-tokenizer looks at no neighbour beyond it, so
     the ids of a text are those of its words.  Lower-case words of letters in composed form skip the normalizers
     (which would not change them) and are encoded many at a time: each ends at a word-end token.
-    The cache is emptied when it holds too many words or too many bytes of them.
+    The cache is emptied when it holds too many words (``limit``; LIMIT where unset) or too many bytes of them.
     """
 
     LIMIT = 1_200_000
     BYTES = 256 << 20
     TRAIL = ".,!?;:"
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, limit: int | None = None):
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.whole = Tokenizer.from_file(path)
@@ -110,6 +110,10 @@ class Encoder:
         self.ends = np.zeros(max(vocab.values()) + 1, dtype=bool)
         for token, i in vocab.items():
             self.ends[i] = token.endswith("</w>")
+        self.limit = self.LIMIT if limit is None else limit
+        self.forget()
+
+    def forget(self) -> None:
         self.words: dict[str, bytes] = {}
         self.held = 0
 
@@ -149,8 +153,8 @@ class Encoder:
                 known[word] = known[low]
 
     def encode(self, texts: list[str]) -> list[memoryview]:
-        if len(self.words) > self.LIMIT or self.held > self.BYTES:
-            self.words, self.held = {}, 0
+        if len(self.words) > self.limit or self.held > self.BYTES:
+            self.forget()
         odd = {i for i, t in enumerate(texts) if not t.isprintable() and any(c in t for c in "\x1c\x1d\x1e\x1f")}
         split = [() if i in odd else t.split() for i, t in enumerate(texts)]
         cuts = np.cumsum([0, *map(len, split)])
@@ -180,15 +184,19 @@ class Encoder:
 
 
 _ENCODERS: dict[str, Encoder] = {}
+SLICE = 4 << 20
+# A worker that serves other stages too: a cached word takes some 400 bytes, a slice some 40 times its own.
+FRUGAL_WORDS, FRUGAL_SLICE = 150_000, 1 << 20
 
 
-def encoder(path: str) -> Encoder:
+def encoder(path: str, limit: int | None = None) -> Encoder:
     if path not in _ENCODERS:
         _ENCODERS[path] = Encoder(path)
+    _ENCODERS[path].limit = Encoder.LIMIT if limit is None else limit
     return _ENCODERS[path]
 
 
-def _slices(batch: pa.RecordBatch, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def _slices(batch: pa.RecordBatch, most: int = SLICE) -> Iterator[pa.RecordBatch]:
     """The batch in slices of about ``most`` bytes of text."""
     upto = np.cumsum(pc.binary_length(batch.column("text")).to_numpy(zero_copy_only=False))
     lo = 0
@@ -198,16 +206,16 @@ def _slices(batch: pa.RecordBatch, most: int = 4 << 20) -> Iterator[pa.RecordBat
         lo = hi
 
 
-def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
-    """Each document's ids cut at multiples of ``capacity``: one row per piece, and how many equal pieces its task cut before."""
+def cutter(tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID, frugal: bool = False) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """What a task does with its batches of (doc_id, text); a frugal one keeps a small cache and leaves none in its worker."""
     end = int(end_id).to_bytes(4, "little")
     step = 4 * capacity
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(tokenizer)
+        enc = encoder(tokenizer, FRUGAL_WORDS if frugal else None)
         seen: dict[int, int] = {}
         for batch in batches:
-            for part in _slices(batch):
+            for part in _slices(batch, FRUGAL_SLICE if frugal else SLICE):
                 rows = []
                 for i, (name, raw) in enumerate(zip(part.column("doc_id").to_pylist(), enc.encode(part.column("text").to_pylist()))):
                     total = len(raw) // 4 + 1
@@ -223,16 +231,25 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: in
                         rows.append((i, at // 4, length, crc, total, copy))
                 at, *numbers = (pa.array(x, pa.int64()) for x in zip(*rows))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id").take(at), *numbers], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "copy"])
+        if frugal:
+            enc.forget()
+
+    return cut
 
+
+def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID, frugal: bool = False) -> DataFrame:
+    """Each document's ids cut at multiples of ``capacity``: one row per piece, and how many equal pieces its task cut before."""
+    cut = cutter(tokenizer, capacity, end_id, frugal)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(cut, PIECES + ", copy long")
 
 
-def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID, group_pieces: int = GROUP_PIECES) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID, group_pieces: int = GROUP_PIECES, frugal: bool = False) -> DataFrame:
     """Pack ``docs`` (doc_id, text) into sequences of at most ``capacity`` tokens.
 
     tokenizer: path of a tokenizers file, readable on every executor.  Returns one row per piece with
     its place in its sequence.  ``group_pieces`` bounds the pieces that are balanced at once: groups hold as many in the mean,
     and one that got more is parted.  A document leaves at most one piece to balance, so the group count follows from the row count.
+    ``frugal`` gives the same rows in more time and with less memory in the Python workers, which later stages go on using.
     """
     groups = max(1, round(docs.count() / group_pieces))
     stride = 1 << 40
@@ -258,7 +275,7 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int
         sequence = seq + key[0].as_py() * stride
         return rows.drop_columns(["pack_group", "copy"]).append_column("sequence_id", pa.array(sequence)).append_column("offset", pa.array(offset))
 
-    cut = pieces(docs, tokenizer, capacity, end_id)
+    cut = pieces(docs, tokenizer, capacity, end_id, frugal)
     # Copies of a row are dealt to all groups.
     group = F.pmod(F.xxhash64("doc_id", "start", "ids_crc32", "copy"), F.lit(groups))
     return cut.withColumn("pack_group", group).groupBy("pack_group").applyInArrow(balance, PACKED)

@@ -8,6 +8,7 @@ import unicodedata
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -64,6 +65,21 @@ def test_word_cache_is_bounded_in_bytes(monkeypatch):
         assert own.held < 150_000 and len(own.words) <= 80
 
 
+def test_frugal_packing_leaves_no_cache_in_the_worker(monkeypatch):
+    monkeypatch.setattr(packing, "FRUGAL_WORDS", 300)
+    monkeypatch.setattr(packing, "FRUGAL_SLICE", 2000)
+    texts = [" ".join(f"word{i}x{j}, the" for j in range(50)) for i in range(100)]
+    batches = [pa.RecordBatch.from_arrays([pa.array(range(lo, lo + 25), pa.int64()), pa.array(texts[lo : lo + 25])], names=["doc_id", "text"]) for lo in range(0, 100, 25)]
+    held, enc = [], packing.encoder(tokenizer_path())
+    encode = packing.Encoder.encode
+    monkeypatch.setattr(packing.Encoder, "encode", lambda self, some: (encode(self, some), held.append(len(self.words)))[0])
+    want = pa.Table.from_batches(packing.cutter(tokenizer_path(), 64)(iter(batches))).to_pydict()
+    assert max(held) > 5000 and len(enc.words) == held[-1]
+    held.clear()
+    assert pa.Table.from_batches(packing.cutter(tokenizer_path(), 64, frugal=True)(iter(batches))).to_pydict() == want
+    assert len(held) > 20 and max(held) < 1500 and enc.words == {}
+
+
 def test_pack_many_equal_rows(spark):
     docs = spark.range(50_000).select(F.lit(7).cast("long").alias("doc_id"), F.lit("the same few words again " * 20).alias("text"), F.lit(1).alias("copy"))
     rows = packing.pack(docs.unionByName(docs.limit(0)), tokenizer_path(), group_pieces=500)
