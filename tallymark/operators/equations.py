@@ -7,6 +7,8 @@ The search goes level by level.  All trees of one operation on leaves come first
 every operation to every tree of the first level.  Each tree is scaled: its error is that of the best ``offset + scale * tree``, which needs
 only sums, so one pass over the rows scores a whole level.  Tasks send one row of sums per tree; trees and their sums, whose number
 depends on the search alone, are all that the driver holds.  A level has under ``8 * beam`` times the trees of the first.
+Trees that join two others by one of + - * / are not made row by row: the sums of all of them are products of matrices of the others' values,
+their squares and reciprocals.  Only where such a sum would lose digits or a value may be too large are the tree's own values taken.
 A law none of whose smaller parts lowers the error by itself can be missed.
 """
 
@@ -97,9 +99,71 @@ def values(tree: Tree, data: dict[str, np.ndarray], known: dict[Tree, np.ndarray
     return np.where(np.isfinite(out), out, np.nan)
 
 
-def _scores(rows: DataFrame, target: str, trees: list[Tree], shared: list[Tree], largest: float) -> list[tuple[float, float, float]]:
-    """Mean squared error, offset and scale of every tree in one pass; infinite where a row has no value of ``largest`` at most."""
-    names = rows.columns
+class Joins:
+    """Those of ``trees`` that join one of ``left`` with one of ``shared`` by one of + - * /, and the sums of all of them over some rows.
+
+    Each is kept as its place among the trees, its kind (the operation, with the left one first or second) and the columns of both in matrices
+    of the values of ``left`` and of ``shared``, which must be finite and hold ``left``.
+    """
+
+    KINDS = {"+": (0, 0), "-": (1, 2), "*": (3, 3), "/": (4, 5)}
+    # A sum or difference whose squares are below this share of its parts' is summed by its own values.
+    SHARE = 0.1
+
+    def __init__(self, trees: list[Tree], left: list[Tree], shared: list[Tree]):
+        column = {t: i for i, t in enumerate(shared)}
+        own = {t: i for i, t in enumerate(left)}
+        found = []
+        for i, t in enumerate(trees):
+            if t[0] in BINARY and (t[1] in own and t[2] in column or t[2] in own and t[1] in column):
+                second = not (t[1] in own and t[2] in column)
+                a, b = (t[2], t[1]) if second else (t[1], t[2])
+                found.append((i, self.KINDS[t[0]][second], own[a], column[b]))
+        self.place, self.kind, self.a, self.b = np.array(found, dtype=np.int64).reshape(-1, 4).T
+        self.left = np.array([column[t] for t in left], dtype=np.int64)
+
+    def sums(self, m: np.ndarray, y: np.ndarray, largest: float) -> tuple[np.ndarray, np.ndarray]:
+        """t, tt and ty of each tree over the rows of ``m``, NaN where a divisor is nearly 0; and which must be taken by their own values instead."""
+        size = np.abs(m)
+        whole = (size >= LEAST).all(axis=0)
+        inverse = np.where(whole, 1 / np.where(whole, m, 1), 0)
+        high, high_inverse = size.max(axis=0), np.abs(inverse).max(axis=0)
+        out, reach = np.empty((len(self.kind), 3)), np.empty(len(self.kind))
+        some, some_inverse = m[:, self.left], inverse[:, self.left]
+        inner = some.T @ m
+        for kind, p, q, most in (
+            (3, some, m, np.outer(high[self.left], high)),
+            (4, some, inverse, np.outer(high[self.left], high_inverse)),
+            (5, some_inverse, m, np.outer(high_inverse[self.left], high)),
+        ):
+            at = np.flatnonzero(self.kind == kind)
+            a, b = self.a[at], self.b[at]
+            for k, gram in enumerate((inner if kind == 3 else p.T @ q, (p * p).T @ (q * q), (p * y[:, None]).T @ q)):
+                out[at, k] = gram[a, b]
+            reach[at] = most[a, b]
+            if kind > 3:
+                out[at[~whole[b if kind == 4 else self.left[a]]]] = np.nan
+        s, ss, sy = m.sum(axis=0), (m * m).sum(axis=0), y @ m
+        at = np.flatnonzero(self.kind < 3)
+        a, b, kind = self.left[self.a[at]], self.b[at], self.kind[at]
+        sign, turn = np.where(kind == 0, 1.0, -1.0), np.where(kind == 2, -1.0, 1.0)
+        out[at, 0] = turn * (s[a] + sign * s[b])
+        out[at, 1] = ss[a] + ss[b] + 2 * sign * inner[self.a[at], b]
+        out[at, 2] = turn * (sy[a] + sign * sy[b])
+        reach[at] = high[a] + high[b]
+        own = ~(reach <= largest * (1 - 1e-9))
+        own[at] |= out[at, 1] < self.SHARE * (ss[a] + ss[b])
+        return out, own
+
+
+def _scores(rows: DataFrame, target: str, trees: list[Tree], shared: list[Tree], largest: float, left: list[Tree] = ()) -> list[tuple[float, float, float]]:
+    """Mean squared error, offset and scale of every tree in one pass; infinite where a row has no value of ``largest`` at most.
+
+    ``left``: some of ``shared``, whose joins are many; all of ``shared`` must then have values of ``largest`` at most.
+    """
+    names, shared = rows.columns, list(dict.fromkeys(shared))
+    joins = Joins(trees, left, shared)
+    others = np.setdiff1d(np.arange(len(trees)), joins.place)
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((len(trees), 6))
@@ -111,9 +175,17 @@ def _scores(rows: DataFrame, target: str, trees: list[Tree], shared: list[Tree],
                     y, known = data[target], {}
                     for tree in shared:
                         known[tree] = values(tree, data, known)
-                    for i, tree in enumerate(trees):
-                        t = np.broadcast_to(values(tree, data, known), y.shape)
-                        total[i] += len(y), t.sum() if (np.abs(t) <= largest).all() else np.nan, t @ t, t @ y, y.sum(), y @ y
+                    total[:, [0, 4, 5]] += len(y), y.sum(), y @ y
+                    alone = others
+                    if len(joins.place):
+                        m = np.stack([np.broadcast_to(known[tree], y.shape) for tree in shared], axis=1)
+                        sums, own = joins.sums(m, y, largest)
+                        total[joins.place[~own], 1:4] += sums[~own]
+                        alone = np.concatenate([others, joins.place[own]])
+                    # A tree that this task has rejected stays so.
+                    for i in alone[np.isfinite(total[alone, 1])].tolist():
+                        t = np.broadcast_to(values(trees[i], data, known), y.shape)
+                        total[i, 1:4] += t.sum() if (np.abs(t) <= largest).all() else np.nan, t @ t, t @ y
         yield pa.RecordBatch.from_arrays([pa.array(range(len(trees)), pa.int32())] + [pa.array(c, pa.float64()) for c in total.T], names=["tree", "n", "t", "tt", "ty", "y", "yy"])
 
     sums = rows.mapInArrow(add, "tree int, n double, t double, tt double, ty double, y double, yy double")
@@ -150,10 +222,10 @@ def discover(rows: DataFrame, variables: list[str], target: str, levels: int = 3
 
     scored: dict[Tree, tuple[float, float, float]] = {}
 
-    def score(trees: list[Tree], shared: list[Tree]) -> None:
+    def score(trees: list[Tree], shared: list[Tree], left: list[Tree] = ()) -> None:
         new = [t for t in trees if t not in scored]
         if new:
-            scored.update(zip(new, _scores(rows, target, new, shared, 1e12)))
+            scored.update(zip(new, _scores(rows, target, new, shared, 1e12, left)))
 
     first = leaves + joined(leaves, leaves)
     score(first, leaves)
@@ -169,13 +241,15 @@ def discover(rows: DataFrame, variables: list[str], target: str, levels: int = 3
             if rank(t)[0] not in errors and len(best) < beam:
                 errors.add(rank(t)[0])
                 best.append(t)
-        score(joined(best, usable), usable + best)
+        score(joined(best, usable), usable + best, best)
     front: list[Tree] = []
     for t in sorted((t for t in scored if math.isfinite(scored[t][0])), key=lambda t: (complexity(t), *rank(t))):
         if not front or scored[t][0] / whole < (1 - gain) * scored[front[-1]][0] / whole - 1e-9:
             if front and complexity(front[-1]) == complexity(t):
                 continue
             front.append(t)
+    # The few on the front are fitted to their own values.
+    scored.update(zip(front, _scores(rows, target, front, leaves, 1e12)))
     # Sums of squares lose what is left of a nearly exact law; the few on the front are measured by their residuals.
     error = [F.avg((F.lit(scored[t][1]) + F.lit(scored[t][2]) * column(t) - F.col(target)) ** 2) for t in front]
     exact = rows.agg(*(e.alias(f"e{i}") for i, e in enumerate(error))).first()

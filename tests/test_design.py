@@ -130,3 +130,40 @@ def test_no_rows_and_no_spread_have_an_equation_or_none(spark):
     flat = equations.discover(data, ["x"], "t", levels=2, beam=2).collect()
     assert len(flat) == 1 and flat[0].complexity == 1 and flat[0].mse == pytest.approx(0)
     assert equations.discover(data.where("x > 9"), ["x"], "t").count() == 0
+
+
+def test_joined_trees_are_scored_without_their_values(spark, monkeypatch):
+    import numpy as np
+    import pyarrow as pa
+
+    rng = np.random.default_rng(5)
+    x, y, z = rng.uniform(900, 1e5, 5000), rng.uniform(0, 0.1, 5000), rng.uniform(1e5, 2e6, 5000)
+    y[7] = 0.0
+    z[4999] = 1e9  # by itself it takes (z * x) over the limit, in the second slice of rows only
+    batch = pa.RecordBatch.from_pydict({"x": x, "y": y, "z": z, "t": x * (1 - y)})
+    leaves = [("var", v) for v in "xyz"] + [("const", 1.0)]
+    best = [leaves[0], ("-", leaves[3], leaves[1]), ("exp", leaves[1])]
+    shared = leaves + best[1:] + [("+", leaves[0], leaves[1])]
+    trees = [("log", best[1])] + [t for a in best for b in shared for o in equations.BINARY for t in ((o, a, b), (o, b, a))]
+
+    class Rows:
+        columns = ["x", "y", "z", "t"]
+
+        def mapInArrow(self, add, schema):
+            return spark.createDataFrame(pa.Table.from_batches(add(iter([batch]))))
+
+    made, values = [], equations.values
+    monkeypatch.setattr(equations, "values", lambda tree, *rest: (made.append(tree), values(tree, *rest))[1])
+    want = equations._scores(Rows(), "t", trees, shared, 1e12)
+    by_rows = len(made)
+    made.clear()
+    got = equations._scores(Rows(), "t", trees, shared, 1e12, best)
+    assert len(made) < 0.6 * by_rows
+    broken = {equations.text(t) for t, s in zip(trees, got) if math.isinf(s[0])}
+    assert broken == {equations.text(t) for t, s in zip(trees, want) if math.isinf(s[0])} and {"(x * z)", "(x / y)"} <= broken and "(1 / z)" not in broken
+    # Trees that hardly vary (x + y over x) are noise in sums of squares either way.
+    sd = lambda v: np.std(v) / np.sqrt(np.mean(v * v))
+    data = {n: batch.column(n).to_numpy() for n in Rows.columns}
+    for t, a, b in zip(trees, got, want):
+        if math.isfinite(b[0]) and (b[2] == 0 or sd(np.broadcast_to(values(t, data, {}), x.shape)) > 1e-3):
+            assert a[0] == pytest.approx(b[0], rel=1e-6, abs=1e-3) and a[2] == pytest.approx(b[2], rel=1e-6), equations.text(t)
